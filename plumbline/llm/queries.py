@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, secrets, token_blocks
+from plumbline.llm import decontamination, pieces, secrets, token_blocks
 from plumbline.session import load
 
 
@@ -31,11 +31,16 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(load(spark, sf_dir, "documents"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_digests(load(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_blocks": op1_token_blocks,
         "op2_decontamination": op2_decontamination,
         "op6_secrets": op6_secrets,
+        "op7_pieces": op7_pieces,
     }
 
 
