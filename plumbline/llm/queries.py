@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, pieces, secrets, simhash, token_blocks, vectors
+from plumbline.llm import decontamination, html_text, pieces, secrets, simhash, token_blocks, vectors
 from plumbline.session import load
 
 
@@ -35,6 +35,10 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(load(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(load(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": op2_decontamination,
         "op6_secrets": op6_secrets,
         "op7_pieces": op7_pieces,
+        "op8_html": op8_html,
         "op9_simhash": op9_simhash,
         "op10_vectors": op10_vectors,
     }
