@@ -78,6 +78,7 @@ class Tree:
         self.tag, self.parent = ["html"], [-1]
         self.texts: list[tuple[int, str | None]] = []
         stack, out, articles = [0], 0, 0  # out: the depth at which a part that is left out began
+        self.open = {"html": 1}  # how many elements of a name are open
         at = 0
         find = TAG.search
         while m := find(page, at):
@@ -93,15 +94,15 @@ class Tree:
                 if depth:
                     self._edge(stack[depth:], out)
                     articles -= sum(self.tag[n] in ("article", "main") for n in stack[depth:])
-                    del stack[depth:]
+                    self._close(stack, depth)
                     out = 0 if out > depth else out
                 continue
-            if name in ("html", "body") and name in (self.tag[n] for n in stack):
+            if name in ("html", "body") and self.open.get(name):
                 continue
             depth = self._implied(stack, name)
             if depth < len(stack):
                 self._edge(stack[depth:], out)
-                del stack[depth:]
+                self._close(stack, depth)
                 out = 0 if out > depth else out
             node = len(self.tag)
             self.tag.append(name)
@@ -114,6 +115,7 @@ class Tree:
                 at = end.end() if end else len(page)
             elif name not in VOID and not m[3].endswith("/") or name in BLOCK - VOID:
                 stack.append(node)
+                self.open[name] = self.open.get(name, 0) + 1
                 articles += name in ("article", "main")
                 if leave:
                     out = len(stack)
@@ -124,8 +126,15 @@ class Tree:
         if not out:
             self.texts += [(n, None) for n in nodes if self.tag[n] in BLOCK]
 
+    def _close(self, stack: list[int], depth: int) -> None:
+        for n in stack[depth:]:
+            self.open[self.tag[n]] -= 1
+        del stack[depth:]
+
     def _match(self, stack: list[int], name: str) -> int:
         """The depth of the element that an end tag closes, or 0."""
+        if not self.open.get(name):
+            return 0
         for depth in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[depth]]
             if tag == name:
@@ -137,7 +146,7 @@ class Tree:
     def _implied(self, stack: list[int], name: str) -> int:
         """The depth down to which a start tag closes what is open."""
         ends = ENDS.get(name, set()) | ({"p"} if name in CLOSES_P else set())
-        if not ends:
+        if not any(self.open.get(e) for e in ends):
             return len(stack)
         stop = IN_SCOPE_OF.get(name, set()) | ({"td", "th", "table", "button", "article", "section", "main"} if name not in IN_SCOPE_OF else set())
         low = len(stack)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, html_text, pieces, secrets, simhash, token_blocks, vectors
+from plumbline.llm import decontamination, html_text, pieces, secrets, simhash, token_blocks, toxicity, vectors
 from plumbline.session import load
 
 
@@ -27,6 +27,16 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def _remainder(divisor: int):
+    """crc32 of the doc_id as text, modulo divisor."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), learn=_remainder(4) != 2)
+    return scored.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(load(spark, sf_dir, "documents"))
 
@@ -52,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_blocks": op1_token_blocks,
         "op2_decontamination": op2_decontamination,
+        "op4_toxicity": op4_toxicity,
         "op6_secrets": op6_secrets,
         "op7_pieces": op7_pieces,
         "op8_html": op8_html,
