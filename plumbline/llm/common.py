@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 BATCH_ROWS = 256
 
@@ -59,6 +60,30 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
     return df.mapInArrow(run, schema)
 
 
+def add_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], new: dict[str, str]) -> tuple[DataFrame, list[str]]:
+    """df with further columns made from its Arrow batches, and the names they got.
+
+    Rows stay where they are: nothing is shuffled or joined. A name that df has
+    already gets underscores in front.
+    """
+    names = []
+    for name in new:
+        while name in df.columns:
+            name = "_" + name
+        names.append(name)
+    schema = StructType(list(df.schema.fields))
+    for name, kind in zip(names, new.values(), strict=True):
+        schema = schema.add(name, DataType.fromDDL("bigint" if kind == "long" else kind))
+
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batched(it):
+            out = work(batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(out[n], ARROW[t]) for n, t in new.items())], [*batch.schema.names, *names])
+
+    return df.mapInArrow(run, schema), names
+
+
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
     "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()),

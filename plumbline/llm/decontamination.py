@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import lower_ascii, map_texts, named, texts_of
+from plumbline.llm.common import add_columns, lower_ascii, named, texts_of
 
 #: Over UTF-8 bytes: every byte of a character beyond ASCII is a word's.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -92,30 +92,45 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Each pass scans the documents for a bounded part of the benchmark and adds to the
     hit words and items of the passes before; no row is shuffled.
     """
-    rows = named(docs, doc_id=id_col, text=text_col)
-    spark = docs.sparkSession
-    items = named(benchmark, item_id=item_id_col, text=item_text_col)
-    rows = rows.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<int>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    parts = list(_passes(items, pass_chars)) or [[]]
-    for k, part in enumerate(parts):
-        rows = _one_pass(spark, rows, part, window, last=k == len(parts) - 1)
-    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    rows, (n_words, n_hit, items) = scan(docs.select(id_col, text_col), benchmark, text_col, item_id_col, item_text_col, window, pass_chars)
+    return rows.select(
+        F.col(f"`{id_col}`").alias("doc_id"), F.col(n_words).alias("n_words"), F.col(n_hit).alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"), F.col(items).alias("items"), (F.col(n_hit) > 0).alias("contaminated"),
+    )
 
 
-def _one_pass(spark, rows: DataFrame, part: list[tuple], window: int, last: bool) -> DataFrame:
-    shared = spark.sparkContext.broadcast(part)  # at most pass_chars characters and one item
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, pass_chars: int = PASS_CHARS) -> DataFrame:
+    """The documents in which no window occurs, all their columns kept."""
+    rows, added = scan(docs, benchmark, text_col, item_id_col, item_text_col, window, pass_chars)
+    return rows.where(F.col(added[1]) == 0).drop(*added)
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id_col: str, item_text_col: str, window: int, pass_chars: int) -> tuple[DataFrame, list[str]]:
+    """docs with its numbers of words and hit words and its items, and those columns' names."""
+    found, names = None, []
+    for part in list(_passes(named(benchmark, item_id=item_id_col, text=item_text_col), pass_chars)) or [[]]:
+        docs, new = _one_pass(docs, part, window, text_col, found)
+        names += new
+        found = new[1:]
+    last = names[-4:]
+    return docs.drop(*names[:-4], last[1]), [last[0], last[3], last[2]]
+
+
+def _one_pass(docs: DataFrame, part: list[tuple], window: int, text_col: str, found: list[str] | None) -> tuple[DataFrame, list[str]]:
+    shared = docs.sparkSession.sparkContext.broadcast(part)  # at most pass_chars characters and one item
 
     def make():
         tables = windows(shared.value, window)
 
         def work(batch):
-            out = {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "n_words": [], "spans": [], "items": [], "n_hit": []}
-            for text, spans, items in zip(texts_of(batch), batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
+            out = {"n_words": [], "spans": [], "items": [], "n_hit": []}
+            before = zip(*(batch.column(c).to_pylist() for c in found[:2]), strict=True) if found else [((), ())] * batch.num_rows
+            for text, (spans, items) in zip(texts_of(batch, text_col), before, strict=True):
                 words = WORD.findall(lower_ascii(text))
-                spans, items = spans or [], set(items or ())
+                spans, items = list(spans), set(items)
                 for table in tables:
-                    for start, found in table.search(words):
-                        items |= found
+                    for start, which in table.search(words):
+                        items |= which
                         if spans and spans[-2] <= start <= spans[-1]:
                             spans[-1] = max(spans[-1], start + table.length)
                         else:
@@ -128,10 +143,7 @@ def _one_pass(spark, rows: DataFrame, part: list[tuple], window: int, last: bool
 
         return work
 
-    keep = "doc_id long, text string, n_words long, spans array<int>, items array<string>"
-    if last:
-        keep = "doc_id long, n_words long, items array<string>, n_hit long"
-    return map_texts(rows, make, keep)
+    return add_columns(docs, make, {"n_words": "long", "spans": "array<int>", "items": "array<string>", "n_hit": "long"})
 
 
 def covered(spans: list[int]) -> int:

@@ -27,14 +27,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-def _remainder(divisor: int):
+def remainder(divisor: int):
     """crc32 of the doc_id as text, modulo divisor."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxicity.score_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), learn=_remainder(4) != 2)
-    return scored.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+    scored = toxicity.score_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), learn=remainder(4) != 2)
+    return scored.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,12 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(load(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_blocks": op1_token_blocks,
@@ -68,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": op8_html,
         "op9_simhash": op9_simhash,
         "op10_vectors": op10_vectors,
+        "pipeline": pipeline,
     }
 
 

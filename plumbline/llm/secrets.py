@@ -88,27 +88,32 @@ def ownership(found: DataFrame) -> DataFrame:
     return pairs.groupBy("hash").agg(F.sum("n").alias("copies"), F.count_distinct("repo").alias("repos"), F.count_distinct("owner").alias("owners"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", most_repos: int = 1, most_owners: int = 1) -> DataFrame:
-    """One row a document: counts and spans by kind, and how its candidates are owned.
-
-    A candidate of no base kind becomes a span where its hash occurs in at most
-    most_repos repositories and with at most most_owners owners. n_live counts
-    all spans that are owner-specific so, n_example those that are not. One base
-    span may lie in another (a hex run in an assignment); each counts.
-    """
-    found = candidates(docs, id_col, text_col, repo_col, owner_col)
+def _judged(found: DataFrame, most_repos: int, most_owners: int) -> DataFrame:
+    """For each id and text with spans, its spans and whether each is owner-specific."""
     owned = ownership(found)
     spans = found.where(F.size("base") + F.size("other") > 0).select("doc_id", "text_key", F.explode(F.concat("base", "other")).alias("s"))
     live = (F.col("repos") <= most_repos) & (F.col("owners") <= most_owners)
     # a document's copies have the same spans, which a set holds once
-    judged = (
+    return (
         spans.withColumn("hash", F.col("s.hash"))
         .join(owned, "hash")
         .where((F.col("s.kind") != "other") | live)
         .groupBy("doc_id", "text_key")
         .agg(F.collect_set(F.struct("s", live.alias("live"))).alias("judged"))
     )
-    rows = found.join(judged.withColumnRenamed("doc_id", "k1").withColumnRenamed("text_key", "k2"), F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("text_key") == F.col("k2")), "left")
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", most_repos: int = 1, most_owners: int = 1) -> DataFrame:
+    """One row a document: counts and spans by kind, and how its candidates are owned.
+
+    A candidate of no base kind becomes a span where its hash occurs in at most
+    most_repos repositories and with at most most_owners owners. n_live counts
+    all spans that are owner-specific so, n_example those that are not. One base
+    span may lie in another (a hex run in an assignment); each counts.
+    """
+    found = candidates(docs, id_col, text_col, repo_col, owner_col)
+    judged = _judged(found, most_repos, most_owners).withColumnsRenamed({"doc_id": "k1", "text_key": "k2"})
+    rows = found.join(judged, F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("text_key") == F.col("k2")), "left")
     rows = rows.withColumn("judged", F.coalesce("judged", F.array().cast(rows.schema["judged"].dataType)))
     return rows.select(
         "doc_id",
@@ -117,3 +122,23 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         _joined(F.transform("judged", lambda j: j["s"])).alias("spans"),
         _n(F.filter("judged", lambda j: j["live"])).alias("n_live"), _n(F.filter("judged", lambda j: ~j["live"])).alias("n_example"),
     )
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", most_repos: int = 2, most_owners: int = 2, mark: str = "[SECRET]") -> DataFrame:
+    """docs with the mark in place of each owner-specific span, all else kept.
+
+    Only what occurs in more repositories or with more owners is left in the text, as an example.
+    """
+    found = candidates(docs, id_col, text_col, repo_col, owner_col)
+    live = _judged(found, most_repos, most_owners).select("doc_id", "text_key", F.array_sort(F.transform(F.filter("judged", lambda j: j["live"]), lambda j: F.struct(j["s"]["start"].alias("start"), j["s"]["end"].alias("end")))).alias("cuts")).where(F.size("cuts") > 0)
+    live = live.withColumnsRenamed({"doc_id": "__id", "text_key": "__key", "cuts": "__cuts"})
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.join(live, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.sha2(text, 256) == F.col("__key")), "left")
+
+    def step(acc: Column, cut: Column) -> Column:
+        # a span that begins inside the one before only moves its end
+        more = F.when(cut["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, cut["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
+        return F.struct(F.greatest(acc["at"], cut["end"]).alias("at"), F.concat(acc["out"], more).alias("out"))
+
+    done = F.aggregate("__cuts", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    return rows.withColumn(text_col, F.when(F.col("__cuts").isNull(), F.col(f"`{text_col}`")).otherwise(done)).drop("__id", "__key", "__cuts")

@@ -183,7 +183,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component stays: the one of least id, all its columns kept."""
+    """One document of each component stays: the one of least id, all its columns kept.
+
+    Rows that share an id stay or go together; a null id stays.
+    """
     found = near_duplicates(docs, id_col, text_col, **options)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    gone = found.groupBy("doc_id").agg(F.min("component_id").alias("c")).where("doc_id <> c").select(F.col("doc_id").alias(id_col))
+    return docs.join(gone, id_col, "left_anti")

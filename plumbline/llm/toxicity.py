@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import map_texts, named, texts_of
+from plumbline.llm.common import add_columns, map_texts, named, texts_of
 
 #: Labelled rows to learn from at most, in the order of their ids' hashes.
 LABELLED = 40_000
@@ -257,22 +257,34 @@ def fit(x: np.ndarray, y: np.ndarray, strength: float = 1.0, rounds: int = 30) -
     return w
 
 
-def _features(docs: DataFrame, lexicon: tuple, weights: np.ndarray | None, keep: str) -> DataFrame:
-    names = [f.split()[0] for f in keep.split(", ")]
+def _features(docs: DataFrame, lexicon: tuple) -> DataFrame:
+    """toxic and the features of each labelled row."""
+
+    def make():
+        scorer = Scorer(*lexicon)
+        return lambda batch: {"toxic": batch.column("toxic"), "x": [scorer.features(t) for t in texts_of(batch)]}
+
+    return map_texts(docs.select("toxic", "text"), make, "toxic int, x array<double>")
+
+
+def _learnt(docs: DataFrame, labels: DataFrame, learn: Column | None, id_col: str, text_col: str):
+    """What makes the scores of a batch of texts."""
+    learn = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    sample = _sample(named(docs, doc_id=id_col, text=text_col), labels.select(F.col(id_col).alias("doc_id"), "toxic"), learn)
+    lexicon = learn_lexicon(sample)
+    seen = _features(sample, lexicon).toPandas()  # LABELLED rows of few numbers
+    weights = fit(np.array(seen["x"].tolist(), float).reshape(-1, FEATURES), seen["toxic"].to_numpy(float))
 
     def make():
         scorer = Scorer(*lexicon)
 
         def work(batch):
-            x = [scorer.features(t) for t in texts_of(batch)]
-            out = {n: batch.column(n) for n in names}
-            if weights is None:
-                return out | {"x": x}
-            return out | {"score": 1 / (1 + np.exp(-np.clip(np.array(x).reshape(-1, FEATURES) @ weights, -30, 30)))}
+            x = np.array([scorer.features(t) for t in texts_of(batch, text_col)]).reshape(-1, FEATURES)
+            return {"score": 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))}
 
         return work
 
-    return map_texts(docs, make, keep + (", x array<double>" if weights is None else ", score double"))
+    return make
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -280,18 +292,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
 
     learn: a condition over doc_id that the labels to learn from fulfil.
     """
-    rows = named(docs, doc_id=id_col, text=text_col)
-    learn = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
-    sample = _sample(rows, labels.select(F.col(id_col).alias("doc_id"), "toxic"), learn)
-    lexicon = learn_lexicon(sample)
-    seen = _features(sample.select("toxic", "text"), lexicon, None, "toxic int").toPandas()  # LABELLED rows of few numbers
-    weights = fit(np.array(seen["x"].tolist(), float).reshape(-1, FEATURES), seen["toxic"].to_numpy(float))
-    scored = _features(rows, lexicon, weights, "doc_id long")
-    return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    make = _learnt(docs, labels, learn, id_col, text_col)
+    scored, (score,) = add_columns(docs.select(id_col, text_col), make, {"score": "double"})
+    return scored.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(score).alias("score"), F.when(F.col(score) >= threshold, 1).otherwise(0).alias("predicted"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The documents whose score is below the threshold, all their columns kept."""
-    # ids that several rows share have to pass with all their texts
-    bad = score_toxicity(docs, labels, threshold=threshold, **options).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    scored, (score,) = add_columns(docs, _learnt(docs, labels, learn, id_col, text_col), {"score": "double"})
+    return scored.where(F.col(score) < threshold).drop(score)

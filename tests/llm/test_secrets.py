@@ -3,7 +3,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from plumbline.llm.secrets import ownership, candidates, scan_secrets
+from plumbline.llm.secrets import candidates, ownership, redact, scan_secrets
 from plumbline.llm.queries import op6_secrets
 
 BASE = (
@@ -54,3 +54,12 @@ def test_query_over_whole_table(spark, sf_dir):
 
 def test_empty_table(spark):
     assert scan_secrets(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_redaction_leaves_examples_and_clean_texts(spark):
+    rows = [(1, "é a password=abcdefghijkl b", "a"), (2, "token=0123456789abcdef0123 AKIAABCDEFGHIJKLMN", "b"), (3, None, "b"), (4, "clean", None)]
+    rows += [(10 + i, "AKIAEXAMPLEEXAMPLEX", f"s{i}") for i in range(4)] + [(None, "x deadbeefdeadbeef01", "a")]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, source string, cuts int")
+    got = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert got == {1: "é a [SECRET] b", 2: "[SECRET] [SECRET]", 3: None, 4: "clean", None: "x [SECRET]", **{10 + i: "AKIAEXAMPLEEXAMPLEX" for i in range(4)}}
+    assert redact(docs).columns == docs.columns
