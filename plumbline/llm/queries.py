@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, html_text, pieces, secrets, simhash, token_blocks, toxicity, vectors
+from plumbline.llm import decontamination, html_text, maxent, pieces, secrets, simhash, token_blocks, toxicity, vectors
 from plumbline.session import load
 
 
@@ -37,6 +37,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op5_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = maxent.score_texts(load(spark, sf_dir, "documents"), learn=remainder(10) != 0)
+    return scored.withColumn("held_out", ~F.col("learnt")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(load(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_blocks": op1_token_blocks,
         "op2_decontamination": op2_decontamination,
         "op4_toxicity": op4_toxicity,
+        "op5_maxent": op5_maxent,
         "op6_secrets": op6_secrets,
         "op7_pieces": op7_pieces,
         "op8_html": op8_html,
