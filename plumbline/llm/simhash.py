@@ -32,25 +32,29 @@ HOT = 20_000
 ROWS, PAIRS = 1 << 16, 1 << 20
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """The signed 64-bit fingerprint of one text."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     words = lower_ascii(text).split()
-    if not words:
-        return 0
     whole = b" ".join(words)
-    n = max(1, len(words) - shingle + 1)
-    if n == 1:
-        hashes = np.array([xxhash.xxh64_intdigest(whole, seed=42)], np.uint64)
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        ends = np.cumsum(lengths)
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(whole[a:b], seed=42) for a, b in zip((ends - lengths)[:n].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(whole, seed=42)] if words else [], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(lengths)
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(whole[a:b], seed=42) for a, b in zip((ends - lengths).tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=False)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The signed fingerprint of shingle hashes."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 65536):  # a very long text's bits are counted in parts
+    for at in range(0, len(hashes), 65536):  # a very long text's bits are counted in parts
         part = hashes[at : at + 65536]
         ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """The signed 64-bit fingerprint of one text."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -137,20 +141,6 @@ def near_links(prints: DataFrame, k: int = 2) -> DataFrame:
     hot = first.where(F.col("n") > HOT).select("fingerprint", F.explode(again).alias("d")).select("fingerprint", "d.piece", "d.bucket")
     dealt = first.where((F.col("n") > 1) & (F.col("n") <= HOT)).select("fingerprint", "piece", "bucket").unionByName(hot)
 
-    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in it:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= ROWS:
-                table = pa.Table.from_batches(held).combine_chunks()
-                bucket = table.column("bucket").to_numpy()
-                whole = int(np.flatnonzero(bucket == bucket[-1])[0])  # the last bucket may go on
-                if whole:
-                    yield from join(table.slice(0, whole))
-                held = table.slice(whole).to_batches()
-        if held:
-            yield from join(pa.Table.from_batches(held))
-
     def join(table: pa.Table) -> Iterator[pa.RecordBatch]:
         bucket, piece = table.column("bucket").to_numpy(), table.column("piece").to_numpy()
         own = table.column("fingerprint").to_numpy().view(np.uint64)
@@ -168,7 +158,29 @@ def near_links(prints: DataFrame, k: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"u": signed[held], "v": signed[root[held]]})
 
     n = partitions(prints.sparkSession)
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long").distinct()
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(join, ROWS), "u long, v long").distinct()
+
+
+def _by_bucket(join, rows: int):
+    """join over tables of whole buckets, of about so many rows, from rows sorted by bucket."""
+
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in it:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= rows:
+                table = pa.Table.from_batches(held).combine_chunks()
+                bucket = table.column("bucket").to_numpy()
+                whole = int(np.flatnonzero(bucket == bucket[-1])[0])  # the last bucket may go on
+                if whole:
+                    yield from join(table.slice(0, whole))
+                held, size = table.slice(whole).to_batches(), len(bucket) - whole
+        if held:
+            yield from join(pa.Table.from_batches(held))
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, k: int = 2) -> DataFrame:
@@ -182,11 +194,116 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named_prints, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8, **options) -> DataFrame:
     """One document of each component stays: the one of least id, all its columns kept.
 
-    Rows that share an id stay or go together; a null id stays.
+    Components are those of similar_documents, or of near_duplicates where similarity is
+    None. Rows that share an id stay or go together; a null id stays.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
+    found = near_duplicates(docs, id_col, text_col, **options) if similarity is None else similar_documents(docs, id_col, text_col, similarity=similarity, **options)
     gone = found.groupBy("doc_id").agg(F.min("component_id").alias("c")).where("doc_id <> c").select(F.col("doc_id").alias(id_col))
     return docs.join(gone, id_col, "left_anti")
+
+
+#: Smallest shingle hashes that a text is dealt by, and that its sketch holds.
+KEYS, SKETCH = 6, 256
+#: Differing bits of 64 that texts of a similarity of 0.8 stay within (9.7 on the mean, deviation 2.9).
+NEAR_BITS = 17
+
+
+def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of rows of sorted 32-bit sketches, filled up at the end with zeros below.
+
+    Exact where both texts have no more shingles than a sketch holds; else from the SKETCH
+    smallest of both together.
+    """
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    real = both < np.iinfo(np.int64).max
+    new = np.ones(both.shape, bool)
+    new[:, 1:] = both[:, 1:] != both[:, :-1]
+    rank = np.cumsum(new, axis=1)
+    within = real & (rank <= SKETCH)
+    return (within & ~new).sum(axis=1) / np.maximum((within & new).sum(axis=1), 1)
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id of each row, linking texts whose shingle sets have at least the Jaccard similarity.
+
+    Texts that share one of their smallest shingle hashes are dealt together; there the trie self-join
+    finds fingerprints within NEAR_BITS, and sketches of the shingle sets decide. Rows without
+    words are one component. A null id is kept as it is.
+    """
+
+    def make():
+        def work(batch):
+            out = {"doc_id": batch.column("doc_id"), "fingerprint": [], "sketch": [], "keys": []}
+            for text in texts_of(batch):
+                hashes = shingle_hashes(text, shingle)
+                out["fingerprint"].append(majority(hashes))
+                least = np.unique(hashes)
+                out["keys"].append(least[:KEYS].view(np.int64))
+                out["sketch"].append(np.unique(hashes >> np.uint64(32))[:SKETCH].astype("<u4").tobytes())
+            return out
+
+        return work
+
+    rows = map_texts(named(docs, doc_id=id_col, text=text_col), make, "doc_id long, fingerprint long, sketch binary, keys array<long>")
+    rows = written(rows.withColumn("node", F.xxhash64("fingerprint", "sketch")))
+    prints = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fingerprint").alias("fingerprint"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    prints = written(prints)
+    roots = components(_similar_links(prints, similarity)).withColumnRenamed("root", "to")
+    placed = prints.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("to", "node").alias("root"))
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "node").join(placed.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def _similar_links(prints: DataFrame, similarity: float) -> DataFrame:
+    keyed = prints.select("node", F.explode("keys").alias("bucket"))
+    shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = keyed.join(shared, "bucket").join(prints.drop("least"), "node")
+    # a shingle that very many texts share deals them by pairs of shingles
+    others = F.transform(F.filter("keys", lambda k: k != F.col("bucket")), lambda k: F.xxhash64(F.least(k, F.col("bucket")), F.greatest(k, F.col("bucket"))))
+    hot = dealt.where(F.col("n") > HOT).withColumn("bucket", F.explode(others))
+    dealt = dealt.where(F.col("n") <= HOT).unionByName(hot).select("bucket", "node", "fingerprint", "sketch")
+
+    def join(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket, node = table.column("bucket").to_numpy(), table.column("node").to_numpy()
+        own = table.column("fingerprint").to_numpy().view(np.uint64)
+        order = np.lexsort((own, bucket))
+        bucket, node, own = bucket[order], node[order], own[order]
+        sketches = table.column("sketch").take(pa.array(order)).to_pylist()
+        root = np.arange(len(own))
+
+        def sketch(which: np.ndarray) -> np.ndarray:
+            out = np.full((len(which), SKETCH), np.iinfo(np.int64).max)
+            for i, w in enumerate(which.tolist()):
+                s = np.frombuffer(sketches[w], "<u4")
+                out[i, : len(s)] = s
+            return out
+
+        for u, v in _with_equals(own, bucket):
+            near = np.argsort(np.bitwise_count(own[u] ^ own[v]), kind="stable")
+            for a in range(0, len(near), 4096):
+                i, j = u[near[a : a + 4096]], v[near[a : a + 4096]]
+                apart = root[i] != root[j]  # what hangs together already needs no more links
+                i, j = i[apart], j[apart]
+                if len(i):
+                    like = sketch_similarity(sketch(i), sketch(j)) >= similarity
+                    held = np.flatnonzero(root != np.arange(len(root)))
+                    root = local_components(len(root), np.concatenate([held, i[like]]), np.concatenate([root[held], j[like]]))
+        held = np.flatnonzero(node[root] != node)
+        yield pa.RecordBatch.from_pydict({"u": node[held], "v": node[root[held]]})
+
+    n = partitions(prints.sparkSession)
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(join, ROWS // 8), "u long, v long").distinct()
+
+
+def _with_equals(values: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within NEAR_BITS where values may repeat in a group: each to the first of its equals, and the firsts by the trie."""
+    first = np.ones(len(values), bool)
+    first[1:] = (values[1:] != values[:-1]) | (group[1:] != group[:-1])
+    of = np.flatnonzero(first)[np.cumsum(first) - 1] if len(values) else np.zeros(0, np.int64)
+    yield np.flatnonzero(~first), of[~first]
+    places = np.flatnonzero(first)
+    for a, b in trie_join(values[places], group[places], NEAR_BITS):
+        yield places[a], places[b]

@@ -85,5 +85,37 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, fingerprint int")
     got = sorted((str(r.doc_id), r.component_id) for r in simhash.near_duplicates(docs).collect())
     assert got == sorted([("5", 3), ("3", 3), ("4", 3), ("9", 8), ("8", 8), ("None", 8), ("2", 1), ("1", 1), ("6", 6), ("6", 6)])
+    assert sorted(str(r.doc_id) for r in simhash.deduplicate(docs, similarity=None).collect()) == ["1", "3", "6", "6", "8", "None"]
     assert sorted(str(r.doc_id) for r in simhash.deduplicate(docs).collect()) == ["1", "3", "6", "6", "8", "None"]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_similar_texts_are_linked_as_brute_force_says(spark, monkeypatch):
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(300)]
+    texts = []
+    for n in (30, 60, 120, 200):
+        for _ in range(6):
+            base = rng.choices(vocab, k=n)
+            for _ in range(5):
+                copy = list(base)
+                for _ in range(rng.choice([0, 1, 1, n // 40, n // 20])):
+                    copy[rng.randrange(n)] = rng.choice(vocab)
+                texts.append(" ".join(copy))
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    label = local_components(len(texts), *np.array(near).T)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (20_000, 2):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+        wrong = sum(got[i] != label[i] for i in range(len(texts)))
+        assert wrong <= (1 if hot > 2 else 4)  # fingerprints of texts at the very threshold may be too far apart
+        assert all(label[i] == label[got[i]] for i in got)
