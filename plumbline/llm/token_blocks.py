@@ -17,6 +17,7 @@ A document is never cut: one text's ids have to fit a Parquet binary cell (2 GB)
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -33,6 +34,8 @@ SEGMENT_TOKENS = 1 << 18
 PERCENTILES = (0.75, 0.9, 0.95, 0.99, 1.0)
 HEAD = struct.Struct("<4sHHII")
 MAGIC = b"PFR1"
+#: Bits that each 16-bit number takes.
+LENGTH = np.array([0] + [k for k in range(1, 17) for _ in range(1 << (k - 1))], np.uint8)
 
 SEGMENTS = "shard int, segment int, first_token long, doc_ids array<long>, doc_tokens array<int>, payload binary"
 
@@ -49,9 +52,10 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
     values = values.reshape(blocks, block)
     low = values.min(axis=1)
     values -= low[:, None]
-    bits = np.zeros(values.shape, np.uint8)
-    for k in range(int(values.max()).bit_length()):
-        bits += values >= (1 << k)
+    bits = LENGTH[values & 0xFFFF]
+    if values.max() > 0xFFFF:
+        high = values >> 16
+        bits = np.where(high > 0, 16 + LENGTH[high], bits)
     # how many values of a block need at most w bits, for each w
     fits = np.stack([(bits <= w).sum(axis=1) for w in range(int(bits.max()) + 1)], axis=1)
     cost = np.full(blocks, np.iinfo(np.int64).max)
@@ -67,6 +71,9 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
     for w in np.unique(width):
         if w:
             rows = np.flatnonzero(width == w)
+            if w == 16:  # whole bytes are copied as they are
+                packed[start[rows][:, None] + np.arange(size[rows[0]])] = (values[rows] & 0xFFFF).astype("<u2").view(np.uint8)
+                continue
             part = np.unpackbits(values[rows].view(np.uint8).reshape(len(rows), block, 4)[:, :, : -(-int(w) // 8)], axis=2, bitorder="little")[:, :, :w]
             packed[start[rows][:, None] + np.arange(size[rows[0]])] = np.packbits(part.reshape(len(rows), -1), axis=1, bitorder="little")
     row, column = np.nonzero(bits > width[:, None])
@@ -112,6 +119,9 @@ class Segment:
             if w:
                 mine = np.flatnonzero(self.width[rows] == w)
                 raw = self.packed[self.start[rows[mine]].astype(np.int64)[:, None] + np.arange(int(w) * size // 8)]
+                if w == 16:
+                    out[mine] = raw.view("<u2")
+                    continue
                 bits = np.zeros((len(mine), size, 16 if w <= 16 else 32), np.uint8)
                 bits[:, :, :w] = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(mine), size, w)
                 out[mine] = np.packbits(bits, axis=2, bitorder="little").view("<u2" if w <= 16 else "<u4")[:, :, 0]
@@ -137,10 +147,13 @@ class ChunkEncoder:
 
     The byte-level pre-tokeniser always starts a token at a space before a
     non-space, so the library gives a text's ids as those of the chunks between such
-    places, in order. Chunks are kept in two generations of bounded size.
+    places, in order. Chunks are kept, without their space, in two generations of bounded size.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    CUT = re.compile(r" (?=\S)")
+    PLAIN = re.compile(r"[^\s<]+")
+
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -148,50 +161,34 @@ class ChunkEncoder:
         self.spaced = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(self.library.get_vocab_size())])
         self.keep, self.young, self.old = keep, {}, {}
 
-    def chunks(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        out, held = [], parts[0]
-        for part in parts[1:]:
-            if part and not part[0].isspace():
-                out.append(held)
-                held = " " + part
-            else:
-                held += " " + part
-        out.append(held)
-        return out
-
-    def _together(self, chunks: list[str]) -> None:
-        """Encodes chunks of one word each as one text; the tokens that begin with a space begin the chunks."""
-        ids = np.array(self.library.encode("".join(chunks), add_special_tokens=False).ids, "<u4")
-        starts = np.flatnonzero(self.spaced[ids])
-        if len(starts) == len(chunks):
-            raw, at = ids.tobytes(), (4 * starts).tolist() + [4 * len(ids)]
-            self.young.update((c, raw[a:b]) for c, a, b in zip(chunks, at, at[1:], strict=False))
+    def _learn(self, chunks: list[str]) -> None:
+        """Encodes chunks, each behind a space; those of one word together as one text, where tokens with a space begin the chunks."""
+        plain = [c for c in chunks if self.PLAIN.fullmatch(c)]
+        parts = [plain[at : at + 256] for at in range(0, len(plain), 256)]
+        for part, e in zip(parts, self.library.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) == len(part):
+                raw, cut = ids.tobytes(), (4 * starts).tolist() + [4 * len(ids)]
+                self.young.update(zip(part, [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)], strict=True))
+        rest = [c for c in chunks if c not in self.young]
+        self.young.update(zip(rest, self._each([" " + c for c in rest]), strict=True))
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self.chunks(t) for t in texts]
-        need = {c for chunks in cut for c in chunks}
-        got, new = {}, []
-        for c in need:
-            ids = self.young.get(c)
-            if ids is None and (ids := self.old.get(c)) is not None:
-                self.young[c] = ids
-            if ids is None:
-                new.append(c)
-            else:
-                got[c] = ids
-        plain = [c for c in new if c[:1] == " " and len(c) > 1 and len(c.split()) == 1 and not c[-1].isspace() and "<" not in c]
-        for at in range(0, len(plain), 8192):
-            self._together(plain[at : at + 8192])
-        rest = [c for c in new if c not in self.young]
-        for at in range(0, len(rest), 8192):
-            for c, e in zip(rest[at : at + 8192], self.library.encode_batch_fast(rest[at : at + 8192], add_special_tokens=False), strict=True):
-                self.young[c] = np.array(e.ids, "<u4").tobytes()
-        got.update((c, self.young[c]) for c in new)
+        cut = [self.CUT.split(t) for t in texts]
+        first = self._each([chunks.pop(0) for chunks in cut])  # the only chunks without a space in front
         if len(self.young) > self.keep:
             self.old, self.young = self.young, {}
-        return [b"".join([got[c] for c in chunks]) for chunks in cut]
+        new = set().union(*cut) - self.young.keys()
+        known = new & self.old.keys()
+        self.young.update((c, self.old[c]) for c in known)
+        self._learn(list(new - known))
+        get = self.young.__getitem__
+        return [f + b"".join(map(get, chunks)) for f, chunks in zip(first, cut, strict=True)]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
