@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import alignment, geometry, lookup, metrics, records, sequences  # noqa: F401
+from plumbline.plans import alignment, geometry, joins, lookup, metrics, records, sequences  # noqa: F401
 from plumbline.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

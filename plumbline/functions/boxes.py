@@ -76,3 +76,15 @@ def working_size(w: Column, h: Column, area: int = 384 * 512, step: int = 8) ->
     k = F.sqrt(F.lit(float(area)) / (w * h))
     whole = lambda v: v.cast("int") - v.cast("int") % step
     return F.struct(whole(w * k).alias("w"), whole(h * k).alias("h"))
+
+
+def crop_point(x: Column, y: Column, cx: Column, cy: Column, scale: Column, size: float) -> Column:
+    """A pixel, counted from 1, in the crop around a centre: whole pixels, counted from 1 again."""
+    h = 200 * scale
+    to = lambda v, c: (size * (v - 1 - c) / h + size * 0.5).cast("int") + 1
+    return F.struct(to(x, cx).alias("x"), to(y, cy).alias("y"))
+
+
+def flipped(points: Column, order: list[int], w: float) -> Column:
+    """Points mirrored in an image of width w, with left and right ones exchanged by an order."""
+    return F.transform(F.array(*map(F.lit, order)), lambda i: F.get(F.transform(F.array(F.get(points, i)), lambda p: F.concat(F.array(w - 1 - F.get(p, F.lit(0))), F.slice(p, 2, F.size(p) - 1))), F.lit(0)))

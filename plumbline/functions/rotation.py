@@ -191,3 +191,25 @@ def slerp(a: Column, b: Column, t: Column) -> Column:
         return bind(F.struct(p.alias("p"), q.alias("q")), lambda w: unit(vec(*(w["p"] * at(x["a"], i) + w["q"] * at(x["b"], i) for i in range(4))), 4))
 
     return bind(F.struct(a.alias("a"), b.alias("b"), t.alias("t")), lambda x: bind(F.struct(x["a"].alias("a"), x["b"].alias("b"), x["t"].alias("t"), dot(x["a"], x["b"], 4).alias("d")), made))
+
+
+def turned_in_plane(v: Column, degrees: Column) -> Column:
+    """An axis-angle after a turn of the image."""
+    return axis_angle_from_quat(quat_mul(quat_from_axis_angle(vec(F.lit(0.0), F.lit(0.0), -F.radians(degrees))), quat_from_axis_angle(v)))
+
+
+def forward(parents: list[int], rotations: list[Column], offsets: list[Column]) -> list[Column]:
+    """Places of a skeleton's joints from quaternions and offsets to the parents; the root's parent is -1.
+
+    Parents come before their children. The tree is written out in the plan, so it should be small.
+    """
+    turns: list[Column] = []
+    places: list[Column] = []
+    for i, p in enumerate(parents):
+        if p < 0:
+            turns.append(rotations[i])
+            places.append(offsets[i])
+        else:
+            turns.append(quat_mul(turns[p], rotations[i]))
+            places.append(plus(places[p], mat_vec(matrix_from_quat(turns[p]), offsets[i])))
+    return places
