@@ -41,7 +41,9 @@ OUT_WORDS = set(
     "notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup signin login register alert toast paywall "
     "share sharing sharebar social related recommended recommendations trending widget widgets toolbar pagination pager skip copyright legal hidden".split()
 )
-#: Elements that no class name takes out.
+#: Words that take an article out too: readers' comments and adverts are often marked as articles.
+OUT_ARTICLES = set("comment comments reply replies ad ads advert advertisement sponsored promo related recommended".split())
+#: Elements that no other class name takes out.
 KEPT = set("html body main article p h1 h2 h3 h4 h5 h6 b i em strong a span".split())
 IN_SCOPE_OF = {"li": set("ul ol menu dir".split()), "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": set("tr table".split()), "th": set("tr table".split()), "option": {"select"}}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
@@ -63,6 +65,8 @@ def is_out(tag: str, attributes: str, inside_article: bool) -> bool:
         return True
     if a.get("role", "").lower() in OUT_ROLES:
         return True
+    if tag == "article":
+        return not OUT_ARTICLES.isdisjoint(WORDS.findall(a.get("class", "").lower()))
     if tag in KEPT:
         return tag in ("p", "span", "a") and not OUT_WORDS.isdisjoint(WORDS.findall(a.get("class", "").lower()))
     words = {w for name in ("class", "id") for w in WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", a.get(name, "")).lower())}

@@ -21,6 +21,11 @@ def test_parts_around_an_article_are_left_out():
         assert main_text(page) == f"Title {STORY}", wrap
 
 
+def test_comments_marked_as_articles_are_left_out():
+    comments = '<article class="comment"><p>A long reader comment that goes on and on about the story.</p></article>' * 9
+    assert main_text(f"<body><article><h1>Title</h1>{P}</article>{comments}</body>") == f"Title {STORY}"
+
+
 def test_parts_inside_an_article_are_left_out():
     inner = P + '<div class="ad">Buy now</div><style>p{}</style><!-- <p>no</p> --><section id="comments"><p>me too</p></section>'
     assert main_text(f"<body><article>{inner}</article></body>") == STORY
