@@ -2,7 +2,7 @@
 
 A token's probability is that of its class, given the tokens before it, times its
 own within the class. The class has a softmax over hashed features: the tokens before,
-pairs and skips of them, endings and groups. Weights are trained by distributed gradient updates:
+pairs and skips of them, groups and classes. Weights are trained by distributed gradient updates:
 in each round every task goes through its documents in mini-batches from the common weights,
 and rows of weights are averaged by how often they were updated. Within a class the
 probability is the token's share of all training tokens of the class.
@@ -21,6 +21,7 @@ one class and no counts. A null id belongs to the training part if learn says so
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -35,10 +36,10 @@ from plumbline.llm.vectors import fit_cells
 
 #: Tokens whose counts all tasks hold, tokens that are put in classes, and neighbours they are put by.
 KNOWN, CLASSED, NEIGHBOURS = 100_000, 8_192, 64
-CLASSES, GROUPS = 40, 8
+CLASSES, GROUPS = 24, 8
 #: Rows of weights, and features of a token.
-BUCKETS, FEATURES = 1 << 14, 7
-ROUNDS, BATCH, RATE = 3, 2_048, 0.15
+BUCKETS, FEATURES = 1 << 14, 5
+ROUNDS, BATCH, RATE = 3, 8_192, 0.2
 MEMO = 200_000
 END = ""  # no word is empty
 
@@ -82,8 +83,7 @@ def company(docs: DataFrame, words: list[str]) -> np.ndarray:
             at = np.array(ids, np.int64)
             for word, near, side in ((at[1:], at[:-1], 0), (at[:-1], at[1:], NEIGHBOURS)):
                 both = (word >= 0) & (near >= 0) & (near < NEIGHBOURS)
-                found, n = np.unique(word[both] * wide + near[both] + side, return_counts=True)
-                sums[found] += n
+                sums += np.bincount(word[both] * wide + near[both] + side, minlength=len(sums))
         rows = sums.reshape(-1, wide)
         for start in range(0, len(rows), 1024):
             part = rows[start : start + 1024]
@@ -105,36 +105,55 @@ def company(docs: DataFrame, words: list[str]) -> np.ndarray:
 class Words:
     """What a task knows of tokens: a hash, a class, a group, and the count where it has it."""
 
-    def __init__(self, known: dict[str, int], classed: dict[str, int], letters: dict[str, list[float]], prior: list[float]):
+    def __init__(self, known: dict[str, int], classed: dict[str, int], letters: dict[bytes, tuple[float, int]], prior: tuple[float, int]):
         self.known = {w.encode(): c for w, c in known.items()}
         self.classed = {w.encode(): k for w, k in classed.items()}
         self.letters, self.prior = letters, prior
-        self.memo: dict[bytes, tuple[int, int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[bytes, int] = {}
+        self.facts = np.zeros((1 << 16, 2), np.int64)
 
     def group(self, word: bytes) -> int:
-        """The group that a word's letters speak for."""
-        text, total = f"^{word.decode('utf-8', 'replace')[:40]}$", list(self.prior)
-        for i in range(len(text) - 2):
-            for g, x in enumerate(self.letters.get(text[i : i + 3], ())):
-                total[g] += x
-        return max(range(len(total)), key=total.__getitem__)
+        """The group that the strongest of a word's first and last letters speaks for."""
+        text, get = b"^" + word[-40:] + b"$", self.letters.get
+        return max(get(text[:3], self.prior), get(text[1:4], self.prior), get(text[-4:-1], self.prior), get(text[-3:], self.prior))[1]
 
     def look(self, word: bytes) -> tuple[int, int]:
-        """(hash, ending's hash, class packed in one number; count, or -1 if unknown to the task)."""
-        k = self.classed.get(word)
+        """(hash, class and group packed in one number; count, or -1 if unknown to the task)."""
         group = self.group(word)
-        k = CLASSES + group if k is None else k
-        packed = ((xxhash.xxh32_intdigest(word) & 0x3FFFFFFF) << 32) | ((xxhash.xxh32_intdigest(word[-3:]) & 0xFFFF) << 16) | (k << 8) | group
+        k = self.classed.get(word, CLASSES + group)
+        packed = ((xxhash.xxh32_intdigest(word) & 0x3FFFFFFF) << 32) | (k << 8) | group
         return packed, self.known.get(word, -1)
 
     def read(self, words: list[bytes]) -> np.ndarray:
         """Packed numbers and counts of a text's tokens, in two columns."""
         memo = self.memo
         if len(memo) > 2 * MEMO:
-            memo.clear()
-        for w in set(words) - memo.keys():
-            memo[w] = self.look(w)
-        return np.array([memo[w] for w in words], np.int64)
+            self.forget()
+            memo = self.memo
+        new = [w for w in set(words) if w not in memo]
+        if new:
+            start = len(memo)
+            while start + len(new) > len(self.facts):
+                self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
+            packed, counts = zip(*map(self.look, new), strict=True)
+            self.facts[start : start + len(new), 0] = packed
+            self.facts[start : start + len(new), 1] = counts
+            memo.update(zip(new, range(start, start + len(new)), strict=True))
+        return self.facts[np.fromiter(map(memo.__getitem__, words), np.int64, len(words))]
+
+
+_held: dict[str, Words] = {}
+
+
+def held_words(name: str, words: tuple) -> Words:
+    """The worker's own table of a run; a reused Python worker keeps it from task to task."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = Words(*words)
+    return _held[name]
 
 
 N_CLASSES = CLASSES + GROUPS + 1
@@ -142,13 +161,13 @@ ENDING = N_CLASSES - 1
 
 
 def features(packed: np.ndarray) -> np.ndarray:
-    """Rows of weights for each token of a text, by what stands before it."""
+    """Rows of weights for each token of a text, by what stands before it: the token, the one
+    before that, both, the groups of three, the classes of two."""
     n = len(packed)
     before = np.concatenate([np.full(3, (1 << 61) + 0xFF, np.int64), packed])
     p1, p2, p3 = before[2 : 2 + n], before[1 : 1 + n], before[:n]
-    h1, h2, h3 = (p >> 32 for p in (p1, p2, p3))
-    g1, g2, g3 = (p & 0xFF for p in (p1, p2, p3))
-    raw = (h1, h2, h3, h1 * 31 + h2 * 1_000_003, (p1 >> 16) & 0xFFFF, (g1 * 257 + g2) * 257 + g3, ((p1 >> 8) & 0xFF) * 257 + ((p2 >> 8) & 0xFF))
+    h1, h2 = p1 >> 32, p2 >> 32
+    raw = (h1, h2, h1 * 31 + h2 * 1_000_003, ((p1 & 0xFF) * 257 + (p2 & 0xFF)) * 257 + (p3 & 0xFF), ((p1 >> 8) & 0xFF) * 257 + ((p2 >> 8) & 0xFF))
     mixed = np.stack([r.astype(np.uint64) + np.uint64(k * 0x9E3779B9) for k, r in enumerate(raw)], axis=1) * np.uint64(0x9E3779B97F4A7C15)
     return (mixed >> np.uint64(64 - 14)).astype(np.int32)
 
@@ -168,15 +187,16 @@ def classes_of(packed: np.ndarray) -> np.ndarray:
     return k
 
 
-def train(docs: DataFrame, words: tuple, bias: np.ndarray) -> np.ndarray:
+def train(docs: DataFrame, name: str, words: tuple, bias: np.ndarray) -> np.ndarray:
     """Weights after ROUNDS rounds, each over its part of all documents."""
     weights = np.zeros((BUCKETS, N_CLASSES), np.float32)
     blocks = 16
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # KNOWN counts and tables of fixed size
     for turn in range(ROUNDS):
         start = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float16))  # of fixed size
 
         def run(it: Iterable[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            own = Words(*words)
+            own = held_words(name, shared.value)
             w = start.value.astype(np.float32)
             seen, slope = np.zeros(BUCKETS, np.int64), np.full((BUCKETS, 1), 1e-2, np.float32)
             rows, goals, size = [], [], 0
@@ -188,9 +208,10 @@ def train(docs: DataFrame, words: tuple, bias: np.ndarray) -> np.ndarray:
                     error = np.exp(class_logs(w, bias, fa))
                     error[np.arange(len(ka)), ka] -= 1
                     flat = fa.T.reshape(-1)
-                    order = np.argsort(flat, kind="stable")
-                    ids, at = np.unique(flat[order], return_index=True)
-                    gradient = np.add.reduceat(error[order % len(ka)], at, axis=0) / np.float32(math.sqrt(len(ka)))
+                    used = np.bincount(flat, minlength=BUCKETS)
+                    ids = np.flatnonzero(used)
+                    place = (np.cumsum(used > 0) - 1)[flat]
+                    gradient = np.stack([np.bincount(place, np.tile(e, FEATURES), len(ids)) for e in np.ascontiguousarray(error.T)], axis=1).astype(np.float32) / np.float32(math.sqrt(len(ka)))
                     slope[ids] += (gradient * gradient).mean(axis=1, keepdims=True)
                     w[ids] -= RATE * gradient / np.sqrt(slope[ids])
                     seen[ids] += 1
@@ -202,7 +223,7 @@ def train(docs: DataFrame, words: tuple, bias: np.ndarray) -> np.ndarray:
                         rows.append(features(packed)[a : a + (1 << 16)] if a == 0 else features(packed[a - 3 :])[3 : 3 + (1 << 16)])
                         goals.append(classes_of(packed.copy())[a : a + (1 << 16)])
                         size += len(goals[-1])
-                        if size >= 16 * BATCH:
+                        if size >= 8 * BATCH:
                             update()
                             rows, goals, size = [], [], 0
             if size:
@@ -244,19 +265,24 @@ def arrange(docs: DataFrame, counts: DataFrame) -> tuple:
     group_of = (centres @ tops.T).argmax(axis=1)
     seen = [Counter() for _ in range(GROUPS)]
     for w, k in classed.items():
-        text = f"^{w[:40]}$"
+        text = b"^" + w.encode()[-40:] + b"$"
         seen[group_of[k]].update(text[i : i + 3] for i in range(len(text) - 2))
-    totals = [sum(s.values()) for s in seen]
-    letters = {t: [math.log((s[t] + 0.3) / (n + 300)) for s, n in zip(seen, totals, strict=True)] for t in set().union(*seen)}
-    prior = [math.log((n + 1) / (sum(totals) + GROUPS)) for n in totals]
+    totals = np.array([sum(s.values()) for s in seen], float)
+    letters: dict[bytes, tuple[float, int]] = {}
+    for t in set().union(*seen):
+        # how far the likeliest group is ahead of the next, in logarithms
+        odds = np.log((np.array([s[t] for s in seen]) + 0.3) / (totals + 300))
+        first, second = np.argsort(-odds)[:2]
+        letters[t] = (float(odds[first] - odds[second]), int(first))
+    prior = (0.0, int(totals.argmax()))
     return known, classed, letters, prior
 
 
-def class_sizes(counts: DataFrame, words: tuple) -> tuple[np.ndarray, np.ndarray]:
+def class_sizes(counts: DataFrame, name: str, words: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Training tokens and different tokens of each class, over the whole vocabulary."""
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Words(*words)
+        own = held_words(name, words)
         n, v = np.zeros(N_CLASSES, np.int64), np.zeros(N_CLASSES, np.int64)
         for batch in batched(it, 8192):
             tokens, c = [t.encode() for t in batch.column("token").to_pylist()], batch.column("c").to_numpy()
@@ -281,9 +307,10 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     counts = written(count_tokens(taught))
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words = arrange(taught, counts)
-    n, v = class_sizes(counts, words)
+    name = uuid.uuid4().hex
+    n, v = class_sizes(counts, name, words)
     bias = np.log((n + 0.1) / (n.sum() + 0.1 * N_CLASSES)).astype(np.float32)
-    weights = train(taught, words, bias)
+    weights = train(taught, name, words, bias)
     whole = math.log10(total + 0.1 * (kinds + 1))
     # log10 of what a count is divided by within its class
     inner = np.log10(np.where(np.arange(N_CLASSES) < CLASSES, np.maximum(n, 1), n + 0.1 * (v + 1)))
@@ -291,7 +318,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # of fixed size
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, w = Words(*words), shared.value
+        own, w = held_words(name, words), shared.value
         ln10, ends = math.log(10), n[ENDING]
         for batch in batched(it):
             out = {k: [] for k in ("n_tokens", "n_known", "base", "score", "rest")}
@@ -322,8 +349,8 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
                     score += near.sum() / ln10 + shares.sum() - inner[k].sum()
                     n_known += int((c[has] > 0).sum())
                     rest += [part[lead + i].decode("utf-8", "replace") for i in np.flatnonzero(~has).tolist()]
-                for name, x in (("n_tokens", len(tokens)), ("n_known", n_known), ("base", base), ("score", score), ("rest", rest)):
-                    out[name].append(x)
+                for column, x in (("n_tokens", len(tokens)), ("n_known", n_known), ("base", base), ("score", score), ("rest", rest)):
+                    out[column].append(x)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "learnt": batch.column("learnt"), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "base": pa.array(out["base"], pa.float64()), "score": pa.array(out["score"], pa.float64()), "rest": pa.array(out["rest"], pa.list_(pa.string()))})
 
     scored = rows.mapInArrow(run, "doc_id long, learnt boolean, n_tokens long, n_known long, base double, score double, rest array<string>")
