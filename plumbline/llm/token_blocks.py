@@ -183,10 +183,9 @@ class ChunkEncoder:
         first = self._each([chunks.pop(0) for chunks in cut])  # the only chunks without a space in front
         if len(self.young) > self.keep:
             self.old, self.young = self.young, {}
-        new = set().union(*cut) - self.young.keys()
-        known = new & self.old.keys()
-        self.young.update((c, self.old[c]) for c in known)
-        self._learn(list(new - known))
+        new = [c for c in set().union(*cut) if c not in self.young]
+        self.young.update((c, self.old[c]) for c in new if c in self.old)
+        self._learn([c for c in new if c not in self.young])
         get = self.young.__getitem__
         return [f + b"".join(map(get, chunks)) for f, chunks in zip(first, cut, strict=True)]
 
