@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import named
+from plumbline.llm.common import named, written
 
 ASSIGN = (
     r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -111,7 +111,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     all spans that are owner-specific so, n_example those that are not. One base
     span may lie in another (a hex run in an assignment); each counts.
     """
-    found = candidates(docs, id_col, text_col, repo_col, owner_col)
+    found = written(candidates(docs, id_col, text_col, repo_col, owner_col))  # spans alone: the texts are read once
     judged = _judged(found, most_repos, most_owners).withColumnsRenamed({"doc_id": "k1", "text_key": "k2"})
     rows = found.join(judged, F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("text_key") == F.col("k2")), "left")
     rows = rows.withColumn("judged", F.coalesce("judged", F.array().cast(rows.schema["judged"].dataType)))
@@ -129,7 +129,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
 
     Only what occurs in more repositories or with more owners is left in the text, as an example.
     """
-    found = candidates(docs, id_col, text_col, repo_col, owner_col)
+    found = written(candidates(docs, id_col, text_col, repo_col, owner_col))  # spans alone: the texts are read once
     live = _judged(found, most_repos, most_owners).select("doc_id", "text_key", F.array_sort(F.transform(F.filter("judged", lambda j: j["live"]), lambda j: F.struct(j["s"]["start"].alias("start"), j["s"]["end"].alias("end")))).alias("cuts")).where(F.size("cuts") > 0)
     live = live.withColumnsRenamed({"doc_id": "__id", "text_key": "__key", "cuts": "__cuts"})
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
