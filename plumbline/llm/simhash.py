@@ -29,7 +29,7 @@ BITS = 64
 #: A deal of more fingerprints than this is dealt again by pieces of its other bits.
 HOT = 20_000
 #: Fingerprints joined at a time, and node pairs held at a time, in a task.
-ROWS, PAIRS = 1 << 16, 1 << 20
+ROWS, PAIRS = 1 << 16, 1 << 17
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -283,8 +283,8 @@ def _similar_links(prints: DataFrame, similarity: float) -> DataFrame:
 
         for u, v in _with_equals(own, bucket):
             near = np.argsort(np.bitwise_count(own[u] ^ own[v]), kind="stable")
-            for a in range(0, len(near), 4096):
-                i, j = u[near[a : a + 4096]], v[near[a : a + 4096]]
+            for a in range(0, len(near), 2048):
+                i, j = u[near[a : a + 2048]], v[near[a : a + 2048]]
                 apart = root[i] != root[j]  # what hangs together already needs no more links
                 i, j = i[apart], j[apart]
                 if len(i):
@@ -295,7 +295,7 @@ def _similar_links(prints: DataFrame, similarity: float) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"u": node[held], "v": node[root[held]]})
 
     n = partitions(prints.sparkSession)
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(join, ROWS // 8), "u long, v long").distinct()
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(join, ROWS // 16), "u long, v long").distinct()
 
 
 def _with_equals(values: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
