@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, html_text, maxent, pieces, secrets, simhash, token_blocks, toxicity, vectors
+from plumbline.llm import decontamination, html_text, maxent, pieces, secrets, separator_scan, simhash, token_blocks, toxicity, vectors
 from plumbline.session import load
 
 
@@ -27,6 +27,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separator_scan.document_tokens(load(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def remainder(divisor: int):
     """crc32 of the doc_id as text, modulo divisor."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_blocks": op1_token_blocks,
         "op2_decontamination": op2_decontamination,
+        "op3_separators": op3_separators,
         "op4_toxicity": op4_toxicity,
         "op5_maxent": op5_maxent,
         "op6_secrets": op6_secrets,
