@@ -24,6 +24,7 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ BUCKETS, FEATURES = 1 << 14, 5
 ROUNDS, BATCH, RATE = 3, 8_192, 0.2
 MEMO = 200_000
 END = ""  # no word is empty
+#: What stands before a text (no word holds a space), and tokens read together.
+PAD, SPAN = b" ", 16_384
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -51,6 +54,32 @@ def tokens_of(text: str) -> list[bytes]:
     return words
 
 
+def spans(texts: list[str]) -> Iterator[tuple[list[bytes], list[tuple[int, int, bool]]]]:
+    """Tokens of many texts in one list, and its parts: the text's number, its tokens there, whether it ends there.
+
+    Before each part stand the three tokens before it, which are PAD before a text. A long text is cut into parts.
+    """
+    flat: list[bytes] = []
+    parts: list[tuple[int, int, bool]] = []
+    for i, text in enumerate(texts):
+        tokens = [PAD, PAD, PAD, *tokens_of(text)]
+        for a in range(3, len(tokens), SPAN):
+            flat += tokens[a - 3 : a + SPAN]
+            parts.append((i, min(SPAN, len(tokens) - a), a + SPAN >= len(tokens)))
+            if len(flat) >= SPAN:
+                yield flat, parts
+                flat, parts = [], []
+    if parts:
+        yield flat, parts
+
+
+def places(parts: list[tuple[int, int, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the tokens of the parts stand in the list of spans(), and where each part begins among them."""
+    sizes = np.array([n for _, n, _ in parts])
+    starts = np.cumsum(sizes) - sizes
+    return np.arange(sizes.sum()) + np.repeat(3 * np.arange(1, len(parts) + 1), sizes), starts
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(token, c): how often each token occurs in docs. Tasks sum before anything is shuffled."""
 
@@ -112,8 +141,9 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.memo: dict[bytes, int] = {}
+        self.memo: dict[bytes, int] = {PAD: 0}
         self.facts = np.zeros((1 << 16, 2), np.int64)
+        self.facts[0] = (1 << 61) + 0xFF, -1
 
     def group(self, word: bytes) -> int:
         """The group that the strongest of a word's first and last letters speaks for."""
@@ -133,8 +163,10 @@ class Words:
         if len(memo) > 2 * MEMO:
             self.forget()
             memo = self.memo
-        new = [w for w in set(words) if w not in memo]
-        if new:
+        at = np.fromiter(map(memo.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = list({words[i] for i in missing})
             start = len(memo)
             while start + len(new) > len(self.facts):
                 self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
@@ -142,7 +174,8 @@ class Words:
             self.facts[start : start + len(new), 0] = packed
             self.facts[start : start + len(new), 1] = counts
             memo.update(zip(new, range(start, start + len(new)), strict=True))
-        return self.facts[np.fromiter(map(memo.__getitem__, words), np.int64, len(words))]
+            at[missing] = [memo[words[i]] for i in missing]
+        return self.facts[at]
 
 
 _held: dict[str, Words] = {}
@@ -161,30 +194,41 @@ ENDING = N_CLASSES - 1
 
 
 def features(packed: np.ndarray) -> np.ndarray:
-    """Rows of weights for each token of a text, by what stands before it: the token, the one
+    """Rows of weights for each token from the fourth on, by what stands before it: the token, the one
     before that, both, the groups of three, the classes of two."""
-    n = len(packed)
-    before = np.concatenate([np.full(3, (1 << 61) + 0xFF, np.int64), packed])
-    p1, p2, p3 = before[2 : 2 + n], before[1 : 1 + n], before[:n]
+    p1, p2, p3 = packed[2:-1], packed[1:-2], packed[:-3]
     h1, h2 = p1 >> 32, p2 >> 32
     raw = (h1, h2, h1 * 31 + h2 * 1_000_003, ((p1 & 0xFF) * 257 + (p2 & 0xFF)) * 257 + (p3 & 0xFF), ((p1 >> 8) & 0xFF) * 257 + ((p2 >> 8) & 0xFF))
     mixed = np.stack([r.astype(np.uint64) + np.uint64(k * 0x9E3779B9) for k, r in enumerate(raw)], axis=1) * np.uint64(0x9E3779B97F4A7C15)
     return (mixed >> np.uint64(64 - 14)).astype(np.int32)
 
 
-def class_logs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the classes' probabilities, a token a row."""
-    z = weights[rows[:, 0]] + bias
+def scores_of(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The classes' scores, a token a row, with 0 for the best."""
+    z = weights.take(rows[:, 0], axis=0)
+    z += bias
     for f in range(1, FEATURES):
-        z += weights[rows[:, f]]
+        z += weights.take(rows[:, f], axis=0)
     z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
 
 
-def classes_of(packed: np.ndarray) -> np.ndarray:
-    k = (packed >> 8) & 0xFF
-    k[-1] = ENDING
-    return k
+def class_logs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the classes' probabilities, a token a row."""
+    z = scores_of(weights, bias, rows)
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
+
+
+def read_span(own: Words, flat: list[bytes], parts: list[tuple[int, int, bool]]) -> tuple[np.ndarray, ...]:
+    """Of a span's tokens without the leads: rows of weights, classes, counts (an end has none), where parts begin, whether a token ends a text, where it stands in flat."""
+    both = own.read(flat)
+    at, starts = places(parts)
+    k = (both[at, 0] >> 8) & 0xFF
+    ends = np.zeros(len(at), bool)
+    ends[np.append(starts[1:], len(at)) - 1] = [last for _, _, last in parts]
+    k[ends] = ENDING
+    return features(both[:, 0])[at - 3], k, both[at, 1], starts, ends, at
 
 
 def train(docs: DataFrame, name: str, words: tuple, bias: np.ndarray) -> np.ndarray:
@@ -205,7 +249,8 @@ def train(docs: DataFrame, name: str, words: tuple, bias: np.ndarray) -> np.ndar
                 f, k = np.concatenate(rows), np.concatenate(goals)
                 for a in range(0, len(k), BATCH):
                     fa, ka = f[a : a + BATCH], k[a : a + BATCH]
-                    error = np.exp(class_logs(w, bias, fa))
+                    error = np.exp(scores_of(w, bias, fa))
+                    error /= error.sum(axis=1, keepdims=True)
                     error[np.arange(len(ka)), ka] -= 1
                     flat = fa.T.reshape(-1)
                     used = np.bincount(flat, minlength=BUCKETS)
@@ -217,15 +262,14 @@ def train(docs: DataFrame, name: str, words: tuple, bias: np.ndarray) -> np.ndar
                     seen[ids] += 1
 
             for batch in batched(it):
-                for text in texts_of(batch):
-                    packed = own.read(tokens_of(text))[:, 0]
-                    for a in range(0, len(packed), 1 << 16):  # a very long text in parts
-                        rows.append(features(packed)[a : a + (1 << 16)] if a == 0 else features(packed[a - 3 :])[3 : 3 + (1 << 16)])
-                        goals.append(classes_of(packed.copy())[a : a + (1 << 16)])
-                        size += len(goals[-1])
-                        if size >= 8 * BATCH:
-                            update()
-                            rows, goals, size = [], [], 0
+                for flat, parts in spans(texts_of(batch)):
+                    f, k, *_ = read_span(own, flat, parts)
+                    rows.append(f)
+                    goals.append(k)
+                    size += len(k)
+                    if size >= 8 * BATCH:
+                        update()
+                        rows, goals, size = [], [], 0
             if size:
                 update()
             if seen.any():
@@ -321,36 +365,23 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         own, w = held_words(name, words), shared.value
         ln10, ends = math.log(10), n[ENDING]
         for batch in batched(it):
-            out = {k: [] for k in ("n_tokens", "n_known", "base", "score", "rest")}
-            for text in texts_of(batch):
-                tokens = tokens_of(text)
-                base = score = 0.0
-                n_known, rest = 0, []
-                for a in range(0, len(tokens), 8192):  # a long text in parts, each with the three tokens before it
-                    lead = min(a, 3)
-                    part = tokens[a - lead : a + 8192]
-                    both = own.read(part)
-                    packed, c = both[:, 0], both[lead:, 1]
-                    k = (packed[lead:] >> 8) & 0xFF
-                    last = a + 8192 >= len(tokens)
-                    if last:
-                        k[-1] = ENDING
-                        c[-1] = ends
-                    near = class_logs(w, bias, features(packed)[lead:])[np.arange(len(k)), k]
-                    has = c > 0
-                    if last:
-                        has[-1] = True
-                    logs = np.log10(c[has] + 0.1)
-                    base += logs.sum()
-                    # in a class of common tokens the counts themselves are the shares
-                    shares = np.where(k[has] < CLASSES, np.log10(np.maximum(c[has], 1)), logs)
-                    if last:
-                        shares[-1] = math.log10(max(ends, 1))
-                    score += near.sum() / ln10 + shares.sum() - inner[k].sum()
-                    n_known += int((c[has] > 0).sum())
-                    rest += [part[lead + i].decode("utf-8", "replace") for i in np.flatnonzero(~has).tolist()]
-                for column, x in (("n_tokens", len(tokens)), ("n_known", n_known), ("base", base), ("score", score), ("rest", rest)):
-                    out[column].append(x)
+            texts = texts_of(batch)
+            sums, rest = np.zeros((4, len(texts))), [[] for _ in texts]
+            for flat, parts in spans(texts):
+                f, k, c, starts, last, at = read_span(own, flat, parts)
+                near = class_logs(w, bias, f)[np.arange(len(k)), k]
+                c[last] = ends
+                has = (c > 0) | last
+                logs = np.where(has, np.log10(np.maximum(c, 0) + 0.1), 0)
+                # in a class of common tokens the counts themselves are the shares
+                shares = np.where(has & ((k < CLASSES) | last), np.log10(np.maximum(c, 1)), logs)
+                text = [i for i, _, _ in parts]
+                for total, x in zip(sums, (np.ones(len(k)), has & (c > 0), logs, near / ln10 + shares - inner[k]), strict=True):
+                    np.add.at(total, text, np.add.reduceat(x.astype(np.float64), starts))
+                number = np.repeat(text, [size for _, size, _ in parts])
+                for i in np.flatnonzero(~has).tolist():
+                    rest[number[i]].append(flat[at[i]].decode("utf-8", "replace"))
+            out = {"n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64), "base": sums[2], "score": sums[3], "rest": rest}
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "learnt": batch.column("learnt"), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "base": pa.array(out["base"], pa.float64()), "score": pa.array(out["score"], pa.float64()), "rest": pa.array(out["rest"], pa.list_(pa.string()))})
 
     scored = rows.mapInArrow(run, "doc_id long, learnt boolean, n_tokens long, n_known long, base double, score double, rest array<string>")
