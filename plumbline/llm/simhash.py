@@ -207,72 +207,114 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: Smallest shingle hashes that a text is dealt by, and that its sketch holds.
 KEYS, SKETCH = 6, 256
-#: Differing bits of 64 that texts of a similarity of 0.8 stay within (9.7 on the mean, deviation 2.9).
-NEAR_BITS = 17
+#: Words of a print, and differing bits that texts of a similarity of 0.8 stay within (9.7 on the mean, deviation 2.9).
+WORDS, NEAR_BITS = 1, 17
+#: How far a sketch that is cut at SKETCH may be off: five deviations of 0.025.
+SLACK = 0.125
+#: Undecided pairs that a row hands on at first; what is left is met in further rounds, with four times as many each.
+UNDECIDED = 32
 
 
-def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of rows of sorted 32-bit sketches, filled up at the end with zeros below.
+def sketch_similarity(a: np.ndarray, b: np.ndarray, whole: np.ndarray | bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard similarity of rows of sorted 32-bit sketches, filled up at the end with a number above all, and of how many shingles.
 
-    Exact where both texts have no more shingles than a sketch holds; else from the SKETCH
-    smallest of both together.
+    From the SKETCH smallest of both together; from all where both sketches hold their whole text.
     """
     both = np.sort(np.concatenate([a, b], axis=1), axis=1)
     real = both < np.iinfo(np.int64).max
     new = np.ones(both.shape, bool)
     new[:, 1:] = both[:, 1:] != both[:, :-1]
-    rank = np.cumsum(new, axis=1)
-    within = real & (rank <= SKETCH)
-    return (within & ~new).sum(axis=1) / np.maximum((within & new).sum(axis=1), 1)
+    within = real & ((np.cumsum(new, axis=1) <= SKETCH) | np.reshape(whole, (-1, 1)))
+    union = np.maximum((within & new).sum(axis=1), 1)
+    return (within & ~new).sum(axis=1) / union, union
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id of each row, linking texts whose shingle sets have at least the Jaccard similarity.
 
-    Texts that share one of their smallest shingle hashes are dealt together; there the trie self-join
-    finds fingerprints within NEAR_BITS, and sketches of the shingle sets decide. Rows without
-    words are one component. A null id is kept as it is.
+    Texts that share one of their smallest shingle hashes are dealt together (of pairs at 0.8, fewer than
+    7 in 100,000 share none). Set sizes, prints and sketches only rule pairs out; a link is
+    made where the whole sets, joined by node, have the similarity. Rows without words are one component.
+    A null id is kept as it is.
     """
+    texts = named(docs, doc_id=id_col, text=text_col).withColumn("h", F.xxhash64("text"))
 
     def make():
         def work(batch):
-            out = {"doc_id": batch.column("doc_id"), "fingerprint": [], "sketch": [], "keys": []}
+            out = {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "node": [], "n": [], "print": [], "sketch": [], "keys": []}
             for text in texts_of(batch):
                 hashes = shingle_hashes(text, shingle)
-                out["fingerprint"].append(majority(hashes))
-                least = np.unique(hashes)
-                out["keys"].append(least[:KEYS].view(np.int64))
-                out["sketch"].append(np.unique(hashes >> np.uint64(32))[:SKETCH].astype("<u4").tobytes())
+                different = np.unique(hashes)
+                out["node"].append(_node(different))
+                out["n"].append(len(different))
+                out["print"].append(np.array([majority(hashes)]).tobytes())
+                out["keys"].append(different[:KEYS].view(np.int64))
+                out["sketch"].append(np.unique(different >> np.uint64(32))[:SKETCH].astype("<u4").tobytes())
             return out
 
         return work
 
-    rows = map_texts(named(docs, doc_id=id_col, text=text_col), make, "doc_id long, fingerprint long, sketch binary, keys array<long>")
-    rows = written(rows.withColumn("node", F.xxhash64("fingerprint", "sketch")))
-    prints = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fingerprint").alias("fingerprint"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
-    prints = written(prints)
-    roots = components(_similar_links(prints, similarity)).withColumnRenamed("root", "to")
+    rows = written(map_texts(texts, make, "doc_id long, h long, node long, n long, print binary, sketch binary, keys array<long>"))
+    prints = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("h", "n", "print", "sketch", "keys"))))
+    roots = components(_similar_links(texts, prints, shingle, similarity)).withColumnRenamed("root", "to")
     placed = prints.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("to", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select("doc_id", "node").join(placed.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
-def _similar_links(prints: DataFrame, similarity: float) -> DataFrame:
-    keyed = prints.select("node", F.explode("keys").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = keyed.join(shared, "bucket").join(prints.drop("least"), "node")
-    # a shingle that very many texts share deals them by pairs of shingles
+def _node(different: np.ndarray) -> int:
+    """What stands for a set of shingle hashes: texts of the same set go as one."""
+    return int(np.array([xxhash.xxh64_intdigest(different.tobytes(), seed=7)], np.uint64).view(np.int64)[0])
+
+
+def _similar_links(texts: DataFrame, prints: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (u, v) that connect all nodes which share a key and have the similarity, each held against the whole sets."""
+    dealt = written(_tiles(prints))
+    links, rounds = None, 0
+    while True:
+        # what hangs together already needs no more links
+        known = dealt.withColumn("root", F.col("node")) if links is None else dealt.join(components(links).withColumnRenamed("root", "to"), "node", "left").withColumn("root", F.coalesce("to", "node")).drop("to")
+        whole = known.join(prints.select("node", "n", "print", "sketch"), "node")
+        n = partitions(prints.sparkSession)
+        work = _candidates(similarity, UNDECIDED * 4**rounds)
+        found = written(whole.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(work, ROWS // 16), "u long, v long, more long"))
+        pairs = found.where("u is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        new = _held(texts, prints, pairs, shingle, similarity)
+        links = written(new if links is None else links.unionByName(new).distinct())
+        more = found.where("more is not null").select(F.col("more").alias("bucket")).distinct()
+        if more.isEmpty():
+            return links
+        dealt, rounds = written(dealt.join(more, "bucket", "left_semi")), rounds + 1
+
+
+def _tiles(prints: DataFrame) -> DataFrame:
+    """bucket, side, node. A shingle that very many texts share deals them by pairs of shingles; side is -1."""
+    keyed = prints.select("node", "keys", F.explode("keys").alias("bucket"))
+    keyed = keyed.join(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
     others = F.transform(F.filter("keys", lambda k: k != F.col("bucket")), lambda k: F.xxhash64(F.least(k, F.col("bucket")), F.greatest(k, F.col("bucket"))))
-    hot = dealt.where(F.col("n") > HOT).withColumn("bucket", F.explode(others))
-    dealt = dealt.where(F.col("n") <= HOT).unionByName(hot).select("bucket", "node", "fingerprint", "sketch")
+    hot = keyed.where(F.col("n") > HOT).withColumn("bucket", F.explode(others))
+    return keyed.where(F.col("n") <= HOT).unionByName(hot).select("bucket", F.lit(-1).alias("side"), "node")
+
+
+def _candidates(similarity: float, undecided: int):
+    """Pairs (u, v) to hold against the whole sets, and in more the buckets that have others left."""
 
     def join(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        bucket, node = table.column("bucket").to_numpy(), table.column("node").to_numpy()
-        own = table.column("fingerprint").to_numpy().view(np.uint64)
-        order = np.lexsort((own, bucket))
-        bucket, node, own = bucket[order], node[order], own[order]
+        table = table.combine_chunks()
+        words = np.frombuffer(b"".join(table.column("print").to_pylist()), np.int64).reshape(-1, WORDS).view(np.uint64)
+        bucket = table.column("bucket").to_numpy()
+        order = np.lexsort((words[:, 0], bucket))
+        bucket, words = bucket[order], words[order]
+        node, side, n, before = (table.column(c).to_numpy()[order] for c in ("node", "side", "n", "root"))
         sketches = table.column("sketch").take(pa.array(order)).to_pylist()
-        root = np.arange(len(own))
+        end = np.searchsorted(bucket, bucket, side="right")
+        # rows of a component that is known are linked from the start
+        by = np.lexsort((before, bucket))
+        same = (before[by][1:] == before[by][:-1]) & (bucket[by][1:] == bucket[by][:-1])
+        root = local_components(len(node), by[1:][same], by[:-1][same])
+        handed, cut = np.zeros(len(node), np.int64), np.zeros(len(node), bool)
+        open_: list[np.ndarray] = []
+        sure: list[np.ndarray] = []
 
         def sketch(which: np.ndarray) -> np.ndarray:
             out = np.full((len(which), SKETCH), np.iinfo(np.int64).max)
@@ -281,29 +323,74 @@ def _similar_links(prints: DataFrame, similarity: float) -> DataFrame:
                 out[i, : len(s)] = s
             return out
 
-        for u, v in _with_equals(own, bucket):
-            near = np.argsort(np.bitwise_count(own[u] ^ own[v]), kind="stable")
-            for a in range(0, len(near), 2048):
-                i, j = u[near[a : a + 2048]], v[near[a : a + 2048]]
-                apart = root[i] != root[j]  # what hangs together already needs no more links
-                i, j = i[apart], j[apart]
-                if len(i):
-                    like = sketch_similarity(sketch(i), sketch(j)) >= similarity
+        def judge(i: np.ndarray, j: np.ndarray) -> None:
+            nonlocal root
+            for a in range(0, len(i), 2048):
+                u, v = i[a : a + 2048], j[a : a + 2048]
+                apart = root[u] != root[v]
+                full = handed[u] >= undecided
+                cut[u[apart & full]] = True
+                u, v = u[apart & ~full], v[apart & ~full]
+                if not len(u):
+                    continue
+                whole = (n[u] <= SKETCH) & (n[v] <= SKETCH)
+                like, union = sketch_similarity(sketch(u), sketch(v), whole)
+                slack = np.where(whole, 2 / union, SLACK)  # sketches hold half of each hash: two may meet
+                certain, maybe = like >= similarity + slack, np.abs(like - similarity) < slack
+                if certain.any():
+                    sure.append(np.stack([u[certain], v[certain]]))
                     held = np.flatnonzero(root != np.arange(len(root)))
-                    root = local_components(len(root), np.concatenate([held, i[like]]), np.concatenate([root[held], j[like]]))
-        held = np.flatnonzero(node[root] != node)
-        yield pa.RecordBatch.from_pydict({"u": node[held], "v": node[root[held]]})
+                    root = local_components(len(root), np.concatenate([held, u[certain]]), np.concatenate([root[held], v[certain]]))
+                if maybe.any():
+                    open_.append(np.stack([u[maybe], v[maybe]]))
+                    np.add.at(handed, u[maybe], 1)
+
+        live, held_u, held_v, size = np.flatnonzero(np.arange(len(node)) + 1 < end), [], [], 0
+        step = 1
+        while len(live):
+            near = live + step
+            small, large = np.minimum(n[live], n[near]), np.maximum(n[live], n[near])
+            fit = (small / large >= similarity) & (root[live] != root[near]) & ((side[live] != side[near]) | (side[live] < 0))
+            i, j = live[fit], near[fit]
+            close = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64) <= NEAR_BITS
+            held_u.append(i[close])
+            held_v.append(j[close])
+            size += int(close.sum())
+            if size >= 2048 or step == 1:
+                judge(np.concatenate(held_u), np.concatenate(held_v))
+                held_u, held_v, size = [], [], 0
+            step += 1
+            live = live[live + step < end[live]]
+        if size:
+            judge(np.concatenate(held_u), np.concatenate(held_v))
+        # pairs that certain ones have joined meanwhile are not needed
+        u, v = np.concatenate([np.empty((2, 0), np.int64), *open_], axis=1)
+        apart = root[u] != root[v]
+        u, v = np.concatenate([np.stack([u[apart], v[apart]]), *sure], axis=1)
+        more = np.unique(bucket[cut])
+        none = pa.nulls(len(u), pa.int64())
+        yield pa.RecordBatch.from_pydict({"u": pa.array(node[u]), "v": pa.array(node[v]), "more": none})
+        if len(more):
+            none = pa.nulls(len(more), pa.int64())
+            yield pa.RecordBatch.from_pydict({"u": none, "v": none, "more": pa.array(more)})
+
+    return join
+
+
+def _held(texts: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) whose whole sets of shingles have the similarity."""
 
-    n = partitions(prints.sparkSession)
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(join, ROWS // 16), "u long, v long").distinct()
-
-
-def _with_equals(values: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs within NEAR_BITS where values may repeat in a group: each to the first of its equals, and the firsts by the trie."""
-    first = np.ones(len(values), bool)
-    first[1:] = (values[1:] != values[:-1]) | (group[1:] != group[:-1])
-    of = np.flatnonzero(first)[np.cumsum(first) - 1] if len(values) else np.zeros(0, np.int64)
-    yield np.flatnonzero(~first), of[~first]
-    places = np.flatnonzero(first)
-    for a, b in trie_join(values[places], group[places], NEAR_BITS):
-        yield places[a], places[b]
+    def make():
+        def work(batch):
+            found = [np.unique(shingle_hashes(t, shingle)) for t in texts_of(batch)]
+            return {"node": [_node(f) for f in found], "shingles": [f.view(np.int64) for f in found]}
+
+        return work
+
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = prints.select("node", "h").join(nodes, "node", "left_semi").select("h")
+    once = texts.select("h", "text").join(wanted, "h", "left_semi").dropDuplicates(["h"])
+    sets = written(map_texts(once, make, "node long, shingles array<long>"))
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared / (F.size("a") + F.size("b") - shared) >= similarity).select("u", "v")

@@ -119,3 +119,30 @@ def test_similar_texts_are_linked_as_brute_force_says(spark, monkeypatch):
         wrong = sum(got[i] != label[i] for i in range(len(texts)))
         assert wrong <= (1 if hot > 2 else 4)  # fingerprints of texts at the very threshold may be too far apart
         assert all(label[i] == label[got[i]] for i in got)
+
+
+def altered(rng, n, every, name):
+    """A text of n different words and a copy with each every-th word replaced, five shingles lost each."""
+    words = [f"{name}{i}" for i in range(n)]
+    copy = [f"{name}x{i}" if i % every == every // 2 else w for i, w in enumerate(words)]
+    return " ".join(words), " ".join(copy)
+
+
+def test_long_texts_near_the_threshold_are_decided_exactly(spark):
+    texts = []
+    for k in range(60):
+        texts += altered(random.Random(k), 900, (44, 45, 46, 47, 48, 49)[k % 6], f"t{k}w")
+    similar = [jaccard(*texts[i : i + 2]) for i in range(0, len(texts), 2)]
+    assert any(0.77 < s < 0.8 for s in similar) and any(0.8 <= s < 0.82 for s in similar)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[2 * i + 1] == 2 * i for i in range(60)] == [s >= 0.8 for s in similar]
+
+
+def test_undecided_pairs_are_all_met_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "UNDECIDED", 1)
+    base = [f"w{i}" for i in range(800)]
+    texts = [" ".join(f"c{k}x{i}" if i % 75 == 37 + k else w for i, w in enumerate(base)) for k in range(14)]
+    near = [(i, j) for i in range(14) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    label = local_components(14, *np.array(near).reshape(-1, 2).T)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(14)] == label.tolist()
