@@ -138,6 +138,16 @@ def test_long_texts_near_the_threshold_are_decided_exactly(spark):
     assert [got[2 * i + 1] == 2 * i for i in range(60)] == [s >= 0.8 for s in similar]
 
 
+def test_repeated_lines_do_not_part_copies(spark):
+    texts = []
+    for k in range(40):
+        line, body = " ".join(f"l{k}w{i}" for i in range(9)), " ".join(f"b{k}w{i}" for i in range(400))
+        texts += [body + " " + " ".join([line] * 300), body + " " + " ".join([line] * 2)]
+    assert all(jaccard(*texts[i : i + 2]) > 0.95 for i in range(0, len(texts), 2))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(c == i - i % 2 for i, c in got.items())
+
+
 def test_undecided_pairs_are_all_met_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(simhash, "UNDECIDED", 1)
     base = [f"w{i}" for i in range(800)]
