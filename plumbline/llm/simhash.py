@@ -299,12 +299,17 @@ def _similar_links(texts: DataFrame, prints: DataFrame, shingle: int, similarity
 
 
 def _tiles(prints: DataFrame) -> DataFrame:
-    """bucket, side, node. A shingle that very many texts share deals them by pairs of shingles; side is -1."""
-    keyed = prints.select("node", "keys", F.explode("keys").alias("bucket"))
-    keyed = keyed.join(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
-    others = F.transform(F.filter("keys", lambda k: k != F.col("bucket")), lambda k: F.xxhash64(F.least(k, F.col("bucket")), F.greatest(k, F.col("bucket"))))
-    hot = keyed.where(F.col("n") > HOT).withColumn("bucket", F.explode(others))
-    return keyed.where(F.col("n") <= HOT).unionByName(hot).select("bucket", F.lit(-1).alias("side"), "node")
+    """bucket, side, node. A bucket of over HOT nodes is cut into blocks, and each two blocks meet in a bucket of their own.
+
+    side is the block's where two different blocks meet, and only nodes of different sides are compared; else -1.
+    """
+    keyed = prints.select("node", F.explode("keys").alias("bucket"))
+    shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / HOT).cast("int").alias("m"))
+    keyed = keyed.join(shared, "bucket")
+    block, other = F.pmod(F.xxhash64("node", "bucket"), F.col("m")).cast("int"), F.col("other")
+    hot = keyed.where("m > 1").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    hot = hot.select(F.xxhash64("bucket", F.least("block", other), F.greatest("block", other)).alias("bucket"), F.when(F.col("block") != other, F.col("block")).otherwise(-1).alias("side"), "node")
+    return keyed.where("m = 1").select("bucket", F.lit(-1).alias("side"), "node").unionByName(hot)
 
 
 def _candidates(similarity: float, undecided: int):

@@ -148,6 +148,18 @@ def test_repeated_lines_do_not_part_copies(spark):
     assert all(c == i - i % 2 for i, c in got.items())
 
 
+def test_hot_buckets_are_cut_and_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 4)
+    prints = spark.createDataFrame([(i, [7, 8, 100 + i // 2]) for i in range(40)] + [(i, [7]) for i in range(40, 50)], "node long, keys array<long>")
+    rows = simhash._tiles(prints).collect()
+    buckets = {}
+    for r in rows:
+        buckets.setdefault(r.bucket, []).append(r)
+    assert max(map(len, buckets.values())) <= 30  # two blocks of four, unevenly hashed
+    met = {frozenset((a.node, b.node)) for rs in buckets.values() for a in rs for b in rs if a.node != b.node and (a.side < 0 or a.side != b.side)}
+    assert len(met) == 50 * 49 // 2
+
+
 def test_undecided_pairs_are_all_met_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(simhash, "UNDECIDED", 1)
     base = [f"w{i}" for i in range(800)]
