@@ -2,7 +2,10 @@
 
 Equal vectors go as one, with their number. Centroids are fitted on a bounded sample,
 and every vector is assigned: its nearest centroid is its home, and it visits
-each cell whose centroid is less than a margin farther. A cell compares
+each cell that may be home to a vector within the threshold. No pair is lost: a vector at home in c
+lies on c's side of the plane between c and the visitor's home c', and an angle of t leads no
+farther than sin(t) beyond it. Where that leaves most cells to visit, all vectors are one
+cell, compared tile by tile. A cell compares
 the vectors at home with all its members, in blocks; a large cell is cut into tiles
 for several tasks. Tiles hand on counts and forests, never pairs.
 
@@ -29,8 +32,8 @@ from plumbline.llm.graph import components, local_components
 SAMPLE = 20_000
 #: Different vectors for each centroid, and centroids at most.
 CELL_ROWS, CELLS = 1_000, 4_096
-#: By how much less than its nearest centroid's a visited centroid's cosine may be.
-MARGIN = 0.12
+#: Cells are used where vectors of the sample visit at most this share of them.
+VISITED = 0.25
 #: Rows of a tile: at home, and members to compare them with.
 HOME_ROWS, MEMBER_ROWS = 4_096, 16_384
 
@@ -56,14 +59,24 @@ def fit_cells(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndar
     return centres
 
 
-def _assigned(reps: DataFrame, centres: np.ndarray, margin: float) -> DataFrame:
+def _visits(near: np.ndarray, centres: np.ndarray, threshold: float, margin: float | None) -> np.ndarray:
+    """Which cells each vector visits, from its cosines to the centroids."""
+    best = near.max(axis=1, keepdims=True)
+    if margin is not None:
+        return near >= best - margin
+    beyond = math.sqrt(1 - threshold * threshold) if 0 < threshold < 1 else float(threshold <= 0)
+    apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
+    return best - near <= beyond * apart[near.argmax(axis=1)] + 1e-6
+
+
+def _assigned(reps: DataFrame, centres: np.ndarray, threshold: float, margin: float | None) -> DataFrame:
     """A row for each cell that a vector is in; its first visit is its home."""
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batched(it, 2048):
             near = unit_rows(batch.column("embedding")) @ centres.T
             home = near.argmax(axis=1)
-            row, cell = np.nonzero(near >= near.max(axis=1, keepdims=True) - margin)
+            row, cell = np.nonzero(_visits(near, centres, threshold, margin))
             visits = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(near) + 1)), pa.int32()), pa.array(cell, pa.int32()))
             yield pa.RecordBatch.from_pydict(
                 {"cell": pa.array(cell, pa.int32()), "home": pa.array(home[row], pa.int32()), "rep": batch.column("rep").take(pa.array(row)), "n": batch.column("n").take(pa.array(row)), "visits": visits.take(pa.array(row)), "embedding": batch.column("embedding").take(pa.array(row))}
@@ -129,8 +142,12 @@ def _forest(root: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
     return np.stack([held, root[held]])
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, margin: float = MARGIN, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """vec_id, n_links, component_id, kept of each row."""
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, margin: float | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """vec_id, n_links, component_id, kept of each row.
+
+    margin: by how much less than its nearest centroid's a visited centroid's cosine may be,
+    instead of the bound that loses no pair.
+    """
     rows = named(vectors, vec_id=id_col, embedding=vector_col).withColumn("embedding", F.col("embedding").cast("array<float>"))
     whole = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < math.inf)) & F.exists("embedding", lambda c: c != 0)
     valid = rows.where(F.coalesce(whole, F.lit(False)) & F.col("vec_id").isNotNull())
@@ -148,11 +165,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     return done.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component", "vec_id"), F.lit(False)).alias("kept"))
 
 
-def _links(reps: DataFrame, threshold: float, margin: float, cell_rows: int) -> DataFrame:
+def _links(reps: DataFrame, threshold: float, margin: float | None, cell_rows: int) -> DataFrame:
     """rep, its links to others in one tile, and a root that they connect it to."""
     total = reps.count()
     sample = reps.select("embedding", F.xxhash64("rep").alias("h")).orderBy("h").limit(SAMPLE).select("embedding").toArrow().combine_chunks()
     x = unit_rows(sample.column("embedding").chunk(0)) if sample.num_rows else np.zeros((1, 1))
     centres = fit_cells(x, max(1, min(CELLS, len(x), -(-total // cell_rows))))
-    members = written(_assigned(reps, centres, margin))
+    some = x[:2048]
+    if margin is None and len(centres) > 1 and _visits(some @ centres.T, centres, threshold, None).mean() > VISITED:
+        centres = centres[:1]
+    members = written(_assigned(reps, centres, threshold, margin))
     return written(_tiles(members).groupBy("cell", "i", "j").applyInArrow(_compare(threshold), "rep long, links long, root long"))

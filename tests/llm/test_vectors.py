@@ -50,3 +50,22 @@ def test_recall_of_query(spark, sf_dir):
     assert len(got) == len(data)
     links = np.array([got[r.vec_id].n_links for r in data])
     assert (links <= want_links).all() and links.sum() >= 0.9 * want_links.sum()
+
+
+@pytest.mark.parametrize("spread", [1.0, 0.1])
+def test_no_link_is_lost_over_hundreds_of_cells(spark, monkeypatch, spread):
+    monkeypatch.setattr(vectors, "VISITED", 1.0)  # cells, however many are visited
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(60, 24))[rng.integers(0, 60, 700)] + rng.normal(size=(700, 24)) * spread
+    off = rng.normal(size=base.shape)
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    off -= (off * unit).sum(axis=1, keepdims=True) * unit
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    x = np.concatenate([unit, unit * 0.905 + off * np.sqrt(1 - 0.905**2)]).astype("f4")
+    want_links, want = brute(x.astype("f8"))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = sorted(vectors.near_vectors(frame, cell_rows=5).collect())
+    assert [r.n_links for r in got] == want_links.tolist()
+    assert [r.component_id for r in got] == want.tolist()
+    monkeypatch.setattr(vectors, "VISITED", 0.0)
+    assert sorted(vectors.near_vectors(frame, cell_rows=5).collect()) == got
