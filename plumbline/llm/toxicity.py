@@ -207,7 +207,7 @@ def _sample(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
 def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Terms and stems with weights from 0 to 1, by how much their presence tells beyond chance.
 
-    Of texts with the same smallest hash of two words in turn, copies as a rule, one counts.
+    Of texts with the same words in the same order one counts.
     """
 
     def make():
@@ -215,8 +215,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
             out = {"toxic": batch.column("toxic"), "group": [], "terms": []}
             for text in texts_of(batch):
                 words = words_of(text.lower())
-                pairs = zip(words, words[1:] or words, strict=False)
-                out["group"].append(min((xxhash.xxh64_intdigest(f"{a} {b}") >> 1 for a, b in pairs), default=0))
+                out["group"].append(xxhash.xxh64_intdigest(" ".join(words)) >> 1)
                 terms = set(words)
                 stems = [w[:k] + "*" for w in terms for k in STEM_LENGTHS if len(w) > k]  # once for each different word
                 out["terms"].append(sorted([w for w in terms if 2 < len(w) < 40] + stems))

@@ -79,3 +79,12 @@ def test_query_on_held_out_labels(spark):
     right = sum(r.predicted == r.toxic for r in got) / len(got)
     found = [r.predicted for r in got if r.toxic == 1]
     assert right > 0.95 and sum(found) >= 0.8 * len(found)
+
+
+def test_texts_that_share_two_words_all_count(spark):
+    rng = random.Random(8)
+    plain = ["".join(rng.choices(["ra", "ti", "mo", "lu", "ke"], k=3)) for _ in range(60)]
+    licence = " ".join(f"licence{i}" for i in range(400))  # holds the smallest hash of nearly all texts
+    rows = [(i % 2, licence + " " + " ".join(rng.choices(plain, k=10) + ["blurgh"] * (i % 2))) for i in range(120)]
+    terms, _ = toxicity.learn_lexicon(spark.createDataFrame(rows + rows[:1] * 50, "toxic int, text string"))
+    assert terms.get("blurgh") == 1.0
