@@ -1,29 +1,34 @@
 """Language-model scores by a hashed maximum-entropy model.
 
-A token's probability is that of its class, given the tokens before it, times its
-own within the class. The class has a softmax over hashed features: the tokens before,
-pairs and skips of them, groups and classes. Weights are trained by distributed gradient updates:
-in each round every task goes through its documents in mini-batches from the common weights,
-and rows of weights are averaged by how often they were updated. Within a class the
-probability is the token's share of all training tokens of the class.
-
-The commonest tokens are put in classes by the company they keep; all others belong to the
-group that their letters speak for. In a group a token seen c times of n, among v
+A token's probability is a product of softmaxes, each over hashed features of the tokens
+before it: that of its group of classes, of its class in the group, of its part of the class, and its own in that part. Features
+of groups and classes are the three tokens before, a pair, an ending and classes; of the rest two tokens and their pair, each hashed
+with the place in the tree. Weights are trained by distributed gradient updates: all training
+documents are gone through once, in ROUNDS rounds; in each every task goes through its part in mini-batches from the
+common weights, and rows of weights are averaged by how often they were updated. So weights
+depend a little on how the input is dealt to tasks; counts and base scores don't.
+
+Texts are read once into spans: the different tokens of some texts as hashes of 64 bits, and the texts as
+numbers of them. All else works on spans, a fact for each different token and numpy over the rest.
+
+The commonest tokens are put in classes by the company they keep, and in parts of a class by
+frequency; all others belong to the group that their letters speak for. In a group a token seen c times of n, among v
 different ones, has (c + 0.1) / (n + 0.1 (v + 1)), and all unseen ones together 0.1 of that.
 Counts are of all training documents; beyond a bounded list of the commonest, a
-token's count comes by a join, not to all tasks.
+token's count comes by a join, not to all tasks. Classed tokens and rows of weights grow with the
+vocabulary, up to what a task can hold. Two tokens of one hash would count as one: of a billion, 1 in 40 corpora has such a pair.
 
 Null and empty texts are the end token alone. Repeated rows each get their
 score, and count as often in training. Without training documents all scores are those of
-one class and no counts. A null id belongs to the training part if learn says so, else not.
+one group and no counts. A null id belongs to the training part if learn says so, else not.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
-from collections import Counter
+import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -35,304 +40,467 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import batched, lower_ascii, named, texts_of, written
 from plumbline.llm.vectors import fit_cells
 
-#: Tokens whose counts all tasks hold, tokens that are put in classes, and neighbours they are put by.
-KNOWN, CLASSED, NEIGHBOURS = 100_000, 8_192, 64
-CLASSES, GROUPS = 24, 8
-#: Rows of weights, and features of a token.
-BUCKETS, FEATURES = 1 << 14, 5
-ROUNDS, BATCH, RATE = 3, 8_192, 0.2
-MEMO = 200_000
-END = ""  # no word is empty
-#: What stands before a text (no word holds a space), and tokens read together.
-PAD, SPAN = b" ", 16_384
-
-
-def tokens_of(text: str) -> list[bytes]:
-    """The words of a text, then the end token."""
-    words = lower_ascii(text).split()
-    words.append(b"")
-    return words
-
-
-def spans(texts: list[str]) -> Iterator[tuple[list[bytes], list[tuple[int, int, bool]]]]:
-    """Tokens of many texts in one list, and its parts: the text's number, its tokens there, whether it ends there.
-
-    Before each part stand the three tokens before it, which are PAD before a text. A long text is cut into parts.
-    """
-    flat: list[bytes] = []
-    parts: list[tuple[int, int, bool]] = []
-    for i, text in enumerate(texts):
-        tokens = [PAD, PAD, PAD, *tokens_of(text)]
-        for a in range(3, len(tokens), SPAN):
-            flat += tokens[a - 3 : a + SPAN]
-            parts.append((i, min(SPAN, len(tokens) - a), a + SPAN >= len(tokens)))
-            if len(flat) >= SPAN:
-                yield flat, parts
-                flat, parts = [], []
-    if parts:
-        yield flat, parts
-
-
-def places(parts: list[tuple[int, int, bool]]) -> tuple[np.ndarray, np.ndarray]:
-    """Where the tokens of the parts stand in the list of spans(), and where each part begins among them."""
-    sizes = np.array([n for _, n, _ in parts])
-    starts = np.cumsum(sizes) - sizes
-    return np.arange(sizes.sum()) + np.repeat(3 * np.arange(1, len(parts) + 1), sizes), starts
-
-
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """(token, c): how often each token occurs in docs. Tasks sum before anything is shuffled."""
-
-    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        for batch in batched(it):
-            for text in texts_of(batch):
-                held.update(tokens_of(text))
-            if len(held) > MEMO:
-                yield _counted(held)
-                held = Counter()
-        yield _counted(held)
-
-    return docs.select("text").mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
-
-
-def _counted(held: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"token": pa.array([w.decode("utf-8", "replace") for w in held], pa.string()), "c": pa.array(held.values(), pa.int64())})
-
-
-def company(docs: DataFrame, words: list[str]) -> np.ndarray:
-    """For each word how often the first NEIGHBOURS words stand before and after it, over all docs."""
-    index = {w.encode(): i for i, w in enumerate(words)}
-    wide = 2 * NEIGHBOURS
-
-    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(words) * wide, np.int64)
-        for batch in batched(it):
-            ids = [index.get(w, -1) for text in texts_of(batch) for w in tokens_of(text)]
-            at = np.array(ids, np.int64)
-            for word, near, side in ((at[1:], at[:-1], 0), (at[:-1], at[1:], NEIGHBOURS)):
-                both = (word >= 0) & (near >= 0) & (near < NEIGHBOURS)
-                sums += np.bincount(word[both] * wide + near[both] + side, minlength=len(sums))
-        rows = sums.reshape(-1, wide)
-        for start in range(0, len(rows), 1024):
-            part = rows[start : start + 1024]
-            has = np.flatnonzero(part.any(axis=1))
-            yield pa.RecordBatch.from_pydict({"word": pa.array(start + has, pa.int32()), "near": pa.array(part[has].tolist(), pa.list_(pa.int64()))})
-
-    def add(_key: tuple, table: pa.Table) -> pa.Table:
-        near = np.array(table.column("near").combine_chunks().flatten()).reshape(-1, wide).sum(axis=0)
-        return pa.table({"word": table.column("word").slice(0, 1), "near": pa.array([near.tolist()], pa.list_(pa.int64()))})
-
-    out = np.zeros((len(words), wide))
-    if words:
-        sums = docs.select("text").mapInArrow(run, "word int, near array<long>").groupBy("word").applyInArrow(add, "word int, near array<long>")
-        for r in sums.toLocalIterator():  # CLASSED rows at most
-            out[r["word"]] = r["near"]
-    return out
-
-
-class Words:
-    """What a task knows of tokens: a hash, a class, a group, and the count where it has it."""
-
-    def __init__(self, known: dict[str, int], classed: dict[str, int], letters: dict[bytes, tuple[float, int]], prior: tuple[float, int]):
-        self.known = {w.encode(): c for w, c in known.items()}
-        self.classed = {w.encode(): k for w, k in classed.items()}
-        self.letters, self.prior = letters, prior
+#: Tokens whose counts all tasks hold (16 bytes each), and neighbours that classes are made by.
+KNOWN, NEIGHBOURS = 500_000, 64
+#: Tokens in classes: one of SHARE of the vocabulary, between these bounds.
+CLASSED, MOST_CLASSED, SHARE = 8_192, 24_576, 128
+#: Outputs of a softmax: up to 15 classes in a group and one place for its other tokens, 16 parts of 16 tokens in a class.
+WIDE = 16
+#: Groups of classes, and classes at least.
+GROUPS, CLASSES = 8, 40
+#: Bits of the rows of weights: as many as a 64th of the vocabulary takes, between these bounds.
+LEAST_BITS, MOST_BITS = 15, 18
+ROUNDS, BATCH, RATE = 3, 16_384, 0.2
+#: Scores are cut off here, so that exponentials stay finite.
+HIGHEST, LOWEST = np.float32(80), np.float32(-1e9)
+MEMO = 400_000
+#: What stands before a text, three times (no word holds a space), and its end (no word is empty).
+PAD, END = b" ", b""
+#: Tokens of a span, but for a longer text, which is a span of its own.
+SPAN = 1 << 15
+#: The end's group, its class and those of tokens that are in none.
+ENDING = GROUPS
+CLASS_OF_END, LOOSE = ENDING * WIDE, WIDE - 1
+N_CLASSES = CLASS_OF_END + 1
+#: Keys that a part, and a token in it, are predicted by.
+NEAR_KEYS = [0, 1, 3]
+ONES = np.ones((WIDE, 1), np.float32)
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+SPANS = "turn int, doc_ids array<long>, learnt array<boolean>, sizes array<int>, hashes binary, shapes binary, flat binary"
+
+
+def token_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+def shape_of(word: bytes) -> int:
+    """16 bits for each of a word's first two and last two triples of letters, the very last on top."""
+    text, crc = b"^" + word[-40:] + b"$", zlib.crc32
+    return (crc(text[:3]) & 0xFFFF) | (crc(text[1:4]) & 0xFFFF) << 16 | (crc(text[-4:-1]) & 0xFFFF) << 32 | (crc(text[-3:]) & 0xFFFF) << 48
+
+
+class Reader:
+    """Numbers of words, in a worker; what is kept of words is bounded."""
+
+    def __init__(self):
         self.forget()
 
     def forget(self) -> None:
-        self.memo: dict[bytes, int] = {PAD: 0}
-        self.facts = np.zeros((1 << 16, 2), np.int64)
-        self.facts[0] = (1 << 61) + 0xFF, -1
-
-    def group(self, word: bytes) -> int:
-        """The group that the strongest of a word's first and last letters speaks for."""
-        text, get = b"^" + word[-40:] + b"$", self.letters.get
-        return max(get(text[:3], self.prior), get(text[1:4], self.prior), get(text[-4:-1], self.prior), get(text[-3:], self.prior))[1]
-
-    def look(self, word: bytes) -> tuple[int, int]:
-        """(hash, class and group packed in one number; count, or -1 if unknown to the task)."""
-        group = self.group(word)
-        k = self.classed.get(word, CLASSES + group)
-        packed = ((xxhash.xxh32_intdigest(word) & 0x3FFFFFFF) << 32) | (k << 8) | group
-        return packed, self.known.get(word, -1)
-
-    def read(self, words: list[bytes]) -> np.ndarray:
-        """Packed numbers and counts of a text's tokens, in two columns."""
-        memo = self.memo
-        if len(memo) > 2 * MEMO:
+        self.memo: dict[bytes, int] = {PAD: 0, END: 1}
+        self.facts = np.zeros((1 << 16, 2), np.uint64)
+        self.facts[:2] = [(token_hash(w), shape_of(w)) for w in (PAD, END)]
+
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, shape) of the different words, and which each word is."""
+        if len(self.memo) > MEMO:
             self.forget()
-            memo = self.memo
+        memo = self.memo
         at = np.fromiter(map(memo.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            new = list({words[i] for i in missing})
+            new = list({words[i] for i in missing.tolist()})
             start = len(memo)
             while start + len(new) > len(self.facts):
                 self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
-            packed, counts = zip(*map(self.look, new), strict=True)
-            self.facts[start : start + len(new), 0] = packed
-            self.facts[start : start + len(new), 1] = counts
+            self.facts[start : start + len(new)] = [(token_hash(w), shape_of(w)) for w in new]
             memo.update(zip(new, range(start, start + len(new)), strict=True))
-            at[missing] = [memo[words[i]] for i in missing]
-        return self.facts[at]
-
-
-_held: dict[str, Words] = {}
+            at[missing] = [memo[words[i]] for i in missing.tolist()]
+        mark = np.zeros(len(memo), bool)
+        mark[at] = True
+        which = np.flatnonzero(mark)
+        place = np.cumsum(mark) - 1
+        return self.facts[which], place[at]
 
 
-def held_words(name: str, words: tuple) -> Words:
-    """The worker's own table of a run; a reused Python worker keeps it from task to task."""
-    if name not in _held:
-        _held.clear()
-        _held[name] = Words(*words)
-    return _held[name]
+def read_spans(rows: DataFrame) -> DataFrame:
+    """The texts of (doc_id, learnt, text) as spans, written to the shared folder."""
 
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, turn = Reader(), 0
+        flat, ids, learnt, sizes = [], [], [], []
 
-N_CLASSES = CLASSES + GROUPS + 1
-ENDING = N_CLASSES - 1
+        def span() -> pa.RecordBatch:
+            facts, at = reader.read(flat)
+            at = at.astype("<u2" if len(facts) <= 1 << 16 else "<u4")
+            return pa.RecordBatch.from_pydict(
+                {"turn": pa.array([turn % ROUNDS], pa.int32()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "learnt": pa.array([learnt], pa.list_(pa.bool_())), "sizes": pa.array([sizes], pa.list_(pa.int32())), "hashes": [facts[:, 0].tobytes()], "shapes": [facts[:, 1].tobytes()], "flat": [at.tobytes()]}
+            )
 
+        for batch in batched(it):
+            for doc_id, known, text in zip(batch.column("doc_id").to_pylist(), batch.column("learnt").to_pylist(), texts_of(batch), strict=True):
+                words = lower_ascii(text).split()
+                flat += (PAD, PAD, PAD)
+                flat += words
+                flat.append(END)
+                ids.append(doc_id)
+                learnt.append(known)
+                sizes.append(len(words) + 1)
+                if len(flat) >= SPAN:
+                    yield span()
+                    turn += 1
+                    flat, ids, learnt, sizes = [], [], [], []
+        if ids:
+            yield span()
+
+    return written(rows.select("doc_id", "learnt", "text").mapInArrow(run, SPANS))
+
+
+class Span:
+    """A row of read_spans as numpy arrays."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        self.hashes = np.frombuffer(batch.column("hashes")[i].as_buffer(), np.uint64)
+        self.shapes = np.frombuffer(batch.column("shapes")[i].as_buffer(), np.uint64)
+        self.flat = np.frombuffer(batch.column("flat")[i].as_buffer(), "<u2" if len(self.hashes) <= 1 << 16 else "<u4")
+        self.sizes = batch.column("sizes")[i].values.to_numpy()
+        self.learnt = np.array(batch.column("learnt")[i].as_py(), bool)
+        #: Where the tokens stand in flat, and where each text begins among them.
+        self.at = np.arange(self.sizes.sum()) + np.repeat(3 * np.arange(1, len(self.sizes) + 1), self.sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def taught(self) -> np.ndarray:
+        """Where the tokens of training texts stand in flat."""
+        return self.at if self.learnt.all() else self.at[np.repeat(self.learnt, self.sizes)]
+
+
+def spans_of(it: Iterable[pa.RecordBatch]) -> Iterator[tuple[Span, pa.RecordBatch, int]]:
+    np.ones(31 << 20, np.uint8)  # once freed, the C library keeps what batches free, and pages are not fetched anew
+    for batch in it:
+        for i in range(batch.num_rows):
+            yield Span(batch, i), batch, i
+
+
+def count_tokens(spans: DataFrame) -> DataFrame:
+    """(hash, shape, c): how often each token occurs in the training texts. Tasks sum before anything is shuffled."""
 
-def features(packed: np.ndarray) -> np.ndarray:
-    """Rows of weights for each token from the fourth on, by what stands before it: the token, the one
-    before that, both, the groups of three, the classes of two."""
-    p1, p2, p3 = packed[2:-1], packed[1:-2], packed[:-3]
-    h1, h2 = p1 >> 32, p2 >> 32
-    raw = (h1, h2, h1 * 31 + h2 * 1_000_003, ((p1 & 0xFF) * 257 + (p2 & 0xFF)) * 257 + (p3 & 0xFF), ((p1 >> 8) & 0xFF) * 257 + ((p2 >> 8) & 0xFF))
-    mixed = np.stack([r.astype(np.uint64) + np.uint64(k * 0x9E3779B9) for k, r in enumerate(raw)], axis=1) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - 14)).astype(np.int32)
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
 
+        def sums() -> pa.RecordBatch:
+            hashes, shapes, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            hashes, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+            c = np.bincount(which, c, len(hashes)).astype(np.int64)
+            return pa.RecordBatch.from_pydict({"hash": hashes.view(np.int64), "shape": shapes[first].view(np.int64), "c": c})
 
-def scores_of(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The classes' scores, a token a row, with 0 for the best."""
-    z = weights.take(rows[:, 0], axis=0)
-    z += bias
-    for f in range(1, FEATURES):
-        z += weights.take(rows[:, f], axis=0)
-    z -= z.max(axis=1, keepdims=True)
-    return z
+        for span, *_ in spans_of(it):
+            c = np.bincount(span.flat[span.taught()], minlength=len(span.hashes))
+            has = np.flatnonzero(c)
+            held.append((span.hashes[has], span.shapes[has], c[has]))
+            size += len(has)
+            if size > 8 * MEMO:
+                yield sums()
+                held, size = [], 0
+        if held:
+            yield sums()
 
+    return spans.select(*_fields()).mapInArrow(run, "hash long, shape long, c long").groupBy("hash").agg(F.max("shape").alias("shape"), F.sum("c").alias("c"))
 
-def class_logs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the classes' probabilities, a token a row."""
-    z = scores_of(weights, bias, rows)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
 
+def _fields() -> list[str]:
+    return [f.split()[0] for f in SPANS.split(", ")[1:]]
 
-def read_span(own: Words, flat: list[bytes], parts: list[tuple[int, int, bool]]) -> tuple[np.ndarray, ...]:
-    """Of a span's tokens without the leads: rows of weights, classes, counts (an end has none), where parts begin, whether a token ends a text, where it stands in flat."""
-    both = own.read(flat)
-    at, starts = places(parts)
-    k = (both[at, 0] >> 8) & 0xFF
-    ends = np.zeros(len(at), bool)
-    ends[np.append(starts[1:], len(at)) - 1] = [last for _, _, last in parts]
-    k[ends] = ENDING
-    return features(both[:, 0])[at - 3], k, both[at, 1], starts, ends, at
 
+def company(spans: DataFrame, words: np.ndarray) -> np.ndarray:
+    """For each token (a hash) how often the first NEIGHBOURS of them stand before and after it, in all training texts."""
+    order = np.argsort(words)
+    ranked, wide = words[order], 2 * NEIGHBOURS
 
-def train(docs: DataFrame, name: str, words: tuple, bias: np.ndarray) -> np.ndarray:
-    """Weights after ROUNDS rounds, each over its part of all documents."""
-    weights = np.zeros((BUCKETS, N_CLASSES), np.float32)
-    blocks = 16
-    shared = docs.sparkSession.sparkContext.broadcast(words)  # KNOWN counts and tables of fixed size
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(words) * wide, np.int64)
+        held: list[np.ndarray] = []
+        for span, *_ in spans_of(it):
+            place, hit = find(ranked, span.hashes)
+            rank = np.where(hit, order[place], -1)
+            at = np.full(len(span.flat), -1)
+            taught = span.taught()
+            at[taught] = rank[span.flat[taught]]
+            for word, near, side in ((at[1:], at[:-1], 0), (at[:-1], at[1:], NEIGHBOURS)):
+                both = (word >= 0) & (near >= 0) & (near < NEIGHBOURS)
+                held.append(word[both] * wide + near[both] + side)
+            if len(held) > 60:
+                sums += np.bincount(np.concatenate(held), minlength=len(sums))
+                held = []
+        if held:
+            sums += np.bincount(np.concatenate(held), minlength=len(sums))
+        has = np.flatnonzero(sums)
+        for a in range(0, len(has), 1 << 16):
+            part = has[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_pydict({"cell": part, "c": sums[part]})
+
+    out = np.zeros(len(words) * wide)
+    if len(words):
+        cells = spans.select(*_fields()).mapInArrow(run, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()  # MOST_CLASSED x 128 at most
+        out[cells.column("cell").to_numpy()] = cells.column("c").to_numpy()
+    return out.reshape(len(words), wide)
+
+
+def find(ranked: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where values stand in a sorted array, and whether they do."""
+    if not len(ranked):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    place = np.minimum(np.searchsorted(ranked, values), len(ranked) - 1)
+    return place, ranked[place] == values
+
+
+@dataclass
+class Facts:
+    """What tasks know of tokens: counts of the commonest, places of classed ones, what letters speak for."""
+
+    known: np.ndarray
+    counts: np.ndarray
+    complete: bool
+    words: np.ndarray
+    places: np.ndarray
+    odds: np.ndarray
+    groups: np.ndarray
+    bits: int
+
+    def group(self, shapes: np.ndarray) -> np.ndarray:
+        """The group that the strongest of a word's four triples of letters speaks for."""
+        codes = shapes.view(np.uint16).reshape(-1, 4)
+        best = codes[np.arange(len(codes)), self.odds[codes].argmax(axis=1)]
+        return self.groups[best]
+
+    def look(self, hashes: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's place, ((group * 16 + class) * 16 + part) * 16 + number, and whether it is in a class; others have class LOOSE of their group."""
+        place, hit = find(self.words, hashes)
+        where = (self.group(shapes) * WIDE + LOOSE) * WIDE * WIDE
+        where[hit] = self.places[place[hit]]
+        where[hashes == np.uint64(token_hash(END))] = CLASS_OF_END * WIDE * WIDE
+        return where, hit
+
+    def count(self, hashes: np.ndarray) -> np.ndarray:
+        """Counts; of tokens that are not held -1, or 0 where all are."""
+        place, hit = find(self.known, hashes)
+        c = np.full(len(hashes), 0 if self.complete else -1)
+        c[hit] = self.counts[place[hit]]
+        return c
+
+
+def mixed(x: np.ndarray, bits: int) -> np.ndarray:
+    return ((x * GOLDEN) >> np.uint64(64 - bits)).astype(np.intp)
+
+
+def salted(k: int) -> np.uint64:
+    return np.uint64(k * 0xD6E8FEB86659FD93 % (1 << 64))
+
+
+class Context:
+    """A span's facts and the keys of its tokens, of which rows of weights are made."""
+
+    def __init__(self, span: Span, facts: Facts):
+        self.bits, self.flat = facts.bits, span.flat.astype(np.intp)
+        self.where, self.classed = facts.look(span.hashes, span.shapes)
+        h, k = span.hashes[self.flat], (self.where // (WIDE * WIDE)).astype(np.uint64)[self.flat]
+        ending = (span.shapes >> np.uint64(48))[self.flat[2:-1]]
+        h1, h2, h3, k1, k2, k3 = h[2:-1], h[1:-2], h[:-3], k[2:-1], k[1:-2], k[:-3]
+        classes = k1 * np.uint64(256) + k2
+        #: By the tokens one, two and three before, the last two together, an ending, two and three classes; of the token at 3 first.
+        keys = np.stack([h1, h2 * np.uint64(5), h3 * np.uint64(11), h1 * np.uint64(31) + h2 * np.uint64(1_000_003), ending * np.uint64(256) + k2 + salted(4), classes + salted(5), classes * np.uint64(256) + k3 + salted(6)])
+        self.keys = keys, keys[NEAR_KEYS]
+
+    def rows(self, at: np.ndarray, node: np.ndarray | None = None, near: bool = False) -> np.ndarray:
+        """Rows of weights, a feature a line, of tokens that are predicted at a node of the tree (the root if none)."""
+        keys = self.keys[near].take(at - 3, axis=1)
+        if node is not None:
+            keys += (node.astype(np.uint64) + np.uint64(101)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return mixed(keys, self.bits)
+
+
+class Softmax:
+    """Weights of hashed rows for WIDE outputs, with AdaGrad by row."""
+
+    def __init__(self, weights: np.ndarray):
+        self.w = weights
+
+    def logs(self, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the outputs' probabilities, a token a row."""
+        z = self.scores(rows, bias)
+        z -= np.log(np.exp(z) @ ONES)
+        return z
+
+    def scores(self, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        z = self.w.take(rows[0], axis=0)
+        z += bias
+        for r in rows[1:]:
+            z += self.w.take(r, axis=0)
+        return np.minimum(z, HIGHEST, out=z)
+
+    def learn(self) -> None:
+        self.seen, self.slope = np.zeros(len(self.w), np.int64), np.full((len(self.w), 1), 1e-2, np.float32)
+
+    def step(self, rows: np.ndarray, goals: np.ndarray, bias: np.ndarray) -> None:
+        """A mini-batch: all its gradients are of the weights before it."""
+        if not len(goals):
+            return
+        error = np.exp(self.scores(rows, bias))
+        error /= error @ ONES
+        error[np.arange(len(goals)), goals] -= 1
+        error /= np.float32(math.sqrt(len(goals)))
+        flat, each = rows.reshape(-1), np.empty(rows.shape)
+        gradient = np.zeros((WIDE, len(self.w)), np.float32)
+        used = np.flatnonzero(bias.max(axis=0) > LOWEST)  # a tree's root has fewer outputs
+        for k in used.tolist():
+            each[:] = error[:, k]
+            gradient[k] = np.bincount(flat, each.reshape(-1), len(self.w))
+        self.slope += np.einsum("kr,kr->r", gradient, gradient)[:, None] / np.float32(WIDE)
+        self.w -= gradient.T * (np.float32(RATE) / np.sqrt(self.slope))
+        self.seen[flat] += 1
+
+
+@dataclass
+class Model:
+    """Logarithms of shares of groups, classes, parts and tokens, and the weights of the four softmaxes."""
+
+    facts: Facts
+    bias: tuple[np.ndarray, ...]
+    weights: tuple[np.ndarray, ...]
+
+    def batches(self, context: Context, at: np.ndarray) -> Iterator[tuple]:
+        """For runs of tokens: their places in flat, and (rows, goals, biases, which of the run) of the four softmaxes."""
+        for a in range(0, len(at), BATCH):
+            here = at[a : a + BATCH]
+            token = context.flat[here]
+            where = context.where[token]
+            group = where // WIDE**3
+            words, inner = np.flatnonzero(group != ENDING), np.flatnonzero(context.classed[token])
+            k, part = where[inner] // WIDE**2, where[inner] // WIDE
+            mine = group[words]
+            yield (
+                here,
+                (context.rows(here), group, self.bias[0], slice(None)),
+                (context.rows(here[words], mine), where[words] // WIDE**2 % WIDE, self.bias[1].take(mine, axis=0), words),
+                (context.rows(here[inner], k + 64, True), part % WIDE, self.bias[2].take(k, axis=0), inner),
+                (context.rows(here[inner], part + 512, True), where[inner] % WIDE, self.bias[3].take(part, axis=0), inner),
+            )
+
+    def blank(self) -> Model:
+        """The same with all weights at zero."""
+        return Model(self.facts, self.bias, tuple(np.zeros((1 << self.facts.bits, WIDE), np.float32) for _ in range(4)))
+
+
+def fill_up(spans: DataFrame, model: Model) -> None:
+    """Trains the model's weights in ROUNDS rounds, which go through all training texts once."""
+    spark = spans.sparkSession
+    rows, blocks = 1 << model.facts.bits, 32
+    each = rows // blocks
+    # groups of tasks whose weights are summed first, so that no task sums those of all
+    files = len(spans.inputFiles())
+    fan = math.isqrt(files) if files > 256 else 1
     for turn in range(ROUNDS):
-        start = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float16))  # of fixed size
-
-        def run(it: Iterable[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            own = held_words(name, shared.value)
-            w = start.value.astype(np.float32)
-            seen, slope = np.zeros(BUCKETS, np.int64), np.full((BUCKETS, 1), 1e-2, np.float32)
-            rows, goals, size = [], [], 0
-
-            def update() -> None:
-                f, k = np.concatenate(rows), np.concatenate(goals)
-                for a in range(0, len(k), BATCH):
-                    fa, ka = f[a : a + BATCH], k[a : a + BATCH]
-                    error = np.exp(scores_of(w, bias, fa))
-                    error /= error.sum(axis=1, keepdims=True)
-                    error[np.arange(len(ka)), ka] -= 1
-                    flat = fa.T.reshape(-1)
-                    used = np.bincount(flat, minlength=BUCKETS)
-                    ids = np.flatnonzero(used)
-                    place = (np.cumsum(used > 0) - 1)[flat]
-                    gradient = np.stack([np.bincount(place, np.tile(e, FEATURES), len(ids)) for e in np.ascontiguousarray(error.T)], axis=1).astype(np.float32) / np.float32(math.sqrt(len(ka)))
-                    slope[ids] += (gradient * gradient).mean(axis=1, keepdims=True)
-                    w[ids] -= RATE * gradient / np.sqrt(slope[ids])
-                    seen[ids] += 1
-
-            for batch in batched(it):
-                for flat, parts in spans(texts_of(batch)):
-                    f, k, *_ = read_span(own, flat, parts)
-                    rows.append(f)
-                    goals.append(k)
-                    size += len(k)
-                    if size >= 8 * BATCH:
-                        update()
-                        rows, goals, size = [], [], 0
-            if size:
-                update()
-            if seen.any():
-                each = BUCKETS // blocks
+        shared = spark.sparkContext.broadcast(Model(model.facts, model.bias, tuple(w.astype(np.float16) for w in model.weights)))  # bounded by KNOWN, MOST_CLASSED and MOST_BITS
+
+        def run(it: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            own = shared.value
+            layers = [Softmax(w.astype(np.float32)) for w in own.weights]
+            for layer in layers:
+                layer.learn()
+            for span, *_ in spans_of(it):
+                for _, *parts in own.batches(Context(span, own.facts), span.taught()):
+                    for layer, (r, goals, bias, _) in zip(layers, parts, strict=True):
+                        layer.step(r, goals, bias)
+            group = TaskContext.get().partitionId() % fan
+            for number, layer in enumerate(layers):
                 for b in range(blocks):
-                    part = slice(b * each, (b + 1) * each)
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "w": [w[part].astype(np.float16).tobytes()], "seen": [seen[part].astype("<i8").tobytes()]})
-
-        def mix(_key: tuple, table: pa.Table) -> pa.Table:
-            total, n = 0.0, 0.0
-            for w, s in zip(table.column("w").to_pylist(), table.column("seen").to_pylist(), strict=True):
-                s = np.frombuffer(s, "<i8")[:, None].astype(np.float64)
-                total, n = total + s * np.frombuffer(w, np.float16).reshape(len(s), -1), n + s
-            mean = (total / np.maximum(n, 1)).astype(np.float32)
-            return pa.table({"block": table.column("block").slice(0, 1), "w": pa.array([mean.tobytes()], pa.binary()), "seen": pa.array([(n > 0).tobytes()], pa.binary())})
-
-        part = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(ROUNDS)) == turn).select("text")
-        mixed = part.mapInArrow(run, "block int, w binary, seen binary").groupBy("block").applyInArrow(mix, "block int, w binary, seen binary")
-        each = BUCKETS // blocks
-        for r in mixed.collect():  # the weights, of fixed size
-            new, seen = np.frombuffer(r["w"], np.float32).reshape(each, -1), np.frombuffer(r["seen"], bool)
-            weights[r["block"] * each : (r["block"] + 1) * each][seen] = new[seen]
-    return weights
-
-
-def arrange(docs: DataFrame, counts: DataFrame) -> tuple:
-    """What tasks know of tokens."""
-    known = {r["token"]: r["c"] for r in counts.where(F.col("token") != END).orderBy(F.desc("c"), "token").limit(KNOWN).toLocalIterator()}
-    common = list(known)[:CLASSED]
-    near = company(docs, common)
-    near = np.sqrt(near / np.maximum(near.sum(axis=1, keepdims=True), 1))
+                    ids = np.flatnonzero(layer.seen[b * each : (b + 1) * each]) + b * each
+                    if len(ids):
+                        yield _block(number * blocks + b, group, ids - b * each, layer.seen[ids].astype(np.float32), layer.w[ids].astype(np.float16))
+
+        def add(key: tuple, table: pa.Table, last: bool) -> pa.Table:
+            total, n = np.zeros((each, WIDE)), np.zeros(each)
+            for ids, s, w in zip(*(table.column(c).to_pylist() for c in ("ids", "seen", "w")), strict=True):
+                ids, s = np.frombuffer(ids, "<i4"), np.frombuffer(s, np.float32).astype(np.float64)
+                total[ids] += s[:, None] * np.frombuffer(w, np.float16 if not last or fan == 1 else np.float32).reshape(len(ids), WIDE)
+                n[ids] += s
+            ids = np.flatnonzero(n)
+            mean = total[ids] / n[ids, None]
+            return pa.Table.from_batches([_block(key[0].as_py(), 0 if last else key[1].as_py(), ids, n[ids].astype(np.float32), mean.astype(np.float32))])
+
+        kind = "block int, group int, ids binary, seen binary, w binary"
+        mixed_ = spans.where(F.col("turn") == turn).select(*_fields()).mapInArrow(run, kind)
+        if fan > 1:
+            mixed_ = mixed_.groupBy("block", "group").applyInArrow(lambda key, table: add(key, table, False), kind)
+        for r in mixed_.groupBy("block").applyInArrow(lambda key, table: add(key, table, True), kind).toLocalIterator():
+            ids = np.frombuffer(r["ids"], "<i4") + r["block"] % blocks * each
+            w = model.weights[r["block"] // blocks]
+            w[ids] = np.frombuffer(r["w"], np.float32).reshape(-1, WIDE)
+        shared.unpersist()
+
+
+def _block(block: int, group: int, ids: np.ndarray, seen: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "group": pa.array([group], pa.int32()), "ids": [ids.astype("<i4").tobytes()], "seen": [seen.tobytes()], "w": [w.tobytes()]})
+
+
+def _nearest(near: np.ndarray, centres: np.ndarray, most: int) -> np.ndarray:
+    """Of each row, in order, the nearest centre that fewer than so many rows have yet, and its number there; -1 for rows without any number."""
+    room, has = np.zeros(len(centres), np.int64), near.any(axis=1)
+    out = np.full((len(near), 2), -1)
+    best = np.argsort(-(near @ centres.T), axis=1, kind="stable")
+    for i in np.flatnonzero(has):
+        k = next((k for k in best[i] if room[k] < most), -1)
+        if k >= 0:
+            out[i] = k, room[k]
+            room[k] += 1
+    return out
+
+
+def _places(near: np.ndarray) -> np.ndarray:
+    """Places of tokens, commonest first, by their company: group, class, then parts by frequency; -1 for those without company."""
     has = near.any(axis=1)
-    centres = fit_cells(near[has], min(CLASSES, int(has.sum()))) if has.any() else np.zeros((1, near.shape[1]))
-    tops = fit_cells(centres, min(GROUPS, len(centres)))
-    classed = {w: int(k) for w, k, h in zip(common, (near @ centres.T).argmax(axis=1), has, strict=True) if h}
-    # what letters speak for which group, by the common tokens of the group's classes
-    group_of = (centres @ tops.T).argmax(axis=1)
-    seen = [Counter() for _ in range(GROUPS)]
-    for w, k in classed.items():
-        text = b"^" + w.encode()[-40:] + b"$"
-        seen[group_of[k]].update(text[i : i + 3] for i in range(len(text) - 2))
-    totals = np.array([sum(s.values()) for s in seen], float)
-    letters: dict[bytes, tuple[float, int]] = {}
-    for t in set().union(*seen):
-        # how far the likeliest group is ahead of the next, in logarithms
-        odds = np.log((np.array([s[t] for s in seen]) + 0.3) / (totals + 300))
-        first, second = np.argsort(-odds)[:2]
-        letters[t] = (float(odds[first] - odds[second]), int(first))
-    prior = (0.0, int(totals.argmax()))
-    return known, classed, letters, prior
-
-
-def class_sizes(counts: DataFrame, name: str, words: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Training tokens and different tokens of each class, over the whole vocabulary."""
+    if not has.any():
+        return np.full(len(near), -1)
+    some = near[has]
+    classes = fit_cells(some, min(len(some), max(CLASSES, len(some) * 5 // 4 // WIDE**2), GROUPS * LOOSE))
+    groups = fit_cells(classes, min(GROUPS, len(classes)))
+    of_class = _nearest(classes, groups, LOOSE)
+    k = _nearest(near, classes, WIDE * WIDE)
+    return np.where(k[:, 0] < 0, -1, (of_class[k[:, 0]] @ (WIDE, 1)) * WIDE * WIDE + k[:, 1])
+
+
+def arrange(spans: DataFrame, counts: DataFrame, kinds: int) -> tuple[Facts, np.ndarray]:
+    """What tasks know of tokens, and the classed tokens' counts."""
+    known = counts.where(F.col("hash") != F.lit(_signed(END))).orderBy(F.desc("c"), "hash").limit(KNOWN).toArrow()
+    hashes, shapes, c = (known.column(x).to_numpy() for x in ("hash", "shape", "c"))
+    hashes, shapes = hashes.view(np.uint64), shapes.view(np.uint64)
+    n = min(len(hashes), MOST_CLASSED, max(CLASSED, kinds // SHARE))
+    near = company(spans, hashes[:n])
+    near = np.sqrt(near / np.maximum(near.sum(axis=1, keepdims=True), 1))
+    places = _places(near)
+    classed = np.flatnonzero(places >= 0)
+    # what letters speak for which group, by its classed tokens: by how far it is ahead of the next
+    seen = np.zeros((GROUPS, 1 << 16))
+    codes = shapes[classed].view(np.uint16).reshape(-1, 4)
+    np.add.at(seen, (np.repeat(places[classed] // WIDE**3, 4), codes.reshape(-1)), 1)
+    logs = np.log((seen + 0.3) / (seen.sum(axis=1, keepdims=True) + 300))
+    first = logs.argmax(axis=0)
+    ahead = np.sort(logs, axis=0)
+    odds = np.where(seen.any(axis=0), ahead[-1] - ahead[-2], -1)
+    groups = np.where(seen.any(axis=0), first, int(seen.sum(axis=1).argmax()))
+    order, mine = np.argsort(hashes, kind="stable"), classed[np.argsort(hashes[classed])]
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(2, kinds / 64)))))
+    facts = Facts(hashes[order], c[order], kinds <= len(hashes) + 1, hashes[mine], places[mine], odds.astype(np.float32), groups, bits)
+    return facts, c[mine]
+
+
+def _signed(word: bytes) -> int:
+    return int(np.array([token_hash(word)], np.uint64).view(np.int64)[0])
+
+
+def group_sizes(counts: DataFrame, facts: Facts) -> tuple[np.ndarray, np.ndarray]:
+    """Training tokens and different tokens of each class and group, over the whole vocabulary."""
+    shared = counts.sparkSession.sparkContext.broadcast(facts)
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held_words(name, words)
         n, v = np.zeros(N_CLASSES, np.int64), np.zeros(N_CLASSES, np.int64)
-        for batch in batched(it, 8192):
-            tokens, c = [t.encode() for t in batch.column("token").to_pylist()], batch.column("c").to_numpy()
-            k = np.array([ENDING if t == b"" else (own.look(t)[0] >> 8) & 0xFF for t in tokens], np.int64)
-            np.add.at(n, k, c)
-            np.add.at(v, k, 1)
+        for batch in it:
+            hashes, shapes, c = (batch.column(x).to_numpy() for x in ("hash", "shape", "c"))
+            k = shared.value.look(hashes.view(np.uint64), shapes.view(np.uint64))[0] // WIDE**2
+            n += np.bincount(k, c, N_CLASSES).astype(np.int64)
+            v += np.bincount(k, minlength=N_CLASSES)
         yield pa.RecordBatch.from_pydict({"k": pa.array(np.arange(N_CLASSES), pa.int32()), "n": n, "v": v})
 
     n, v = np.zeros(N_CLASSES), np.zeros(N_CLASSES)
@@ -341,57 +509,73 @@ def class_sizes(counts: DataFrame, name: str, words: tuple) -> tuple[np.ndarray,
     return n, v
 
 
+def _shares(n: np.ndarray, facts: Facts, c: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Logarithms of the shares of groups, of classes in a group, of parts in a class, of tokens in a part; what is empty is far below."""
+    leaf = np.zeros(GROUPS * WIDE**3)
+    leaf[facts.places] = c
+    classes = n[:CLASS_OF_END].reshape(GROUPS, WIDE).copy()
+    classes[:, LOOSE] += 0.1
+    groups = np.append(classes.sum(axis=1), n[CLASS_OF_END] + 0.1)
+    out = [np.full((1, WIDE), LOWEST)]
+    out[0][0, : len(groups)] = np.log(groups / groups.sum())
+    for counts in (classes, leaf.reshape(-1, WIDE, WIDE).sum(axis=2), leaf.reshape(-1, WIDE)):
+        whole = counts.sum(axis=1, keepdims=True)
+        out.append(np.where(counts > 0, np.log(np.where(counts > 0, counts, 1) / np.maximum(whole, 1e-9)), LOWEST))
+    return tuple(x.astype(np.float32) for x in out)
+
+
 def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, learnt, n_tokens, n_known, train_tokens, base_score, score of each row; scores are log10 probabilities.
 
     learn: a condition over doc_id that the documents to learn from fulfil.
     """
-    rows = named(docs, doc_id=id_col, text=text_col).withColumn("learnt", F.coalesce(learn, F.lit(False)))
-    taught = rows.where("learnt")
-    counts = written(count_tokens(taught))
+    spans = read_spans(named(docs, doc_id=id_col, text=text_col).withColumn("learnt", F.coalesce(learn, F.lit(False))))
+    counts = written(count_tokens(spans))
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    words = arrange(taught, counts)
-    name = uuid.uuid4().hex
-    n, v = class_sizes(counts, name, words)
-    bias = np.log((n + 0.1) / (n.sum() + 0.1 * N_CLASSES)).astype(np.float32)
-    weights = train(taught, name, words, bias)
-    whole = math.log10(total + 0.1 * (kinds + 1))
-    # log10 of what a count is divided by within its class
-    inner = np.log10(np.where(np.arange(N_CLASSES) < CLASSES, np.maximum(n, 1), n + 0.1 * (v + 1)))
-    inner[ENDING] = math.log10(max(n[ENDING], 1))
-    shared = docs.sparkSession.sparkContext.broadcast(weights)  # of fixed size
-
-    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, w = held_words(name, words), shared.value
-        ln10, ends = math.log(10), n[ENDING]
-        for batch in batched(it):
-            texts = texts_of(batch)
-            sums, rest = np.zeros((4, len(texts))), [[] for _ in texts]
-            for flat, parts in spans(texts):
-                f, k, c, starts, last, at = read_span(own, flat, parts)
-                near = class_logs(w, bias, f)[np.arange(len(k)), k]
-                c[last] = ends
-                has = (c > 0) | last
-                logs = np.where(has, np.log10(np.maximum(c, 0) + 0.1), 0)
-                # in a class of common tokens the counts themselves are the shares
-                shares = np.where(has & ((k < CLASSES) | last), np.log10(np.maximum(c, 1)), logs)
-                text = [i for i, _, _ in parts]
-                for total, x in zip(sums, (np.ones(len(k)), has & (c > 0), logs, near / ln10 + shares - inner[k]), strict=True):
-                    np.add.at(total, text, np.add.reduceat(x.astype(np.float64), starts))
-                number = np.repeat(text, [size for _, size, _ in parts])
-                for i in np.flatnonzero(~has).tolist():
-                    rest[number[i]].append(flat[at[i]].decode("utf-8", "replace"))
-            out = {"n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64), "base": sums[2], "score": sums[3], "rest": rest}
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "learnt": batch.column("learnt"), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "base": pa.array(out["base"], pa.float64()), "score": pa.array(out["score"], pa.float64()), "rest": pa.array(out["rest"], pa.list_(pa.string()))})
-
-    scored = rows.mapInArrow(run, "doc_id long, learnt boolean, n_tokens long, n_known long, base double, score double, rest array<string>")
-    scored = written(scored.withColumn("row", F.monotonically_increasing_id()))
+    facts, c = arrange(spans, counts, kinds)
+    n, v = group_sizes(counts, facts)
+    model = Model(facts, _shares(n, facts, c), ()).blank()
+    fill_up(spans, model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by KNOWN, MOST_CLASSED and MOST_BITS
+    scored = written(spans.select(*_fields()).mapInArrow(_scorer(shared, n, v), "doc_id long, learnt boolean, n_tokens long, n_known long, base double, score double, rest array<long>").withColumn("row", F.monotonically_increasing_id()))
     # tokens that tasks hold no count of: none of them is common, so no key is hot
-    rare = scored.select("row", F.explode("rest").alias("token")).groupBy("row", "token").agg(F.count("*").alias("n"))
+    rare = scored.select("row", F.explode("rest").alias("hash")).groupBy("row", "hash").agg(F.count("*").alias("n"))
     c = F.coalesce("c", F.lit(0))
-    rare = rare.join(counts, "token", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10(c + 0.1)).alias("logs"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("found"))
-    logs = F.coalesce("logs", F.lit(0.0))
-    return scored.join(rare, "row", "left").select(
+    rare = rare.join(counts.select("hash", "c"), "hash", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10(c + 0.1)).alias("logs"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("found"))
+    logs, whole = F.coalesce("logs", F.lit(0.0)), math.log10(total + 0.1 * (kinds + 1))
+    return scored.drop("rest").join(rare, "row", "left").select(
         "doc_id", "learnt", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + logs - F.col("n_tokens") * whole).alias("base_score"), (F.col("score") + logs).alias("score"),
     )
+
+
+def _scorer(shared, n: np.ndarray, v: np.ndarray):
+    """Rows of texts from spans; base and score lack the logarithms of the counts of the tokens in rest."""
+    inner = np.log10(n + 0.1 * (v + 1))
+
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        layers = [Softmax(w) for w in model.weights]
+        for span, batch, i in spans_of(it):
+            context = Context(span, model.facts)
+            c = model.facts.count(span.hashes)
+            c[span.hashes == np.uint64(token_hash(END))] = n[CLASS_OF_END]
+            base = np.where(c >= 0, np.log10(np.maximum(c, 0) + 0.1), 0)
+            k = context.where // WIDE**2
+            # in a group a token's share is by counts; classed tokens and ends have none but the softmaxes'
+            share = np.where(context.classed | (k == CLASS_OF_END), 0, base - inner[k])
+            near = np.zeros(len(span.at))
+            done = 0
+            for here, *parts in model.batches(context, span.at):
+                into = near[done : done + len(here)]
+                for layer, (rows, goals, bias, which) in zip(layers, parts, strict=True):
+                    into[which] += layer.logs(rows, bias)[np.arange(len(goals)), goals]
+                done += len(here)
+            token = context.flat[span.at]
+            lost = np.flatnonzero(c[token] < 0)
+            text = np.searchsorted(span.starts, lost, side="right") - 1
+            rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(span.sizes) + 1)), pa.int32()), pa.array(span.hashes[token[lost]].view(np.int64)))
+            sums = [np.add.reduceat(x, span.starts) for x in ((c > 0)[token].astype(np.int64), base[token], near / math.log(10) + share[token])]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_ids")[i].values, "learnt": batch.column("learnt")[i].values, "n_tokens": span.sizes.astype(np.int64), "n_known": sums[0], "base": sums[1], "score": sums[2], "rest": rest})
+
+    return run

@@ -26,6 +26,15 @@ def check_base(got, rows, taught):
     assert np.allclose([w[4] for w in want], [g[4] for g in got], rtol=1e-9, atol=1e-9)
 
 
+def test_places_have_room_and_differ():
+    rng = np.random.default_rng(4)
+    near = np.abs(rng.normal(size=(3000, 8)))
+    near[5] = 0
+    places = maxent._places(near)
+    assert places[5] == -1 and len(set(places[places >= 0])) == 2999
+    assert places.max() < maxent.GROUPS * 16**3 and (places[places >= 0] // 256 % 16 != maxent.LOOSE).all()
+
+
 def test_query_counts_and_held_out_gain(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     taught = [zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in rows]
@@ -50,8 +59,48 @@ def test_odd_rows_and_rare_tokens_by_join(spark, monkeypatch):
     assert maxent.score_texts(docs.limit(0), learn).count() == 0
 
 
-def test_class_probabilities_sum_to_one():
+def test_probabilities_of_last_words_sum_below_one(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choices(words, weights=range(30, 0, -1), k=60))) for i in range(60)]
+    # one text for each word after the same beginning: their probabilities differ by the last word and the end alone
+    asked = [(1000 + i, f"w0 w1 {w}") for i, w in enumerate([*words, "unseen"])]
+    got = {r.doc_id: r.score for r in maxent.score_texts(spark.createDataFrame(rows + asked, "doc_id long, text string"), maxent.F.col("doc_id") < 60).collect()}
+    alone = {r.doc_id: r.score for r in maxent.score_texts(spark.createDataFrame(rows + [(2000, "w0 w1")], "doc_id long, text string"), maxent.F.col("doc_id") < 60).collect()}
+    # of a text and its end, the end's own part is below one, so the sum over last words is at most that of the beginning
+    assert sum(10 ** got[i] for i, _ in asked) < 1 and 10 ** alone[2000] < 1
+
+
+def test_softmaxes_are_distributions_and_learn():
     rng = np.random.default_rng(0)
-    packed = rng.integers(0, 1 << 61, 50)
-    logs = maxent.class_logs(rng.normal(size=(maxent.BUCKETS, maxent.N_CLASSES)).astype("f4"), np.zeros(maxent.N_CLASSES, "f4"), maxent.features(packed))
-    assert np.allclose(np.exp(logs).sum(axis=1), 1, atol=1e-4)
+    layer = maxent.Softmax(rng.normal(size=(256, 16)).astype("f4"))
+    rows, bias = rng.integers(0, 256, (3, 400)), np.where(rng.random(16) < 0.3, -1e9, 0).astype("f4")
+    assert np.allclose(np.exp(layer.logs(rows, bias)).sum(axis=1), 1, atol=1e-5)
+    goals = rng.choice(np.flatnonzero(bias == 0), 400)
+    before = layer.logs(rows, bias)[np.arange(400), goals].mean()
+    layer.learn()
+    for _ in range(30):
+        layer.step(rows, goals, bias)
+    assert layer.logs(rows, bias)[np.arange(400), goals].mean() > before + 1
+
+
+def test_words_of_a_part_depend_on_context(spark):
+    # "a" is always followed by x1 or x2 as the word before it says; all are of the same kind and count
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        ws = []
+        for _ in range(40):
+            s = rng.randrange(2)
+            ws += [f"s{s}", "a", f"x{s}", rng.choice(["p", "q", "r"])]
+        rows.append((i, " ".join(ws)))
+    rows += [(1000, "p s0 a x0 p"), (1001, "p s0 a x1 p")]
+    got = {r.doc_id: r.score for r in maxent.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), maxent.F.col("doc_id") < 300).collect()}
+    assert got[1000] > got[1001] + 1
+
+
+def test_nothing_to_learn_from(spark):
+    rows = [(1, "a b"), (2, None), (3, "c " * 40_000)]
+    got = maxent.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), maxent.F.col("doc_id") > 5).collect()
+    check_base(got, rows, [False] * 3)
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
