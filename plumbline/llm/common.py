@@ -101,6 +101,16 @@ def named(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").alias(n) for n, c in columns.items()))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until no column of df has them, whatever the case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def lower_ascii(text: str) -> bytes:
     """UTF-8 bytes with A-Z in lower case and nothing else changed."""
     return text.encode("utf-8", "surrogatepass").lower()

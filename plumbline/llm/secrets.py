@@ -2,8 +2,9 @@
 
 Base patterns find assignments, access keys and hex runs. Wider candidates
 (other long mixed strings) are added where the corpus shows them to be owner-specific:
-their hash occurs in few repositories and with few owners, while
-an example that many copy is left out. Only DataFrame functions are used.
+their hash occurs in few repositories, with few owners and in few different texts, while
+an example that many copy is left out. Only DataFrame functions are used: a text gives the lengths of its matches and of
+the gaps between them, and running sums over those rows give the places, so work grows with the matches as a sort does.
 
 Null and empty texts have no spans. Repeated rows each get their result.
 Positions count code points; an end is exclusive.
@@ -11,10 +12,10 @@ Positions count code points; an end is exclusive.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import named, written
+from plumbline.llm.common import named, unused, written
 
 ASSIGN = (
     r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -26,119 +27,121 @@ HEX = r"[0-9a-f]{16,}"
 OTHER = r"[A-Za-z0-9+/_=-]{20,}"
 
 KINDS = ("assign", "access", "hex", "other")
-SPAN = "array<struct<start:int,rank:int,kind:string,end:int,hash:long,size:int>>"
+LEAST = (12, 18, 16, 20)
+#: What is owner-specific: found in at most so many repositories, with so many owners, in so many different texts.
+MOST_REPOS, MOST_OWNERS, MOST_TEXTS = 2, 2, 100
+#: Characters of a piece of text.
+PIECE = 4096
 
 
-def _spans(text: Column, pattern: str, kind: str, least: int = 0) -> Column:
-    """Each match as a struct; a match's place is the length of all before it."""
+def _matches(text: Column, pattern: str, kind: str) -> Column:
+    """Each match in order: the lengths of the gap before it, of itself and of what it holds, and that one's hash."""
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
     inside = F.regexp_extract_all(text, F.lit(pattern), 2) if kind == "assign" else found
-    gaps = F.split(text, pattern, -1)
-    rank = KINDS.index(kind)
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.char_length(F.get(gaps_c, i))
-        value = F.get(inside_c, i)
-        end = start + F.char_length(F.get(found_c, i))
+    def match(m: Column) -> Column:
+        value = m["inside"]
         mixed = F.regexp_like(value, F.lit("[a-z]")) & F.regexp_like(value, F.lit("[A-Z]")) & F.regexp_like(value, F.lit("[0-9]")) if kind == "other" else F.lit(True)
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), F.xxhash64(value).alias("hash"), F.char_length(value).alias("size"))
-        return F.struct(end.alias("at"), F.when((span["size"] >= least) & mixed, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        return F.struct(F.char_length(m["gaps"]).alias("gap"), F.char_length(m["found"]).alias("length"), F.char_length(value).alias("size"), F.xxhash64(value).alias("hash"), mixed.alias("fits"))
 
-    # the arrays are bound once, by a one-element transform, and not found again for each match
-    bound = F.array(F.struct(gaps.alias("gaps"), found.alias("found"), inside.alias("inside")))
-    def fold(b: Column) -> Column:
-        nonlocal gaps_c, found_c, inside_c
-        gaps_c, found_c, inside_c = b["gaps"], b["found"], b["inside"]
-        return F.aggregate(F.sequence(F.lit(0), F.size(found_c) - 1), F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans")), step)["spans"]
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gaps"), found.alias("found"), inside.alias("inside"))
+    each = F.transform(F.filter(zipped, lambda m: m["found"].isNotNull()), match)
+    return F.when(F.regexp_like(text, F.lit(pattern)), each)
 
-    gaps_c = found_c = inside_c = None
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.get(F.transform(bound, fold), 0)).otherwise(F.array().cast(SPAN))
 
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """The rows (row, doc_id, repo, owner, text_key) and their spans (row, text_key, repo, owner, start, rank, kind, end, hash).
 
-def _joined(spans: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    Texts are read once, into a table of lengths. Spans of no base kind are left out where they overlap one.
+    """
+    rows = named(docs, doc_id=id_col, text=text_col, repo=repo_col, owner=owner_col)
+    text = F.coalesce("text", F.lit(""))
+    patterns = zip(KINDS, (ASSIGN, ACCESS, HEX, OTHER), strict=True)
+    rows = rows.select("doc_id", "repo", "owner", F.sha2(text, 256).alias("text_key"), *(_matches(text, pattern, kind).alias(kind) for kind, pattern in patterns))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
+    each = None
+    for rank, (kind, least) in enumerate(zip(KINDS, LEAST, strict=True)):
+        one = rows.select("row", "text_key", "repo", "owner", F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.posexplode(kind).alias("i", "m"), F.lit(least).alias("least"))
+        each = one if each is None else each.unionByName(one)
+    place = F.sum(F.col("m.gap") + F.col("m.length")).over(Window.partitionBy("row", "rank").orderBy("i"))
+    each = each.withColumn("end", place.cast("int")).where(F.col("m.fits") & (F.col("m.size") >= F.col("least")))
+    each = each.select("row", "text_key", "repo", "owner", (F.col("end") - F.col("m.length")).alias("start"), "rank", "kind", "end", F.col("m.hash").alias("hash"))
+    base = F.col("rank") < KINDS.index("other")
+    # both look back, as a frame that ends with the partition is worked out anew for each row
+    before = Window.partitionBy("row").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.when(base, F.col("end"))).over(before)
+    ahead = F.min(F.when(base, F.col("start"))).over(after)
+    free = (F.coalesce(reach, F.lit(0)) <= F.col("start")) & (F.coalesce(ahead, F.col("end")) >= F.col("end"))
+    spans = each.withColumn("free", base | free).where("free").drop("free")
+    return rows.drop(*KINDS), written(spans)
+
+
+def ownership(spans: DataFrame) -> DataFrame:
+    """For each candidate hash the different texts, repositories and owners that have it.
+
+    Rows are first summed by hash, repository, owner and text, so a hash that a third of
+    the corpus copies reaches the second shuffle as one row a text.
+    """
+    texts = spans.select("hash", "repo", "owner", "text_key").distinct().groupBy("hash", "repo", "owner").agg(F.count("*").alias("n"))
+    return texts.groupBy("hash").agg(F.sum("n").alias("copies"), F.count_distinct("repo").alias("repos"), F.count_distinct("owner").alias("owners"))
 
 
-def _n(spans: Column) -> Column:
-    return F.size(spans).cast("long")
+def _judged(spans: DataFrame, most_repos: int, most_owners: int, most_texts: int) -> DataFrame:
+    """The spans with live, whether each is owner-specific."""
+    live = (F.col("repos") <= most_repos) & (F.col("owners") <= most_owners) & (F.col("copies") <= most_texts)
+    return spans.join(ownership(spans), "hash").withColumn("live", live)
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source") -> DataFrame:
-    """Each row's id, key, repository, owner, base spans and other candidate spans."""
-    rows = named(docs, doc_id=id_col, text=text_col, repo=repo_col, owner=owner_col)
-    text = F.coalesce("text", F.lit(""))
-    rows = rows.select(
-        "doc_id", "repo", "owner", F.sha2(text, 256).alias("text_key"),
-        _spans(text, ASSIGN, "assign", 12).alias("assign"), _spans(text, ACCESS, "access", 18).alias("access"), _spans(text, HEX, "hex").alias("hex"),
-        _spans(text, OTHER, "other").alias("other"),
-    )
-    base = F.concat("assign", "access", "hex")
-    free = F.filter("other", lambda o: ~F.exists("base", lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
-    return rows.withColumn("base", base).withColumn("other", free)
-
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-def ownership(found: DataFrame) -> DataFrame:
-    """For each candidate hash its rows, distinct repositories and owners.
 
-    Rows are first summed by hash, repository and owner, so a hash that a third of
-    the corpus copies reaches the second shuffle as one row a pair.
-    """
-    spans = found.select("repo", "owner", F.explode(F.concat("base", "other")).alias("s")).select("repo", "owner", F.col("s.hash").alias("hash"))
-    pairs = spans.groupBy("hash", "repo", "owner").agg(F.count("*").alias("n"))
-    return pairs.groupBy("hash").agg(F.sum("n").alias("copies"), F.count_distinct("repo").alias("repos"), F.count_distinct("owner").alias("owners"))
-
-
-def _judged(found: DataFrame, most_repos: int, most_owners: int) -> DataFrame:
-    """For each id and text with spans, its spans and whether each is owner-specific."""
-    owned = ownership(found)
-    spans = found.where(F.size("base") + F.size("other") > 0).select("doc_id", "text_key", F.explode(F.concat("base", "other")).alias("s"))
-    live = (F.col("repos") <= most_repos) & (F.col("owners") <= most_owners)
-    # a document's copies have the same spans, which a set holds once
-    return (
-        spans.withColumn("hash", F.col("s.hash"))
-        .join(owned, "hash")
-        .where((F.col("s.kind") != "other") | live)
-        .groupBy("doc_id", "text_key")
-        .agg(F.collect_set(F.struct("s", live.alias("live"))).alias("judged"))
-    )
-
-
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", most_repos: int = 1, most_owners: int = 1) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", most_repos: int = MOST_REPOS, most_owners: int = MOST_OWNERS, most_texts: int = MOST_TEXTS) -> DataFrame:
     """One row a document: counts and spans by kind, and how its candidates are owned.
 
     A candidate of no base kind becomes a span where its hash occurs in at most
-    most_repos repositories and with at most most_owners owners. n_live counts
+    most_repos repositories, with at most most_owners owners and in at most most_texts different texts. n_live counts
     all spans that are owner-specific so, n_example those that are not. One base
     span may lie in another (a hex run in an assignment); each counts.
     """
-    found = written(candidates(docs, id_col, text_col, repo_col, owner_col))  # spans alone: the texts are read once
-    judged = _judged(found, most_repos, most_owners).withColumnsRenamed({"doc_id": "k1", "text_key": "k2"})
-    rows = found.join(judged, F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("text_key") == F.col("k2")), "left")
-    rows = rows.withColumn("judged", F.coalesce("judged", F.array().cast(rows.schema["judged"].dataType)))
-    return rows.select(
-        "doc_id",
-        _n(F.col("assign")).alias("n_assign"), _n(F.col("access")).alias("n_access"), _n(F.col("hex")).alias("n_hex"),
-        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
-        _joined(F.transform("judged", lambda j: j["s"])).alias("spans"),
-        _n(F.filter("judged", lambda j: j["live"])).alias("n_live"), _n(F.filter("judged", lambda j: ~j["live"])).alias("n_example"),
+    rows, spans = candidates(docs, id_col, text_col, repo_col, owner_col)
+    judged = _judged(spans, most_repos, most_owners, most_texts).where((F.col("kind") != "other") | F.col("live"))
+    span = F.struct("start", "rank", "kind", "end")
+    sums = judged.groupBy("row").agg(
+        *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS[:3]),
+        F.collect_list(F.when(F.col("kind") != "other", span)).alias("base"), F.collect_list(span).alias("all"),
+        F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"),
     )
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_assign", "n_access", "n_hex", "n_live", "n_example")]
+    none = F.lit("")
+    return rows.join(sums, "row", "left").select("doc_id", *numbers[:3], F.sha2(F.coalesce(_joined(F.col("base")), none), 256).alias("base_sha256"), F.coalesce(_joined(F.col("all")), none).alias("spans"), *numbers[3:])
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", most_repos: int = 2, most_owners: int = 2, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", most_repos: int = MOST_REPOS, most_owners: int = MOST_OWNERS, most_texts: int = MOST_TEXTS, mark: str = "[SECRET]") -> DataFrame:
     """docs with the mark in place of each owner-specific span, all else kept.
 
-    Only what occurs in more repositories or with more owners is left in the text, as an example.
+    Only what occurs in more repositories, with more owners or in more texts is left in the text, as an example.
+    A span that begins inside the one before is struck with it.
     """
-    found = written(candidates(docs, id_col, text_col, repo_col, owner_col))  # spans alone: the texts are read once
-    live = _judged(found, most_repos, most_owners).select("doc_id", "text_key", F.array_sort(F.transform(F.filter("judged", lambda j: j["live"]), lambda j: F.struct(j["s"]["start"].alias("start"), j["s"]["end"].alias("end")))).alias("cuts")).where(F.size("cuts") > 0)
-    live = live.withColumnsRenamed({"doc_id": "__id", "text_key": "__key", "cuts": "__cuts"})
+    rows, spans = candidates(docs, id_col, text_col, repo_col, owner_col)
+    id_, key, cuts, pieces = unused(docs, "id", "key", "cuts", "pieces")
+    reach = F.coalesce(F.max("end").over(Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = _judged(spans, most_repos, most_owners, most_texts).where("live").withColumn("from", reach)
+    cut = cut.groupBy("row").agg(F.collect_list(F.when(F.col("start") >= F.col("from"), F.struct("from", "start"))).alias(cuts), F.max("end").alias("last"))
+    # copies of a row have the same cuts, which one of them stands for
+    live = rows.join(cut, "row").groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).agg(F.min_by(F.struct(F.array_sort(cuts).alias("all"), "last"), "row").alias(cuts))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.join(live, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.sha2(text, 256) == F.col("__key")), "left")
-
-    def step(acc: Column, cut: Column) -> Column:
-        # a span that begins inside the one before only moves its end
-        more = F.when(cut["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, cut["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], cut["end"]).alias("at"), F.concat(acc["out"], more).alias("out"))
-
-    done = F.aggregate("__cuts", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return rows.withColumn(text_col, F.when(F.col("__cuts").isNull(), F.col(f"`{text_col}`")).otherwise(done)).drop("__id", "__key", "__cuts")
+    rows = docs.join(live, F.col(f"`{id_col}`").eqNullSafe(F.col(id_)) & (F.sha2(text, 256) == F.col(key)), "left")
+    # a text with cuts goes in pieces, as places in a long text are found by counting from its start
+    rows = rows.withColumn(pieces, F.when(F.col(cuts).isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{PIECE}}})"), 1)))
+
+    def between(a: Column, b: Column) -> Column:
+        first, end = (a / PIECE).cast("int"), (b / PIECE).cast("int")
+        one, two = (F.coalesce(F.get(pieces, i), F.lit("")) for i in (first, end))
+        inside = F.array_join(F.slice(pieces, first + 2, F.greatest(end - first - 1, F.lit(0))), "")
+        return F.when(first == end, F.substring(one, a - first * PIECE + 1, b - a)).otherwise(F.concat(F.substring(one, a - first * PIECE + 1, F.lit(PIECE)), inside, F.substring(two, F.lit(1), b - end * PIECE)))
+
+    parts = F.transform(F.col(cuts)["all"], lambda c: F.concat(between(c["from"], c["start"]), F.lit(mark)))
+    done = F.concat(F.array_join(parts, ""), between(F.col(cuts)["last"], F.char_length(text)))
+    return rows.withColumn(text_col, F.when(F.col(cuts).isNull(), F.col(f"`{text_col}`")).otherwise(done)).drop(id_, key, cuts, pieces)

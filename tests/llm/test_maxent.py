@@ -74,9 +74,9 @@ def test_probabilities_of_last_words_sum_below_one(spark):
 def test_softmaxes_are_distributions_and_learn():
     rng = np.random.default_rng(0)
     layer = maxent.Softmax(rng.normal(size=(256, 16)).astype("f4"))
-    rows, bias = rng.integers(0, 256, (3, 400)), np.where(rng.random(16) < 0.3, -1e9, 0).astype("f4")
+    rows, bias = rng.integers(0, 256, (3, 400)), np.where(rng.random((1, 16)) < 0.3, -1e9, 0).astype("f4")
     assert np.allclose(np.exp(layer.logs(rows, bias)).sum(axis=1), 1, atol=1e-5)
-    goals = rng.choice(np.flatnonzero(bias == 0), 400)
+    goals = rng.choice(np.flatnonzero(bias[0] == 0), 400)
     before = layer.logs(rows, bias)[np.arange(400), goals].mean()
     layer.learn()
     for _ in range(30):

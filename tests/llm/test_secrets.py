@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 from plumbline.llm.secrets import candidates, ownership, redact, scan_secrets
 from plumbline.llm.queries import op6_secrets
@@ -36,12 +37,34 @@ def test_base_matches_brute_force(spark):
 
 
 def test_candidates_become_spans_only_where_few_own_them(spark):
-    rows = [(1, "key Zx9Kq2Lm8Np4Rt6Vw1Yb3 end", "a"), (2, "key Ax9Kq2Lm8Np4Rt6Vw1Yb3 end", "a"), (3, "key Ax9Kq2Lm8Np4Rt6Vw1Yb3 end", "b")]
+    rows = [(1, "key Zx9Kq2Lm8Np4Rt6Vw1Yb3 end", "a"), (2, "key Ax9Kq2Lm8Np4Rt6Vw1Yb3 end", "a"), (3, "key Ax9Kq2Lm8Np4Rt6Vw1Yb3 end.", "b"), (4, "key Zx9Kq2Lm8Np4Rt6Vw1Yb3 end", "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r.doc_id: r for r in scan_secrets(docs).collect()}
-    assert [got[i].spans for i in (1, 2, 3)] == ["other:4:25", "", ""]
-    owned = {r.copies: (r.repos, r.owners) for r in ownership(candidates(docs)).collect()}
-    assert owned == {1: (1, 1), 2: (2, 2)}
+    got = {r.doc_id: r for r in scan_secrets(docs, most_repos=1, most_owners=1).collect()}
+    assert [got[i].spans for i in (1, 2, 3, 4)] == ["other:4:25", "", "", "other:4:25"]
+    owned = {r.copies: (r.repos, r.owners) for r in ownership(candidates(docs)[1]).collect()}
+    assert owned == {1: (1, 1), 2: (2, 2)}  # copies of a text count once
+    assert {r.spans for r in scan_secrets(docs).collect()} == {"other:4:25"}
+    assert {r.doc_id: r.spans for r in scan_secrets(docs, most_texts=1).collect()}[2] == ""
+
+
+def test_other_spans_that_overlap_base_ones_go(spark):
+    key = "Zx9Kq2Lm8Np4Rt6Vw1Yb3"
+    text = f"{key} token={key} {key} AKIA{'B' * 20}x1 {key}deadbeefdeadbeef00 {key}"
+    docs = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    spans = scan_secrets(docs).first().spans.split(",")
+    free = [m.start() for m in re.finditer(rf"(?<![=\w]){key}(?!\w)", text)]
+    assert [s for s in spans if s.startswith("other")] == [f"other:{a}:{a + len(key)}" for a in free]
+
+
+def test_work_is_linear_in_matches(spark):
+    """200,000 matches in one text, in under a minute."""
+    started = time.time()
+    text = "é password=abcdefghijkl " * 200_000
+    docs = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    r = scan_secrets(docs).first()
+    assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == brute(text)
+    assert redact(docs).first().text == "é [SECRET] " * 200_000
+    assert time.time() - started < 60
 
 
 def test_query_over_whole_table(spark, sf_dir):
@@ -59,7 +82,8 @@ def test_empty_table(spark):
 def test_redaction_leaves_examples_and_clean_texts(spark):
     rows = [(1, "é a password=abcdefghijkl b", "a"), (2, "token=0123456789abcdef0123 AKIAABCDEFGHIJKLMN", "b"), (3, None, "b"), (4, "clean", None)]
     rows += [(10 + i, "AKIAEXAMPLEEXAMPLEX", f"s{i}") for i in range(4)] + [(None, "x deadbeefdeadbeef01", "a")]
-    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, source string, cuts int")
+    docs = spark.createDataFrame([(*r, 7, 8) for r in rows], "doc_id long, text string, source string, __cuts int, CUTS int")
     got = {r.doc_id: r.text for r in redact(docs).collect()}
     assert got == {1: "é a [SECRET] b", 2: "[SECRET] [SECRET]", 3: None, 4: "clean", None: "x [SECRET]", **{10 + i: "AKIAEXAMPLEEXAMPLEX" for i in range(4)}}
     assert redact(docs).columns == docs.columns
+    assert redact(docs.limit(0)).count() == 0
