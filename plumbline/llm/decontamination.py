@@ -19,19 +19,19 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import add_columns, lower_ascii, named, texts_of
+from plumbline.llm.common import add_columns, lower_ascii, named, texts_of, written
 
 #: Over UTF-8 bytes: every byte of a character beyond ASCII is a word's.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
 #: Benchmark text in one pass over the documents; more text takes more passes.
-PASS_CHARS = 16_000_000
+PASS_CHARS = 2_000_000
 
 
 class Windows:
     """Shift table and suffix buckets for patterns of one length."""
 
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], set]):
+    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], tuple]):
         self.length, self.block = length, min(2, length)
         self.most = length - self.block + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
@@ -42,7 +42,7 @@ class Windows:
                 self.shift[key] = min(far, self.shift.get(key, self.most))
             self.bucket.setdefault(words[-self.block :], {})[words] = items
 
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, set]]:
+    def search(self, words: list[bytes]) -> Iterator[tuple[int, tuple]]:
         """The start of each occurrence, with the items it belongs to."""
         shift, most, length, n, i = self.shift.get, self.most, self.length, len(words), self.length
         if self.block == 1:
@@ -67,8 +67,12 @@ def windows(rows: list[tuple], window: int = WINDOW) -> list[Windows]:
     for item, text in rows:
         words = WORD.findall(lower_ascii(text or ""))
         length = min(window, len(words))
+        table, own = by_length.setdefault(length, {}) if length else {}, (item,)
         for i in range(len(words) - length + 1) if length else ():
-            by_length.setdefault(length, {}).setdefault(tuple(words[i : i + length]), set()).add(item)
+            window_ = tuple(words[i : i + length])
+            had = table.get(window_)
+            if had is None or had[-1] != item:
+                table[window_] = own if had is None else had + own
     return [Windows(length, patterns) for length, patterns in sorted(by_length.items())]
 
 
@@ -90,7 +94,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row a document: doc_id, n_words, n_hit, n_items, items (ids as sorted strings), contaminated.
 
     Each pass scans the documents for a bounded part of the benchmark and adds to the
-    hit words and items of the passes before; no row is shuffled.
+    hit words and items of the passes before, which are written to the shared folder; no row is
+    shuffled, and the driver and each task hold one pass of the benchmark at a time.
     """
     rows, (n_words, n_hit, items) = scan(docs.select(id_col, text_col), benchmark, text_col, item_id_col, item_text_col, window, pass_chars)
     return rows.select(
@@ -107,13 +112,12 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id_col: str, item_text_col: str, window: int, pass_chars: int) -> tuple[DataFrame, list[str]]:
     """docs with its numbers of words and hit words and its items, and those columns' names."""
-    found, names = None, []
-    for part in list(_passes(named(benchmark, item_id=item_id_col, text=item_text_col), pass_chars)) or [[]]:
-        docs, new = _one_pass(docs, part, window, text_col, found)
-        names += new
-        found = new[1:]
-    last = names[-4:]
-    return docs.drop(*names[:-4], last[1]), [last[0], last[3], last[2]]
+    parts = _passes(named(benchmark, item_id=item_id_col, text=item_text_col), pass_chars)
+    docs, last = _one_pass(docs, next(parts, []), window, text_col, None)
+    for part in parts:
+        docs, new = _one_pass(written(docs), part, window, text_col, last[1:])
+        docs, last = docs.drop(*last), new
+    return docs.drop(last[1]), [last[0], last[3], last[2]]
 
 
 def _one_pass(docs: DataFrame, part: list[tuple], window: int, text_col: str, found: list[str] | None) -> tuple[DataFrame, list[str]]:
@@ -130,7 +134,7 @@ def _one_pass(docs: DataFrame, part: list[tuple], window: int, text_col: str, fo
                 spans, items = list(spans), set(items)
                 for table in tables:
                     for start, which in table.search(words):
-                        items |= which
+                        items.update(which)
                         if spans and spans[-2] <= start <= spans[-1]:
                             spans[-1] = max(spans[-1], start + table.length)
                         else:

@@ -151,6 +151,9 @@ class ChunkEncoder:
     """
 
     CUT = re.compile(r" (?=\S)")
+    # Python's white space but for the space itself.
+    SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+    ODD = [" " + c for c in " " + SPACE]
     PLAIN = re.compile(r"[^\s<]+")
 
     def __init__(self, path: str, keep: int = 600_000):
@@ -177,15 +180,24 @@ class ChunkEncoder:
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def cut(self, text: str) -> list[str]:
+        """As CUT.split: at any space if none is at the end or before more white space, as is the rule."""
+        odd = self.ODD[:10] if text.isascii() else self.ODD
+        if text.endswith(" ") or any(map(text.__contains__, odd)):
+            return self.CUT.split(text)
+        return text.split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self.CUT.split(t) for t in texts]
+        cut = [self.cut(t) for t in texts]
         first = self._each([chunks.pop(0) for chunks in cut])  # the only chunks without a space in front
         if len(self.young) > self.keep:
             self.old, self.young = self.young, {}
-        new = [c for c in set().union(*cut) if c not in self.young]
-        self.young.update((c, self.old[c]) for c in new if c in self.old)
-        self._learn([c for c in new if c not in self.young])
+        new = set().union(*cut).difference(self.young)
+        if self.old:
+            self.young.update((c, self.old[c]) for c in new if c in self.old)
+            new = new.difference(self.young)
+        self._learn(list(new))
         get = self.young.__getitem__
         return [f + b"".join(map(get, chunks)) for f, chunks in zip(first, cut, strict=True)]
 

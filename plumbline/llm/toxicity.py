@@ -8,8 +8,9 @@ term's stem, and misspelled terms. The window around each occurrence tells
 quotation and report from address, and a logistic model turns the weighted counts into a score.
 
 Null and empty texts, and those without any term, get the score of a text without
-terms. Ids that have no label, or a null one, are not learned from; of several labels of an id the
-highest counts. Repeated rows each get their score. With no labels of both classes
+terms. Very long texts are read whole, word by word; of terms that tie the one that sorts first comes first, and
+all count alike. Columns of the same names as the operator's own are kept. Ids that have no label, or a null one, are not learned from; of several labels of an id the
+highest counts; of several texts of an id one is learned from. Repeated rows each get their score. With no labels of both classes
 the model's prior weights and the seed terms alone score.
 """
 
@@ -26,8 +27,6 @@ from plumbline.llm.common import add_columns, map_texts, named, texts_of
 
 #: Labelled rows to learn from at most, in the order of their ids' hashes.
 LABELLED = 40_000
-#: Terms and stems of the lexicon at most, best first.
-TERMS = 4_000
 STEM_LENGTHS = (4, 5, 6)
 #: Shortest term of which misspellings count.
 MISSPELT = 5
@@ -201,13 +200,14 @@ def _sample(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     """Labelled documents to learn from: at most LABELLED rows, which are sent to all tasks."""
     judged = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learn).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = judged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    return docs.join(F.broadcast(chosen), "doc_id")
+    rows = docs.join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
 
 
 def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Terms and stems with weights from 0 to 1, by how much their presence tells beyond chance.
 
-    Of texts with the same words in the same order one counts.
+    Of texts with the same words in the same order and the same label one counts.
     """
 
     def make():
@@ -218,12 +218,12 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
                 out["group"].append(xxhash.xxh64_intdigest(" ".join(words)) >> 1)
                 terms = set(words)
                 stems = [w[:k] + "*" for w in terms for k in STEM_LENGTHS if len(w) > k]  # once for each different word
-                out["terms"].append(sorted([w for w in terms if 2 < len(w) < 40] + stems))
+                out["terms"].append(sorted([*terms, *stems]))
             return out
 
         return work
 
-    texts = map_texts(sample.select("toxic", "text"), make, "toxic int, group long, terms array<string>").groupBy("group").agg(F.max(F.struct("toxic", "terms")).alias("t")).select("t.*")
+    texts = map_texts(sample.select("toxic", "text"), make, "toxic int, group long, terms array<string>").groupBy("group", "toxic").agg(F.max("terms").alias("terms"))
     texts = texts.cache()
     total = texts.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     share = total[1] / total[0] if total[0] else 0
@@ -236,7 +236,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
     gain = F.col("pos") * F.log(p / share) + F.when(p < 1, (F.col("n") - F.col("pos")) * F.log((1 - p) / (1 - share))).otherwise(0.0)
     counts = counts.where(p > share).select("term", p.alias("p"), gain.alias("gain"))
     least = np.log(max(1, counts.count()))
-    rows = counts.where((F.col("gain") > float(least)) & (F.col("p") > 0.5)).orderBy(F.desc("gain"), "term").limit(TERMS).collect()
+    rows = counts.where((F.col("gain") > float(least)) & (F.col("p") > 0.5)).orderBy(F.desc("gain"), "term").collect()  # bounded by the words of LABELLED texts
     texts.unpersist()
     stems = {r["term"][:-1]: r["p"] for r in rows if r["term"].endswith("*")}
     # a longer stem that begins with another adds nothing

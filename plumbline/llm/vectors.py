@@ -1,6 +1,6 @@
 """Near-duplicate vectors: spherical k-means cells and blocked cosine products.
 
-Equal vectors go as one, with their number. Centroids are fitted on a bounded sample,
+Equal vectors go as one, with their number, by a hash of 128 bits. Centroids are fitted on a bounded sample,
 and every vector is assigned: its nearest centroid is its home, and it visits
 each cell that may be home to a vector within the threshold. No pair is lost: a vector at home in c
 lies on c's side of the plane between c and the visitor's home c', and an angle of t leads no
@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import batched, named, written
@@ -82,7 +82,7 @@ def _assigned(reps: DataFrame, centres: np.ndarray, threshold: float, margin: fl
                 {"cell": pa.array(cell, pa.int32()), "home": pa.array(home[row], pa.int32()), "rep": batch.column("rep").take(pa.array(row)), "n": batch.column("n").take(pa.array(row)), "visits": visits.take(pa.array(row)), "embedding": batch.column("embedding").take(pa.array(row))}
             )
 
-    return reps.mapInArrow(run, "cell int, home int, rep long, n long, visits array<int>, embedding array<float>")
+    return reps.mapInArrow(run, "cell int, home int, rep long, n long, visits array<int>, embedding array<double>")
 
 
 def _tiles(members: DataFrame) -> DataFrame:
@@ -148,23 +148,28 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     margin: by how much less than its nearest centroid's a visited centroid's cosine may be,
     instead of the bound that loses no pair.
     """
-    rows = named(vectors, vec_id=id_col, embedding=vector_col).withColumn("embedding", F.col("embedding").cast("array<float>"))
+    rows = named(vectors, vec_id=id_col, embedding=vector_col).withColumn("embedding", F.col("embedding").cast("array<double>"))
     whole = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < math.inf)) & F.exists("embedding", lambda c: c != 0)
     valid = rows.where(F.coalesce(whole, F.lit(False)) & F.col("vec_id").isNotNull())
     length = valid.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dimension = length["d"] if length else 0
-    reps = written(valid.where(F.size("embedding") == dimension).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    reps = written(valid.where(F.size("embedding") == dimension).groupBy(_key().alias("key")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding")))
     found = _links(reps, threshold, margin, cell_rows)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
     judged = reps.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    judged = judged.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "rep").alias("component"))
+    judged = judged.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "rep").alias("component"))
     # a vector that many rows share is met by a join, which adaptive execution splits
-    key = F.when(F.coalesce(whole, F.lit(False)) & F.col("vec_id").isNotNull(), F.col("embedding"))
-    done = rows.withColumn("key", key).join(judged.withColumnRenamed("embedding", "key"), "key", "left")
+    key = F.when(F.coalesce(whole, F.lit(False)) & F.col("vec_id").isNotNull(), _key())
+    done = rows.select("vec_id", key.alias("key")).join(judged, "key", "left")
     return done.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component", "vec_id"), F.lit(False)).alias("kept"))
 
 
+def _key() -> Column:
+    """128 bits that stand for a vector in shuffles."""
+    return F.struct(F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding"))
+
+
 def _links(reps: DataFrame, threshold: float, margin: float | None, cell_rows: int) -> DataFrame:
     """rep, its links to others in one tile, and a root that they connect it to."""
     total = reps.count()
