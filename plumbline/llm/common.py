@@ -27,11 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+def written(df: DataFrame, folder: str | None = None, codec: str = "snappy") -> DataFrame:
     """df written as Parquet to a shared folder and read again: its lineage is cut."""
     spark = df.sparkSession
     folder = folder or shared_dir(spark)
-    df.write.mode("overwrite").parquet(folder)
+    df.write.mode("overwrite").option("compression", codec).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

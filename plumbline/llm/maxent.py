@@ -51,6 +51,8 @@ GROUPS, CLASSES = 8, 40
 #: Bits of the rows of weights: as many as a 64th of the vocabulary takes, between these bounds.
 LEAST_BITS, MOST_BITS = 15, 18
 ROUNDS, BATCH, RATE = 3, 16_384, 0.2
+#: Training tokens of a task: each hands on its weights, so that fewer would make them outweigh the texts.
+TASK_TOKENS = 4_000_000
 #: Scores are cut off here, so that exponentials stay finite.
 HIGHEST, LOWEST = np.float32(80), np.float32(-1e9)
 MEMO = 400_000
@@ -113,11 +115,21 @@ class Reader:
         return self.facts[which], place[at]
 
 
+_readers: list[Reader] = []
+
+
+def reader_of_worker() -> Reader:
+    """A reused Python worker keeps its words from task to task."""
+    if not _readers:
+        _readers.append(Reader())
+    return _readers[0]
+
+
 def read_spans(rows: DataFrame) -> DataFrame:
     """The texts of (doc_id, learnt, text) as spans, written to the shared folder."""
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, turn = Reader(), 0
+        reader, turn = reader_of_worker(), 0
         flat, ids, learnt, sizes = [], [], [], []
 
         def span() -> pa.RecordBatch:
@@ -143,7 +155,7 @@ def read_spans(rows: DataFrame) -> DataFrame:
         if ids:
             yield span()
 
-    return written(rows.select("doc_id", "learnt", "text").mapInArrow(run, SPANS))
+    return written(rows.select("doc_id", "learnt", "text").mapInArrow(run, SPANS), codec="zstd")
 
 
 class Span:
@@ -381,14 +393,14 @@ class Model:
         return Model(self.facts, self.bias, tuple(np.zeros((1 << self.facts.bits, WIDE), np.float32) for _ in range(4)))
 
 
-def fill_up(spans: DataFrame, model: Model) -> None:
-    """Trains the model's weights in ROUNDS rounds, which go through all training texts once."""
+def fill_up(spans: DataFrame, model: Model, total: int) -> None:
+    """Trains the model's weights in ROUNDS rounds, which go through all training texts, of so many tokens, once."""
     spark = spans.sparkSession
     rows, blocks = 1 << model.facts.bits, 32
     each = rows // blocks
     # groups of tasks whose weights are summed first, so that no task sums those of all
-    files = len(spans.inputFiles())
-    fan = math.isqrt(files) if files > 256 else 1
+    tasks = max(1, -(-total // (ROUNDS * TASK_TOKENS)))
+    fan = math.isqrt(tasks) if tasks > 256 else 1
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast(Model(model.facts, model.bias, tuple(w.astype(np.float16) for w in model.weights)))  # bounded by KNOWN, MOST_CLASSED and MOST_BITS
 
@@ -421,7 +433,7 @@ def fill_up(spans: DataFrame, model: Model) -> None:
             return pa.Table.from_batches([_block(key[0].as_py(), 0 if last else key[1].as_py(), ids, n[ids].astype(np.float32), mean.astype(np.float32))])
 
         kind = "block int, group int, ids binary, seen binary, w binary"
-        mixed_ = spans.where(F.col("turn") == turn).select(*_fields()).mapInArrow(run, kind)
+        mixed_ = spans.where(F.col("turn") == turn).select(*_fields()).coalesce(tasks).mapInArrow(run, kind)
         if fan > 1:
             mixed_ = mixed_.groupBy("block", "group").applyInArrow(lambda key, table: add(key, table, False), kind)
         for r in mixed_.groupBy("block").applyInArrow(lambda key, table: add(key, table, True), kind).toLocalIterator():
@@ -535,7 +547,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     facts, c = arrange(spans, counts, kinds)
     n, v = group_sizes(counts, facts)
     model = Model(facts, _shares(n, facts, c), ()).blank()
-    fill_up(spans, model)
+    fill_up(spans, model, total)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by KNOWN, MOST_CLASSED and MOST_BITS
     scored = written(spans.select(*_fields()).mapInArrow(_scorer(shared, n, v), "doc_id long, learnt boolean, n_tokens long, n_known long, base double, score double, rest array<long>").withColumn("row", F.monotonically_increasing_id()))
     # tokens that tasks hold no count of: none of them is common, so no key is hot
