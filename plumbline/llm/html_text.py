@@ -41,6 +41,8 @@ OUT_WORDS = set(
     "notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup signin login register alert toast paywall "
     "share sharing sharebar social related recommended recommendations trending widget widgets toolbar pagination pager skip copyright legal hidden".split()
 )
+#: Words that say nothing of a part's kind: "site-header" is a header, "has-sidebar" is none.
+PLAIN_WORDS = set("area bar block bottom box buttons col column container global group icons inner item items left links list main message module outer page panel posts primary right row secondary section site slot the top unit user wrap wrapper".split())
 #: Words that take an article out too: readers' comments and adverts are often marked as articles.
 OUT_ARTICLES = set("comment comments reply replies ad ads advert advertisement sponsored promo related recommended".split())
 #: Elements that no other class name takes out.
@@ -54,6 +56,15 @@ HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORDS = re.compile(r"[a-z]+")
 
 
+def marked(names: str, words: set[str]) -> bool:
+    """Whether one of the names consists of such words and plain ones alone."""
+    for name in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names).lower().split():
+        parts = WORDS.findall(name)
+        if not words.isdisjoint(parts) and all(p in words or p in PLAIN_WORDS for p in parts):
+            return True
+    return False
+
+
 def is_out(tag: str, attributes: str, inside_article: bool) -> bool:
     """Whether an element with all below it is no main text."""
     if tag in OUT_TAGS or tag == "header" and not inside_article:
@@ -66,13 +77,10 @@ def is_out(tag: str, attributes: str, inside_article: bool) -> bool:
     if a.get("role", "").lower() in OUT_ROLES:
         return True
     if tag == "article":
-        return not OUT_ARTICLES.isdisjoint(WORDS.findall(a.get("class", "").lower()))
+        return marked(a.get("class", ""), OUT_ARTICLES)
     if tag in KEPT:
-        return tag in ("p", "span", "a") and not OUT_WORDS.isdisjoint(WORDS.findall(a.get("class", "").lower()))
-    words = {w for name in ("class", "id") for w in WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", a.get(name, "")).lower())}
-    if inside_article:
-        words -= {"header"}
-    return not OUT_WORDS.isdisjoint(words)
+        return tag in ("p", "span", "a") and marked(a.get("class", ""), OUT_WORDS)
+    return marked(a.get("class", "") + " " + a.get("id", ""), OUT_WORDS - {"header"} if inside_article else OUT_WORDS)
 
 
 class Tree:
@@ -217,7 +225,10 @@ def main_text(page: str | None) -> str:
     if anchor is None:  # headings over the best and dense parts beside it; of an article, all is taken
         on_path = set(path)
         for i in range(1, n):
-            heading = tree.tag[i] in HEADINGS and tree.parent[i] in on_path
+            over = tree.parent[i]
+            while tree.tag[i] in HEADINGS and over not in on_path and chars[over] == chars[i]:
+                over = tree.parent[over]  # what holds the heading alone
+            heading = tree.tag[i] in HEADINGS and over in on_path
             if heading or tree.tag[i] in BLOCK and chars[i] and density[i] >= threshold and i not in on_path:
                 chosen[i] = True
     for i in range(1, n):

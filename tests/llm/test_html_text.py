@@ -31,6 +31,15 @@ def test_parts_inside_an_article_are_left_out():
     assert main_text(f"<body><article>{inner}</article></body>") == STORY
 
 
+def test_class_names_that_only_hold_a_word_leave_nothing_out():
+    story = f"<h1>Title</h1>{P}"
+    for page in (f'<div class="layout has-sidebar"><article>{story}</article></div>', f'<div class="no-sidebar">{story}</div>', f'<div class="post"><div class="post-header"><h1>Title</h1></div><div>{P}</div></div>'):
+        assert main_text(f"<body>{page}</body>") == f"Title {STORY}", page
+    assert main_text('<article><h1>T</h1><div class="social-science"><p>study text</p></div></article>') == "T study text"
+    for name in ("site-header", "mainNav", "cookie-notice", "comments-area", "related posts", "x ad-slot"):
+        assert main_text(f'<body><article>{story}</article><div class="{name}"><p>{"More words here. " * 40}</p></div></body>') == f"Title {STORY}", name
+
+
 def test_references_space_and_malformed_markup():
     page = "<article><h1>A&amp;B &lt;x&gt;</h1><p>one\n\t two<b>three<br>four<p>fi<i>ve</i> &eacute;&#x41;&nbsp;six</div><ul><li>a<li>b</ul>1 < 2 &bogus; end"
     assert main_text(page) == "A&B <x> one twothree four five éA six a b 1 < 2 &bogus; end"
