@@ -19,15 +19,17 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import add_columns, map_texts, named, texts_of
+from plumbline.llm.simhash import shingle_hashes
 
 #: Labelled rows to learn from at most, in the order of their ids' hashes.
 LABELLED = 40_000
 STEM_LENGTHS = (4, 5, 6)
+#: Words of a shingle and smallest shingle hashes of a text that tell its near copies; texts, copies counted once, that a term takes.
+SHINGLE, COPY_KEYS, LEAST_TEXTS = 3, 16, 1.5
 #: Shortest term of which misspellings count.
 MISSPELT = 5
 #: Characters on either side of an occurrence that are its context.
@@ -207,15 +209,17 @@ def _sample(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
 def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Terms and stems with weights from 0 to 1, by how much their presence tells beyond chance.
 
-    Of texts with the same words in the same order and the same label one counts.
+    A text counts by one over the number of near copies it has under the same label: the median,
+    over its smallest shingle hashes, of how many texts share one. So each group of copies
+    speaks once, no text and no term is left out, and a passage that many texts share weighs none of them down.
     """
 
     def make():
         def work(batch):
-            out = {"toxic": batch.column("toxic"), "group": [], "terms": []}
+            out = {"toxic": batch.column("toxic"), "row": batch.column("row"), "keys": [], "terms": []}
             for text in texts_of(batch):
                 words = words_of(text.lower())
-                out["group"].append(xxhash.xxh64_intdigest(" ".join(words)) >> 1)
+                out["keys"].append(np.unique(shingle_hashes(" ".join(words), SHINGLE))[:COPY_KEYS].view(np.int64))
                 terms = set(words)
                 stems = [w[:k] + "*" for w in terms for k in STEM_LENGTHS if len(w) > k]  # once for each different word
                 out["terms"].append(sorted([*terms, *stems]))
@@ -223,16 +227,21 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
 
         return work
 
-    texts = map_texts(sample.select("toxic", "text"), make, "toxic int, group long, terms array<string>").groupBy("group", "toxic").agg(F.max("terms").alias("terms"))
-    texts = texts.cache()
-    total = texts.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    texts = map_texts(sample.select(F.xxhash64("text", "toxic").alias("row"), "toxic", "text"), make, "toxic int, row long, keys array<long>, terms array<string>").cache()
+    keys = texts.select("row", "toxic", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key", "toxic").agg(F.count("*").alias("copies"))
+    weights = keys.join(shared, ["key", "toxic"]).groupBy("row").agg(F.sort_array(F.collect_list("copies")).alias("all"))
+    weights = weights.select("row", (1 / F.get("all", F.floor(F.size("all") / 2).cast("int"))).alias("weight"))
+    weighed = texts.join(weights, "row", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    total = weighed.agg(F.coalesce(F.sum("weight"), F.lit(0.0)), F.coalesce(F.sum(F.col("weight") * F.col("toxic")), F.lit(0.0))).first()
     share = total[1] / total[0] if total[0] else 0
     seeds = dict.fromkeys(SEEDS, 1.0)
     if not 0 < share < 1:
         texts.unpersist()
         return seeds, {}
-    counts = texts.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).where("pos > 1")
-    p = F.col("pos") / F.col("n")
+    counts = weighed.select("toxic", "weight", F.explode("terms").alias("term")).groupBy("term")
+    counts = counts.agg(F.sum(F.col("weight") * F.col("toxic")).alias("pos"), F.sum("weight").alias("n")).where(F.col("pos") > LEAST_TEXTS)
+    p = F.least(F.col("pos") / F.col("n"), F.lit(1.0))
     gain = F.col("pos") * F.log(p / share) + F.when(p < 1, (F.col("n") - F.col("pos")) * F.log((1 - p) / (1 - share))).otherwise(0.0)
     counts = counts.where(p > share).select("term", p.alias("p"), gain.alias("gain"))
     least = np.log(max(1, counts.count()))
@@ -245,14 +254,21 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
 
 
 def fit(x: np.ndarray, y: np.ndarray, strength: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Logistic weights nearest to PRIOR, by Newton's method."""
+    """Logistic weights nearest to PRIOR, by Newton's method; a step that would raise the loss is halved."""
+
+    def loss(w: np.ndarray) -> float:
+        return np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ w)).sum() + strength / 2 * ((w - PRIOR) ** 2).sum()
+
     w = PRIOR.copy()
     for _ in range(rounds if len(y) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w)), x.T @ (p - y) + strength * (w - PRIOR))
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        now = loss(w)
+        while np.abs(step).max() > 1e-6 and loss(w - step) > now:
+            step /= 2
+        if np.abs(step).max() <= 1e-6:
             break
+        w -= step
     return w
 
 

@@ -88,3 +88,36 @@ def test_texts_that_share_two_words_all_count(spark):
     rows = [(i % 2, licence + " " + " ".join(rng.choices(plain, k=10) + ["blurgh"] * (i % 2))) for i in range(120)]
     terms, _ = toxicity.learn_lexicon(spark.createDataFrame(rows + rows[:1] * 50, "toxic int, text string"))
     assert terms.get("blurgh") == 1.0
+
+
+def test_fit_ends_at_the_least_loss():
+    rng = np.random.default_rng(5)
+    y = (np.arange(12_000) < 1000).astype(float)
+    x = np.zeros((len(y), toxicity.FEATURES))
+    x[:, 0], x[:, 1], x[:, 4] = 1, y * 3, y  # classes that part without fault, where an undamped step overshoots
+    x[:, 2] = rng.exponential(2, len(y))
+    x[:, 3] = rng.exponential(5, len(y)) * (rng.random(len(y)) < 0.5)
+    w = toxicity.fit(x, y)
+    p = 1 / (1 + np.exp(-(x @ w)))
+    assert p[y == 1].min() > 0.3 > p[y == 0].max()
+    assert np.abs(x.T @ (p - y) + (w - toxicity.PRIOR)).max() < 1e-2
+
+
+def test_near_copies_speak_once(spark):
+    rng = random.Random(7)
+    names = ["".join(rng.choice("aeioubdgklmnprst") for _ in range(7)) for _ in range(3000)]
+    rows, labels = [], []
+    for i in range(200):
+        toxic = i % 10 == 0
+        rows.append((i, " ".join([*rng.choices(names, k=60), *(["grobnik"] if toxic else [])]), ""))
+        labels.append((i, int(toxic)))
+    base = rng.choices(names, k=150) + ["onlyinthiscopy"]
+    for i in range(200, 240):  # near copies of one toxic text
+        words = list(base)
+        words[rng.randrange(150)] = rng.choice(names)
+        rows.append((i, " ".join(words), ""))
+        labels.append((i, 1))
+    sample = frame(spark, rows).join(spark.createDataFrame(labels, "doc_id long, toxic int"), "doc_id")
+    terms, stems = toxicity.learn_lexicon(sample)
+    assert "grobnik" in terms or any("grobnik".startswith(s) for s in stems)
+    assert "onlyinthiscopy" not in terms and not any("onlyinthiscopy".startswith(s) for s in stems)
