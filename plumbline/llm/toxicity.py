@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -209,16 +210,18 @@ def _sample(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
 def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Terms and stems with weights from 0 to 1, by how much their presence tells beyond chance.
 
-    A text counts by one over the number of near copies it has under the same label: the median,
-    over its smallest shingle hashes, of how many texts share one. So each group of copies
-    speaks once, no text and no term is left out, and a passage that many texts share weighs none of them down.
+    Of texts with the same words in the same order and the same label one counts, and each counts by
+    one over the number of its near copies: the median, over its smallest shingle hashes, of how many
+    more texts of the one label than of the other share it. So a group of copies speaks once, no text
+    and no term is left out, and neither a passage in part of a text nor one that both labels share weighs it down.
     """
 
     def make():
         def work(batch):
-            out = {"toxic": batch.column("toxic"), "row": batch.column("row"), "keys": [], "terms": []}
+            out = {"toxic": batch.column("toxic"), "row": [], "keys": [], "terms": []}
             for text in texts_of(batch):
                 words = words_of(text.lower())
+                out["row"].append(xxhash.xxh64_intdigest(" ".join(words)) >> 1)
                 out["keys"].append(np.unique(shingle_hashes(" ".join(words), SHINGLE))[:COPY_KEYS].view(np.int64))
                 terms = set(words)
                 stems = [w[:k] + "*" for w in terms for k in STEM_LENGTHS if len(w) > k]  # once for each different word
@@ -227,12 +230,13 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
 
         return work
 
-    texts = map_texts(sample.select(F.xxhash64("text", "toxic").alias("row"), "toxic", "text"), make, "toxic int, row long, keys array<long>, terms array<string>").cache()
+    each = map_texts(sample.select("toxic", "text"), make, "toxic int, row long, keys array<long>, terms array<string>")
+    texts = each.groupBy("row", "toxic").agg(F.max("keys").alias("keys"), F.max("terms").alias("terms")).cache()
     keys = texts.select("row", "toxic", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key", "toxic").agg(F.count("*").alias("copies"))
-    weights = keys.join(shared, ["key", "toxic"]).groupBy("row").agg(F.sort_array(F.collect_list("copies")).alias("all"))
-    weights = weights.select("row", (1 / F.get("all", F.floor(F.size("all") / 2).cast("int"))).alias("weight"))
-    weighed = texts.join(weights, "row", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    shared = keys.groupBy("key").agg(F.greatest(F.lit(1), F.abs(F.sum(2 * F.col("toxic") - 1))).alias("copies"))
+    weights = keys.join(shared, "key").groupBy("row", "toxic").agg(F.sort_array(F.collect_list("copies")).alias("all"))
+    weights = weights.select("row", "toxic", (1 / F.get("all", F.floor(F.size("all") / 2).cast("int"))).alias("weight"))
+    weighed = texts.join(weights, ["row", "toxic"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     total = weighed.agg(F.coalesce(F.sum("weight"), F.lit(0.0)), F.coalesce(F.sum(F.col("weight") * F.col("toxic")), F.lit(0.0))).first()
     share = total[1] / total[0] if total[0] else 0
     seeds = dict.fromkeys(SEEDS, 1.0)
