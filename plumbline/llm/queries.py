@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, html_text, maxent, pieces, secrets, separator_scan, simhash, token_blocks, toxicity, vectors
+from plumbline.llm import decontamination, html_text, lexical, maxent, pieces, secrets, separator_scan, simhash, token_blocks, toxicity, vectors
 from plumbline.session import load
 
 
@@ -67,6 +67,10 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(load(spark, sf_dir, "embeddings"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,12 +89,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": op8_html,
         "op9_simhash": op9_simhash,
         "op10_vectors": op10_vectors,
+        "op12_lexical": op12_lexical,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": DECONTAMINATION}
+    return {"op2_decontamination": DECONTAMINATION, "op12_lexical": LEXICAL}
 
 
 DECONTAMINATION = r"""
@@ -116,3 +121,23 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+LEXICAL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), c AS (
+  SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(ws)) AS BIGINT) AS l FROM d WHERE len(ws) > 0
+), p AS (
+  SELECT r, doc_id, 25 + (75 * len(ws) * n) // l AS m, term, CAST(count(*) AS BIGINT) AS tf
+  FROM (SELECT r, doc_id, ws, unnest(ws) AS term FROM d), c GROUP BY r, doc_id, ws, n, l, term
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, c GROUP BY term
+), s AS (
+  SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM (SELECT item_id, term, count(*) AS times FROM b GROUP BY ALL) JOIN w USING (term) JOIN p USING (term) GROUP BY item_id, r, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
