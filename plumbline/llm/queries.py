@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, html_text, lexical, maxent, pieces, secrets, separator_scan, simhash, token_blocks, toxicity, vectors
+from plumbline.llm import alignment, decontamination, html_text, lexical, maxent, pieces, secrets, separator_scan, simhash, token_blocks, toxicity, vectors
 from plumbline.session import load
 
 
@@ -71,6 +71,10 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(load(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash": op9_simhash,
         "op10_vectors": op10_vectors,
         "op12_lexical": op12_lexical,
+        "op13_alignment": op13_alignment,
         "pipeline": pipeline,
     }
 
