@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import alignment, decontamination, html_text, lexical, maxent, pieces, secrets, separator_scan, simhash, token_blocks, toxicity, vectors
+from plumbline.llm import alignment, decontamination, html_text, lexical, maxent, pieces, secrets, separator_scan, simhash, suffixes, token_blocks, toxicity, vectors
 from plumbline.session import load
 
 
@@ -67,6 +67,10 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(load(spark, sf_dir, "embeddings"))
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removal_digests(load(spark, sf_dir, "documents"))
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -93,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": op8_html,
         "op9_simhash": op9_simhash,
         "op10_vectors": op10_vectors,
+        "op11_suffixes": op11_suffixes,
         "op12_lexical": op12_lexical,
         "op13_alignment": op13_alignment,
         "pipeline": pipeline,
@@ -100,7 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": DECONTAMINATION, "op12_lexical": LEXICAL}
+    return {"op2_decontamination": DECONTAMINATION, "op11_suffixes": SUFFIXES, "op12_lexical": LEXICAL}
 
 
 DECONTAMINATION = r"""
@@ -146,3 +151,18 @@ WITH d AS (
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
 """
+
+SUFFIXES = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT r, doc_id, i, array_to_string(ws[i:i + 49], ' ') AS gram FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)
+), least AS (
+  SELECT gram, min(doc_id) AS least FROM g GROUP BY gram HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT r, list_distinct(list(k)) AS ks FROM (SELECT r, unnest(range(i, i + 50)) AS k FROM g JOIN least USING (gram) WHERE doc_id > least) GROUP BY r
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN ks IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda k: NOT list_contains(ks, k)), lambda k: ws[k]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
+"""
