@@ -124,11 +124,14 @@ def camera_translation(df: DataFrame, by: list[str], point: Column, ray: Column,
     return s.select(*by, F.try_divide(b + u * t2, n).alias("tx"), F.try_divide(c + v * t2, n).alias("ty"), t2.alias("tz"))
 
 
-def side_by_side(df: DataFrame, keys: list[str], right: Column, value: str, n: int) -> DataFrame:
-    """keys and one list of 2 n numbers: the left hand's first, then the right's; zeros for a hand that is missing."""
+def side_by_side(df: DataFrame, keys: list[str], right: Column, value: str, n: int, *more: Column) -> DataFrame:
+    """keys and one list of 2 n numbers: the left hand's first, then the right's; zeros for a hand that is missing.
+
+    Of several rows of a hand the least counts. more: further aggregates.
+    """
     none = F.array_repeat(F.lit(0.0), n)
-    hand = lambda is_right: F.coalesce(F.first(F.when(right == is_right, F.col(value)), True), none)
-    return df.groupBy(*keys).agg(F.concat(hand(False), hand(True)).alias(value))
+    hand = lambda is_right: F.coalesce(F.min(F.when(right == is_right, F.col(value))), none)
+    return df.groupBy(*keys).agg(F.concat(hand(False), hand(True)).alias(value), *more)
 
 
 def one_by_one(df: DataFrame, value: str, n: int) -> DataFrame:
