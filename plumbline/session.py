@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -35,3 +38,13 @@ def get_session(app: str = "plumbline", cores: str = "*", **conf: str) -> SparkS
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all machines share; a local session without it gets a temporary one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = f"file://{tempfile.gettempdir()}/plumbline-shared"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
