@@ -174,7 +174,8 @@ def staged(docs: DataFrame, scan: DataFrame, hot: int) -> DataFrame:
     """The documents of keyed() that share a gram with another, with places: twice the number of each such stretch, one more if it's hot."""
     grams = scan.select("own", "print", F.posexplode("grams").alias("k", "gram"))
     shared = grams.groupBy("gram").agg(F.min("own").alias("least"), F.max("own").alias("most"), F.count("*").alias("n"))
-    shared = shared.where("least < most").select("gram", (F.col("n") > hot).cast("int").alias("hot"))
+    # written, so that the join's sides are shuffles of their own, of which adaptive execution can cut a hot gram's
+    shared = written(shared.where("least < most").select("gram", (F.col("n") > hot).cast("int").alias("hot")))
     places = grams.join(shared, "gram").groupBy("own", "print").agg(F.collect_set(F.col("k") * 2 + F.col("hot")).alias("places"))
     return docs.join(places, ["own", "print"])
 
