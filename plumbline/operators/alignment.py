@@ -68,7 +68,7 @@ def align(df: DataFrame, by: list[str], x: str, y: str, scaled: bool = True, wei
 def trimmed_median_ratio(df: DataFrame, by: list[str], top: Column, bottom: Column, near: float, far: float, rounds: int = 10) -> DataFrame:
     """The median of top / bottom where top lies in (near, far), then again and again where bottom by the scale is in (0, far).
 
-    One shuffle: all rounds are windows over the same groups.
+    One shuffle: all rounds are windows over the same groups, so a key has to fit a task. scale.trimmed_ratio takes keys of any size.
     """
     w = Window.partitionBy(*by)
     rows = df.select(*by, F.try_divide(top, bottom).alias("ratio"), top.cast("double").alias("top"), bottom.cast("double").alias("bottom")).where(~F.isnan("ratio") & F.col("ratio").isNotNull())
@@ -80,7 +80,10 @@ def trimmed_median_ratio(df: DataFrame, by: list[str], top: Column, bottom: Colu
 
 
 def robust_scale(df: DataFrame, by: list[str], top: Column, bottom: Column, start: Column, sigma: float = 1.0, rounds: int = 8) -> DataFrame:
-    """The scale s with the least Geman-McClure loss of top - s bottom, from a start, by reweighted least squares."""
+    """The scale s with the least Geman-McClure loss of top - s bottom, from a start, by reweighted least squares.
+
+    For keys that fit a task; scale.reweighted and scale.descended take keys of any size.
+    """
     w = Window.partitionBy(*by)
     rows = df.select(*by, top.cast("double").alias("top"), bottom.cast("double").alias("bottom"), start.cast("double").alias("scale"))
     for _ in range(rounds):

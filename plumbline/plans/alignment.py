@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import alignment, metrics
+from plumbline.operators import alignment, metrics, scale
 from plumbline.plans.geometry import joints, vectors
 from plumbline.plans.registry import query
 from plumbline.session import load
@@ -29,7 +29,9 @@ def _rounds(n: int) -> str:
 
 @query(f"SELECT l_suppkey, round(min(scale), 6) AS scale, count(*) AS n FROM ({_rounds(10)}) GROUP BY 1")
 def trimmed_median_ratio(spark, sf_dir):
-    found = alignment.trimmed_median_ratio(prices(spark, sf_dir), ["l_suppkey"], F.col("top"), F.col("bottom"), 500.0, 9000.0)
+    rows = prices(spark, sf_dir)
+    found = scale.trimmed_ratio(rows, ["l_suppkey"], F.col("top"), F.col("bottom"), 500.0, 9000.0)
+    found = rows.where(F.try_divide("top", "bottom").isNotNull()).groupBy("l_suppkey").agg(F.count("*").alias("n")).join(found, "l_suppkey", "left")
     return found.select("l_suppkey", F.round("scale", 6).alias("scale"), "n")
 
 
@@ -47,10 +49,60 @@ def _reweighted(n: int) -> str:
 
 @query(f"SELECT l_suppkey, round(min(s), 5) AS scale, count(*) AS n FROM ({_reweighted(8)}) GROUP BY 1")
 def robust_scale(spark, sf_dir):
-    found = alignment.robust_scale(prices(spark, sf_dir), ["l_suppkey"], F.col("top"), F.col("bottom"), F.lit(2.0), sigma=1000.0)
+    found = scale.reweighted(prices(spark, sf_dir), ["l_suppkey"], F.col("top"), F.col("bottom"), F.lit(2.0), sigma=1000.0)
     return found.select("l_suppkey", F.round("scale", 5).alias("scale"), "n")
 
 
+def _converged(rows: str, start: str) -> str:
+    """Reweighting until nothing moves any more. rows: l_suppkey, top, bottom; start: l_suppkey, s."""
+    step = "sum(k * top * bottom) / sum(k * bottom * bottom) AS s FROM (SELECT r.*, top, bottom, pow(1e6::DOUBLE / (1e6::DOUBLE + (top - s * bottom) * (top - s * bottom)), 2) AS k FROM r JOIN p USING (l_suppkey) WHERE i < 300)"
+    return f"WITH RECURSIVE p AS ({rows}), r AS (SELECT l_suppkey, 0 AS i, s FROM ({start}) UNION ALL SELECT l_suppkey, i + 1 AS i, {step} GROUP BY l_suppkey, i) SELECT l_suppkey, round(s, 4) AS scale, n FROM r JOIN (SELECT l_suppkey, count(*) AS n FROM p GROUP BY 1) USING (l_suppkey) WHERE i = 300"
+
+
+@query(_converged(f"SELECT * FROM {PRICES}", f"SELECT DISTINCT l_suppkey, 2.0::DOUBLE AS s FROM {PRICES}"))
+def scale_descent(spark, sf_dir):
+    """The same optimum as robust_scale, by descent."""
+    found = scale.descended(prices(spark, sf_dir), ["l_suppkey"], F.col("top"), F.col("bottom"), F.lit(2.0), sigma=1000.0)
+    return found.select("l_suppkey", F.round("scale", 4).alias("scale"), "n")
+
+
+def _wide() -> str:
+    """The rounds without a mask, up to 10,000."""
+    sql = f"SELECT *, median(ratio) FILTER (top > 0 AND top < 10000) OVER w AS scale FROM {PRICES} WINDOW w AS (PARTITION BY l_suppkey)"
+    for _ in range(10):
+        sql = f"SELECT * EXCLUDE (scale), median(ratio) FILTER (bottom * scale > 0 AND bottom * scale < 10000 AND top > 0 AND top < 10000) OVER w AS scale FROM ({sql}) WINDOW w AS (PARTITION BY l_suppkey)"
+    return f"SELECT l_suppkey, min(scale) AS s FROM ({sql}) GROUP BY 1"
+
+
+@query(_converged(f"SELECT * FROM {PRICES} WHERE top > 0 AND top < 10000", _wide()))
+def scale_unmasked(spark, sf_dir):
+    """Trimmed medians, then descent, with no mask and a far bound that hardly binds."""
+    rows, columns = prices(spark, sf_dir), (F.col("top"), F.col("bottom"))
+    start = scale.trimmed_ratio(rows, ["l_suppkey"], *columns, near=0.0, far=10_000.0)
+    found = scale.descended(rows, ["l_suppkey"], *columns, start, sigma=1000.0, far=10_000.0)
+    return found.select("l_suppkey", F.round("scale", 4).alias("scale"), "n")
+
+
+NEAR = f"(SELECT l_suppkey, l_linestatus, top / 200 AS top, bottom / 200 AS bottom, ratio FROM (SELECT l.l_suppkey, l.l_linestatus, l.l_extendedprice / l.l_quantity AS top, p_retailprice AS bottom, l.l_extendedprice / l.l_quantity / p_retailprice AS ratio FROM lineitem l JOIN part ON p_partkey = l.l_partkey))"
+
+
+def _banded() -> str:
+    seen = "l_linestatus <> 'F' AND top > 0 AND top < 10"
+    sql = f"SELECT *, median(ratio) FILTER ({seen}) OVER w AS scale FROM {NEAR} WINDOW w AS (PARTITION BY l_suppkey)"
+    for _ in range(10):
+        sql = f"SELECT * EXCLUDE (scale), median(ratio) FILTER ({seen} AND bottom * scale > 0 AND bottom * scale < 10) OVER w AS scale FROM ({sql}) WINDOW w AS (PARTITION BY l_suppkey)"
+    return f"SELECT l_suppkey, round(min(scale), 6) AS scale FROM ({sql}) GROUP BY 1 HAVING count(*) FILTER ({seen}) > 0"
+
+
+@query(_banded())
+def scale_simple(spark, sf_dir):
+    """Medians alone, in the band from 0 to 10, where the mask doesn't hold."""
+    part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_retailprice") / 200).alias("bottom"))
+    rows = load(spark, sf_dir, "lineitem").join(part, "l_partkey")
+    found = scale.trimmed_ratio(rows, ["l_suppkey"], F.col("l_extendedprice") / F.col("l_quantity") / 200, F.col("bottom"), 0.0, 10.0, mask=F.col("l_linestatus") == "F")
+    return found.select("l_suppkey", F.round("scale", 6).alias("scale"))
+
+
 @query("""
 WITH g AS (SELECT l_suppkey, f, avg(abs(l_extendedprice / l_quantity - f)) AS err FROM lineitem, (SELECT unnest([2000.0::DOUBLE, 500.0::DOUBLE, 1000.0::DOUBLE, 1500.0::DOUBLE, 2500.0::DOUBLE, 3000.0::DOUBLE]) AS f) GROUP BY 1, 2)
 SELECT l_suppkey, arg_min(f, round(err, 6)) AS focal FROM g GROUP BY 1
