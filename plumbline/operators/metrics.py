@@ -96,3 +96,12 @@ def path_length(df: DataFrame, by: list[str], at: str, point: str, name: str = "
 def report(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     """Means of each sequence and, under a null key, of all frames together, not of the means."""
     return df.rollup(*by).agg(F.count("*").alias("frames"), *(F.avg(v).alias(v) for v in values))
+
+
+def report_lines(df: DataFrame, sequence: str, values: list[str], title: str) -> DataFrame:
+    """sequence, line: a line for each sequence with its means, and one with the title, the names and all frames' means (sequence is null)."""
+    sets = df.groupingSets([[sequence], []], sequence).agg(F.grouping(sequence).alias("__all"), *(F.avg(v).alias(v) for v in values))
+    own = F.concat_ws(" ", F.col(sequence).cast("string"), *(F.format_string("%.4f", v) for v in values))
+    names = " ".join(f"{v.upper()}," for v in values)
+    total = F.concat_ws(" ", F.lit(title), F.lit(names), *(F.format_string("%.2f", v) for v in values))
+    return sets.select(sequence, F.when(F.col("__all") == 1, total).otherwise(own).alias("line"))

@@ -45,11 +45,17 @@ def frame_distance(df: DataFrame, by: list[str], flow: Column, weight: Column, v
     return df.groupBy(*by).agg(F.when(F.avg(valid.cast("double")) < least, 1000.0).otherwise(mean).alias("distance"))
 
 
-def vertex_normals(faces: DataFrame, mesh: str = "mesh") -> DataFrame:
-    """mesh, vertex, normal from faces (mesh, i, j, k and points a, b, c): the unit sum of unit face normals."""
+def vertex_normals(faces: DataFrame, mesh: str = "mesh", last: str | None = None) -> DataFrame:
+    """mesh, vertex, normal from faces (mesh, i, j, k and points a, b, c): the unit sum of unit face normals.
+
+    last: the faces' order. Then, of the faces that have a vertex at one corner (first, second or third), only the
+    last counts, as when sums are assigned by index.
+    """
     from plumbline.functions import rotation as R
 
     normal = R.unit(R.cross(R.minus(F.col("b"), F.col("a")), R.minus(F.col("c"), F.col("a"))), least=1e-5)
-    rows = faces.select(mesh, normal.alias("n"), F.explode(F.array("i", "j", "k")).alias("vertex"))
+    rows = faces.select(mesh, *([last] if last else []), normal.alias("n"), F.posexplode(F.array("i", "j", "k")).alias("corner", "vertex"))
+    if last:
+        rows = rows.groupBy(mesh, "vertex", "corner").agg(F.max_by("n", last).alias("n"))
     sums = rows.groupBy(mesh, "vertex").agg(F.array(*(F.sum(R.at(F.col("n"), d)) for d in range(3))).alias("s"))
     return sums.select(mesh, "vertex", R.unit(F.col("s"), least=1e-5).alias("normal"))
