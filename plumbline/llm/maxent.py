@@ -129,7 +129,10 @@ def read_spans(rows: DataFrame) -> DataFrame:
     """The texts of (doc_id, learnt, text) as spans, written to the shared folder."""
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, turn = reader_of_worker(), 0
+        from pyspark import TaskContext
+
+        # tasks begin with different rounds, so that each round has spans where tasks have few
+        reader, turn = reader_of_worker(), TaskContext.get().partitionId()
         flat, ids, learnt, sizes = [], [], [], []
 
         def span() -> pa.RecordBatch:
@@ -342,6 +345,7 @@ class Softmax:
 
     def learn(self) -> None:
         self.seen, self.slope = np.zeros(len(self.w), np.int64), np.full((len(self.w), 1), 1e-2, np.float32)
+        self.mark, self.place = np.zeros(len(self.w), bool), np.zeros(len(self.w), np.intp)
 
     def step(self, rows: np.ndarray, goals: np.ndarray, bias: np.ndarray) -> None:
         """A mini-batch: all its gradients are of the weights before it."""
@@ -351,15 +355,22 @@ class Softmax:
         error /= error @ ONES
         error[np.arange(len(goals)), goals] -= 1
         error /= np.float32(math.sqrt(len(goals)))
-        flat, each = rows.reshape(-1), np.empty(rows.shape)
-        gradient = np.zeros((WIDE, len(self.w)), np.float32)
+        # only rows that the batch has are worked on, however many there are
+        each = np.empty(rows.shape)
+        self.mark[rows] = True
+        ids = np.flatnonzero(self.mark)
+        self.mark[ids] = False
+        self.place[ids] = np.arange(len(ids))
+        flat = self.place[rows].reshape(-1)
+        gradient = np.zeros((WIDE, len(ids)), np.float32)
         used = np.flatnonzero(bias.max(axis=0) > LOWEST)  # a tree's root has fewer outputs
         for k in used.tolist():
             each[:] = error[:, k]
-            gradient[k] = np.bincount(flat, each.reshape(-1), len(self.w))
-        self.slope += np.einsum("kr,kr->r", gradient, gradient)[:, None] / np.float32(WIDE)
-        self.w -= gradient.T * (np.float32(RATE) / np.sqrt(self.slope))
-        self.seen[flat] += 1
+            gradient[k] = np.bincount(flat, each.reshape(-1), len(ids))
+        slope = self.slope[ids] + np.einsum("kr,kr->r", gradient, gradient)[:, None] / np.float32(WIDE)
+        self.slope[ids] = slope
+        self.w[ids] -= gradient.T * (np.float32(RATE) / np.sqrt(slope))
+        self.seen[ids] += 1
 
 
 @dataclass

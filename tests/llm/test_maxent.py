@@ -104,3 +104,26 @@ def test_nothing_to_learn_from(spark):
     got = maxent.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), maxent.F.col("doc_id") > 5).collect()
     check_base(got, rows, [False] * 3)
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+
+
+def test_step_on_touched_rows_equals_the_dense_one():
+    from plumbline.llm import maxent
+
+    rng = np.random.default_rng(5)
+    own = maxent.Softmax(rng.normal(size=(512, maxent.WIDE)).astype(np.float32))
+    own.learn()
+    w, slope, seen = own.w.copy(), own.slope.copy(), own.seen.copy()
+    bias = np.full((1, maxent.WIDE), 0.1, np.float32)
+    for n in (1, 40, 200):
+        rows, goals = rng.integers(0, 300, (7, n)), rng.integers(0, maxent.WIDE, n)
+        z = np.minimum(w[rows].sum(axis=0) + bias, maxent.HIGHEST)
+        error = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+        error[np.arange(n), goals] -= 1
+        gradient = np.zeros_like(w)
+        for r in rows:
+            np.add.at(gradient, r, error / np.float32(np.sqrt(n)))
+        slope += (gradient * gradient).sum(axis=1, keepdims=True) / maxent.WIDE
+        w -= gradient * (maxent.RATE / np.sqrt(slope))
+        seen[np.unique(rows)] += 1
+        own.step(rows, goals, bias)
+    assert np.allclose(own.w, w, atol=1e-4) and np.allclose(own.slope, slope, rtol=1e-3) and (own.seen == seen).all()
