@@ -92,7 +92,13 @@ def flip_keypoints(spark, sf_dir):
     return d.select("vec_id", *(F.round(R.at(F.col("p"), i, k), 6).alias(f"x{2 * i + k}") for i in range(2) for k in range(2)))
 
 
-@query()
+# a bone of length 1 along y, turned by one unit quaternion, then by the product of two
+TURNED_Y = "2 * ({x} * {y} - {w} * {z})", "1 - 2 * ({x} * {x} + {z} * {z})", "2 * ({y} * {z} + {w} * {x})"
+TIP = [a.format(**dict(zip("wxyz", ("aw", "ax", "ay", "az"), strict=True))) + " + " + a.format(**dict(zip("wxyz", ("pw", "px", "py", "pz"), strict=True))) for a in TURNED_Y]
+UNIT4 = ", ".join(f"e[{4 * i + j + 1}] / sqrt(e[{4 * i + 1}]**2 + e[{4 * i + 2}]**2 + e[{4 * i + 3}]**2 + e[{4 * i + 4}]**2) AS {n}{c}" for i, n in enumerate("ab") for j, c in enumerate("wxyz"))
+
+
+@query(f"SELECT vec_id, {sql_columns(TIP)} FROM (SELECT *, aw*bw - ax*bx - ay*b_y - az*bz AS pw, aw*bx + ax*bw + ay*bz - az*b_y AS px, aw*b_y - ax*bz + ay*bw + az*bx AS py, aw*bz + ax*b_y - ay*bx + az*bw AS pz FROM (SELECT vec_id, {UNIT4.replace(' AS by', ' AS b_y')} FROM {E}))")
 def forward_kinematics(spark, sf_dir):
     """A chain of three bones with the vector's first rotations."""
     turns = [R.unit(part(1 + 4 * i, 4), 4) for i in range(3)]
@@ -101,7 +107,15 @@ def forward_kinematics(spark, sf_dir):
     return d.select("vec_id", *named(F.col("tip"), 3))
 
 
-@query()
+HALF = "cos(pi() / 12)", "sin(pi() / 12)"
+
+
+@query(f"""
+SELECT vec_id, {sql_columns([f'k * {c}' for c in 'xyz'])} FROM (
+  SELECT *, CASE WHEN w < 0 THEN 2 * atan2(-s, -w) ELSE 2 * atan2(s, w) END / s AS k FROM (SELECT *, sqrt(x * x + y * y + z * z) AS s FROM (
+    SELECT vec_id, {HALF[0]} * w + {HALF[1]} * z AS w, {HALF[0]} * x + {HALF[1]} * y AS x, {HALF[0]} * y - {HALF[1]} * x AS y, {HALF[0]} * z - {HALF[1]} * w AS z FROM (
+      SELECT vec_id, cos(a / 2) AS w, e[1] * sin(a / 2) / a AS x, e[2] * sin(a / 2) / a AS y, e[3] * sin(a / 2) / a AS z FROM (SELECT *, sqrt(e[1]**2 + e[2]**2 + e[3]**2) AS a FROM {E})))))
+""")
 def rotate_in_plane(spark, sf_dir):
     d = vectors(spark, sf_dir).withColumn("v", R.turned_in_plane(part(1, 3), F.lit(30.0)))
     return d.select("vec_id", *named(F.col("v"), 3))

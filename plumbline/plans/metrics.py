@@ -96,6 +96,11 @@ def eval_report(spark, sf_dir):
     return metrics.report(d, ["label"], ["error", "aligned"]).select("label", "frames", F.round("error", 6).alias("error"), F.round("aligned", 6).alias("aligned"))
 
 
-@query()
+# joints that move by less than 0.12 in truth, from one row of a label to the next, and how far they move in what was found
+MOVES = f"SELECT vec_id, unnest(range(0, 21)) AS i, t, f, lag(t) OVER w AS t1, lag(f) OVER w AS f1 FROM {PAIRS} WINDOW w AS (PARTITION BY label ORDER BY vec_id)"
+MOVED = f"SELECT vec_id, {_norm([f't[i * 3 + {k}] - t1[i * 3 + {k}]' for k in (1, 2, 3)])} AS t, {_norm([f'f[i * 3 + {k}] - f1[i * 3 + {k}]' for k in (1, 2, 3)])} AS f FROM ({MOVES})"
+
+
+@query(f"SELECT vec_id, round(avg(f) FILTER (t < 0.12), 6) AS sliding FROM ({MOVED}) GROUP BY 1")
 def sliding_contact(spark, sf_dir):
     return metrics.sliding(pairs(spark, sf_dir), ["label"], "vec_id", "truth", "found", 0.12).select("vec_id", F.round("sliding", 6).alias("sliding"))
