@@ -1,17 +1,19 @@
 """Near-duplicate vectors: spherical k-means cells and blocked cosine products.
 
 Equal vectors go as one, with their number, by a hash of 128 bits. Centroids are fitted on a bounded sample,
-and every vector is assigned: its nearest centroid is its home, and it visits
-each cell that may be home to a vector within the threshold. No pair is lost: a vector at home in c
-lies on c's side of the plane between c and the visitor's home c', and an angle of t leads no
-farther than sin(t) beyond it. Where that leaves most cells to visit, all vectors are one
-cell, compared tile by tile. A cell compares
-the vectors at home with all its members, in blocks; a large cell is cut into tiles
-for several tasks. Tiles hand on counts and forests, never pairs.
+and every vector is assigned: its nearest centroid is its home, and it visits each cell whose
+centroid's cosine is at most a margin less. A cell compares the vectors at home with all its members, in blocks;
+a large cell is cut into tiles for several tasks. Tiles hand on counts and forests, never pairs.
 
 A pair is found if either one visits the other's home, and counts for both ends
-once, whichever cells it meets in. A vector that is null, zero, of another length than most, or
-holds null or non-finite components links with nothing, as does a row whose id is null;
+once, whichever cells it meets in. With the default margin, 0.2, a test demands 98 % of planted links in spaces of 64 and of 8 dimensions over 100 cells,
+of which a vector visits under a tenth. margin=None is the exact way:
+a vector visits each cell that may be home to one within the threshold. No pair is lost then, as a vector at home in c
+lies on c's side of the plane between c and the visitor's home c', and an angle of t leads no
+farther than sin(t) beyond it; but in many dimensions that leaves most cells to visit.
+
+Vectors are compared with those of their own length; the commonest length has cells, each other is one cell. A vector that
+is null, zero, or holds null or non-finite components links with nothing, as does a row whose id is null;
 such a row is a component of its own. Repeated rows are vectors of their own.
 """
 
@@ -32,8 +34,8 @@ from plumbline.llm.graph import components, local_components
 SAMPLE = 20_000
 #: Different vectors for each centroid, and centroids at most.
 CELL_ROWS, CELLS = 1_000, 4_096
-#: Cells are used where vectors of the sample visit at most this share of them.
-VISITED = 0.25
+#: How much less than its nearest centroid's the cosine of a visited centroid may be.
+MARGIN = 0.2
 #: Rows of a tile: at home, and members to compare them with.
 HOME_ROWS, MEMBER_ROWS = 4_096, 16_384
 
@@ -112,7 +114,8 @@ def _compare(threshold: float):
         guest = own[others] != cell
         # cells that each home row visits, to see whether a guest meets it at the guest's home too
         offsets, flat = visits.offsets.to_numpy(), visits.values.to_numpy()
-        met = {int(h): set(flat[offsets[h] : offsets[h + 1]].tolist()) for h in homes} if guest.any() else {}
+        sizes = (offsets[1:] - offsets[:-1])[homes]
+        met = np.repeat(homes, sizes) << 32 | np.concatenate([flat[offsets[h] : offsets[h + 1]] for h in homes.tolist()]).astype(np.int64) if guest.any() else None
         found = []
         for a in range(0, len(homes), 256):
             part = homes[a : a + 256]
@@ -121,9 +124,10 @@ def _compare(threshold: float):
             other = rep[u] != rep[v]
             u, v, lone = u[other], v[other], guest[j][other]
             np.add.at(links, u, n[v])
-            for p, q in zip(u[lone].tolist(), v[lone].tolist(), strict=True):
-                if own[q] not in met[p]:
-                    links[q] += n[p]
+            if lone.any():
+                p, q = u[lone], v[lone]
+                missed = ~np.isin(p << 32 | own[q].astype(np.int64), met)
+                np.add.at(links, q[missed], n[p[missed]])
             found.append(np.stack([u, v]))
             if sum(f.shape[1] for f in found) > 1 << 20:
                 found = [_forest(root, found)]
@@ -142,18 +146,16 @@ def _forest(root: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
     return np.stack([held, root[held]])
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, margin: float | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, margin: float | None = MARGIN, cell_rows: int = CELL_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row.
 
-    margin: by how much less than its nearest centroid's a visited centroid's cosine may be,
-    instead of the bound that loses no pair.
+    margin: by how much less than its nearest centroid's a visited centroid's cosine may be; None: by
+    the bound that loses no pair.
     """
     rows = named(vectors, vec_id=id_col, embedding=vector_col).withColumn("embedding", F.col("embedding").cast("array<double>"))
     whole = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < math.inf)) & F.exists("embedding", lambda c: c != 0)
     valid = rows.where(F.coalesce(whole, F.lit(False)) & F.col("vec_id").isNotNull())
-    length = valid.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dimension = length["d"] if length else 0
-    reps = written(valid.where(F.size("embedding") == dimension).groupBy(_key().alias("key")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding")))
+    reps = written(valid.groupBy(_key().alias("key")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding")))
     found = _links(reps, threshold, margin, cell_rows)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
@@ -172,12 +174,14 @@ def _key() -> Column:
 
 def _links(reps: DataFrame, threshold: float, margin: float | None, cell_rows: int) -> DataFrame:
     """rep, its links to others in one tile, and a root that they connect it to."""
-    total = reps.count()
+    length = reps.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    total, dimension = (length["count"], length["d"]) if length else (0, 0)
+    reps, others = reps.where(F.size("embedding") == dimension), reps.where(F.size("embedding") != dimension)
     sample = reps.select("embedding", F.xxhash64("rep").alias("h")).orderBy("h").limit(SAMPLE).select("embedding").toArrow().combine_chunks()
     x = unit_rows(sample.column("embedding").chunk(0)) if sample.num_rows else np.zeros((1, 1))
     centres = fit_cells(x, max(1, min(CELLS, len(x), -(-total // cell_rows))))
-    some = x[:2048]
-    if margin is None and len(centres) > 1 and _visits(some @ centres.T, centres, threshold, None).mean() > VISITED:
-        centres = centres[:1]
-    members = written(_assigned(reps, centres, threshold, margin))
+    members = _assigned(reps, centres, threshold, margin)
+    cell = -F.size("embedding")
+    others = others.select(cell.alias("cell"), cell.alias("home"), "rep", "n", F.array(cell).alias("visits"), "embedding")
+    members = written(members.unionByName(others))
     return written(_tiles(members).groupBy("cell", "i", "j").applyInArrow(_compare(threshold), "rep long, links long, root long"))
