@@ -40,6 +40,17 @@ def flip_axes(p: Column) -> Column:
     return R.bind(p, lambda p: rigid(F.zip_with(p["r"], sign, lambda row, s: F.transform(row, lambda x: x * s)), F.zip_with(p["t"], sign, lambda x, s: x * s)))
 
 
+# How the camera is turned in its image, against the device.
+QUARTER = ((0.0, 1.0, 0.0), (-1.0, 0.0, 0.0), (0.0, 0.0, 1.0))
+
+
+def camera_in_world(head: Column, camera: Column) -> Column:
+    """From the head's pose in the world and the camera's in the head, both 4 x 4 rows: the upright camera's pose in the world."""
+    of = lambda m: rigid(F.array(*(F.slice(F.get(m, F.lit(i)), 1, 3) for i in range(3))), F.array(*(R.at(m, i, 3) for i in range(3))))
+    turn = F.array(*(F.array(*map(F.lit, row)) for row in QUARTER))
+    return R.bind(compose(of(head), of(camera)), lambda p: rigid(R.mat_mul(p["r"], turn), p["t"]))
+
+
 def look_at(eye: Column, target: Column, up: Column) -> Column:
     """The rotation whose rows are right, up and backward."""
     z = R.unit(R.minus(eye, target))

@@ -19,9 +19,10 @@ def combine(masks: list[DataFrame], keys: list[str], how: str = "and", mask: str
     return made.select(*keys, F.when(fits, F.col(mask)).otherwise(F.raise_error(F.lit("masks differ in their keys")).cast("boolean")).alias(mask))
 
 
-def stats(masks: DataFrame, by: list[str], mask: str = "mask") -> DataFrame:
-    """length, num_true and num_false of each series."""
-    return masks.groupBy(*by).agg(F.count("*").alias("length"), F.count_if(F.col(mask)).alias("num_true"), F.count_if(~F.col(mask)).alias("num_false"))
+def stats(masks: DataFrame, by: list[str], mask: str = "mask", of: DataFrame | None = None) -> DataFrame:
+    """length, num_true and num_false of each series; of the series named in of, if it is given, zeros for those without rows."""
+    counts = masks.groupBy(*by).agg(F.count("*").alias("length"), F.count_if(F.col(mask)).alias("num_true"), F.count_if(~F.col(mask)).alias("num_false"))
+    return counts if of is None else of.select(*by).distinct().join(counts, by, "left").na.fill(0, ["length", "num_true", "num_false"])
 
 
 def missing(df: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,22 +34,14 @@ def natural_key(name: Column) -> Column:
     return F.struct(F.regexp_extract(name, r"(\d+)", 1).try_cast("long"), name)
 
 
-def wrap(words: Column, width: int) -> Column:
-    """Greedy lines of at most width characters; a longer word has a line of its own."""
-
-    @F.pandas_udf("array<string>")
-    def lines(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield batch.map(lambda t: _wrap(t or "", width))
-
-    return lines(words)
+def wrap(text: Column, width: int) -> Column:
+    """Greedy lines of at most width characters; a longer word has a line of its own. Words are what ASCII white space parts."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([^\\x20\\x09-\\x0D]+)"), F.lit(1))
+    none = F.struct(F.array().cast("array<string>").alias("lines"), F.lit(None).cast("string").alias("line"))
 
+    def step(done: Column, word: Column) -> Column:
+        fits = F.length(done["line"]) + 1 + F.length(word) <= width
+        lines = F.when(fits | done["line"].isNull(), done["lines"]).otherwise(F.concat(done["lines"], F.array(done["line"])))
+        return F.struct(lines.alias("lines"), F.when(fits, F.concat(done["line"], F.lit(" "), word)).otherwise(word).alias("line"))
 
-def _wrap(text: str, width: int) -> list[str]:
-    out: list[str] = []
-    for word in text.split():
-        if out and len(out[-1]) + 1 + len(word) <= width:
-            out[-1] += " " + word
-        else:
-            out.append(word)
-    return out
+    return F.aggregate(words, none, step, lambda done: F.when(done["line"].isNull(), done["lines"]).otherwise(F.concat(done["lines"], F.array(done["line"]))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions import cameras
+from plumbline.functions import cameras, rigid
 from plumbline.functions import rotation as R
 from plumbline.plans.geometry import E, part, vectors
 from plumbline.plans.registry import query
@@ -69,3 +69,16 @@ def crop_turned(spark, sf_dir):
 def crop_inverse(spark, sf_dir):
     d = _crop(spark, sf_dir).select("vec_id", cameras.cropped(cameras.cropped(F.col("p"), F.col("t")), cameras.inverse_crop(F.col("t"))).alias("q"))
     return d.select("vec_id", *((F.round(R.at(F.col("q"), i), 6) + 0.0).alias(n) for i, n in enumerate("xy")))
+
+
+def _product(i: int, j: int) -> str:
+    """An entry of the product of two 4 x 4 poses, of the vector's numbers from the 1st and the 17th on."""
+    return "(" + " + ".join(f"e[{4 * i + k + 1}] * e[{16 + 4 * k + j + 1}]" for k in range(3)) + (f" + e[{4 * i + 4}]" if j == 3 else "") + ")"
+
+
+@query(f"SELECT vec_id, {', '.join(f'round({x}, 6) + 0.0 AS {n}' for i in range(3) for x, n in ((f'-{_product(i, 1)}', f'm{i}0'), (_product(i, 0), f'm{i}1'), (_product(i, 2), f'm{i}2'), (_product(i, 3), f't{i}')))} FROM {E}")
+def camera_chain(spark, sf_dir):
+    """The head's pose, the camera's in it, and the fixed quarter turn."""
+    pose = lambda start: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("e", start + 4 * i, 4))
+    d = vectors(spark, sf_dir).select("vec_id", rigid.camera_in_world(pose(1), pose(17)).alias("p"))
+    return d.select("vec_id", *((F.round(R.at(F.col("p.r"), i, j), 6) + 0.0).alias(f"m{i}{j}") for i in range(3) for j in range(3)), *((F.round(R.at(F.col("p.t"), i), 6) + 0.0).alias(f"t{i}") for i in range(3)))

@@ -57,6 +57,9 @@ def path_parts(spark, sf_dir):
     return p.select("page_id", F.regexp_extract("url", r"([^/?#]*)([?#].*)?$", 1).alias("stem"), F.format_string("%06d", "page_id").alias("padded"), F.regexp_extract("url", "/([0-9]+)", 1).try_cast("long").alias("number"))
 
 
-@query()
+@query(r"""
+SELECT doc_id, CASE WHEN len(ws) = 0 THEN '' ELSE list_reduce(ws, lambda a, w: CASE WHEN length(regexp_extract(a, '[^\n]*$')) + 1 + length(w) <= 40 THEN a || ' ' || w ELSE a || chr(10) || w END) END AS lines
+FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)
+""")
 def word_wrap(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", records.wrap(F.col("text"), 40).alias("lines"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(records.wrap(F.col("text"), 40), "\n").alias("lines"))

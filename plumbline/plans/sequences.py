@@ -159,11 +159,58 @@ def linear_fill_clamped(spark, sf_dir):
     return fill.fill_linear(e, ["user_id"], "event_id", "value").select("user_id", "event_id", F.round("value", 6).alias("value"))
 
 
-@query()
+@query("""
+SELECT s.*, l.n AS n FROM (SELECT CAST(doc_id % 7 AS BIGINT) AS stream, count(*) AS length, count(*) FILTER (quality = 1) AS num_true, count(*) FILTER (quality <> 1) AS num_false FROM labels WHERE doc_id % 7 < 5 GROUP BY 1
+  UNION ALL SELECT x, 0, 0, 0 FROM (SELECT DISTINCT CAST(doc_id % 7 AS BIGINT) AS x FROM labels) WHERE x >= 5) s, (SELECT count(DISTINCT doc_id % 7) AS n FROM labels) l
+""")
+def mask_stats_absent(spark, sf_dir):
+    """Statistics of all streams, of which two have no mask."""
+    rows = load(spark, sf_dir, "labels").select((F.col("doc_id") % 7).alias("stream"), (F.col("quality") == 1).alias("mask"))
+    found = masks.stats(rows.where("stream < 5"), ["stream"], of=rows)
+    return found.join(F.broadcast(rows.agg(F.count_distinct("stream").alias("n"))))  # one row
+
+
+BOXES = "b AS (SELECT label, vec_id, CASE WHEN vec_id % 4 = 0 OR vec_id < 30 OR vec_id % 97 > 90 THEN NULL ELSE list_transform(embedding[1:5], lambda x: CAST(x AS DOUBLE)) END AS v FROM embeddings)"
+
+
+def _line(i: int) -> str:
+    return f"round(CASE WHEN v IS NOT NULL THEN v[{i}] WHEN a.vec_id IS NULL OR z.vec_id IS NULL THEN 0.0::DOUBLE ELSE a.v[{i}] + (z.v[{i}] - a.v[{i}]) * (x.vec_id - a.vec_id)::DOUBLE / (z.vec_id - a.vec_id) END, 6) + 0.0 AS x{i - 1}"
+
+
+@query(f"""
+WITH {BOXES}, g AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM b WHERE v IS NOT NULL),
+x AS (SELECT label, vec_id, v, count(v) OVER (PARTITION BY label ORDER BY vec_id) AS k, count(v) OVER (PARTITION BY label) AS n FROM b)
+SELECT x.label, x.vec_id, {", ".join(_line(i).replace("WHEN v IS", "WHEN x.v IS").replace("THEN v[", "THEN x.v[") for i in range(1, 6))}
+FROM x LEFT JOIN g a ON a.label = x.label AND a.k = least(greatest(x.k, 1), x.n - 1) LEFT JOIN g z ON z.label = x.label AND z.k = least(greatest(x.k, 1), x.n - 1) + 1
+""")
+def boxes_filled(spark, sf_dir):
+    """Boxes of zeros between, before and behind those that there are."""
+    d = load(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double")).alias("v"))
+    lost = (F.col("vec_id") % 4 == 0) | (F.col("vec_id") < 30) | (F.col("vec_id") % 97 > 90)
+    rows = d.withColumn("v", F.when(lost, F.array_repeat(F.lit(0.0), 5)).otherwise(F.col("v")))
+    made = fill.fill_boxes(rows, ["label"], "vec_id", "v")
+    return made.select("label", "vec_id", *((F.round(F.get("v", F.lit(i)), 6) + 0.0).alias(f"x{i}") for i in range(5)))
+
+
+SLERP = "CASE WHEN abs(c) > 1 - 1e-8 THEN {flat} ELSE sin({t} * acos(least(abs(c), 1))) / sin(acos(least(abs(c), 1))) END"
+UNITS = ", ".join(f"CASE WHEN vec_id % 3 <> 1 THEN e[{i + 1}] / sqrt(e[1]**2 + e[2]**2 + e[3]**2 + e[4]**2) END AS {q}" for i, q in enumerate("wxyz"))
+
+
+@query(f"""
+WITH u AS (SELECT label, vec_id, {UNITS} FROM (SELECT label, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)),
+n AS (SELECT *, count(w) OVER (PARTITION BY label) AS n, {", ".join(f"last_value({q} IGNORE NULLS) OVER a AS l{q}, first_value({q} IGNORE NULLS) OVER b AS r{q}" for q in "wxyz")},
+  last_value(CASE WHEN w IS NOT NULL THEN vec_id END IGNORE NULLS) OVER a AS lt, first_value(CASE WHEN w IS NOT NULL THEN vec_id END IGNORE NULLS) OVER b AS rt
+  FROM u WINDOW a AS (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY label ORDER BY vec_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+t AS (SELECT *, (vec_id - lt)::DOUBLE / (rt - lt) AS t, lw * rw + lx * rx + ly * ry + lz * rz AS c FROM n),
+p AS (SELECT *, {SLERP.format(flat="1 - t", t="(1 - t)")} AS p, sign(c) * {SLERP.format(flat="t", t="t")} AS q FROM t),
+m AS (SELECT *, {", ".join(f"p * l{q} + q * r{q} AS m{q}" for q in "wxyz")} FROM p)
+SELECT label, vec_id, {", ".join(f"round(CASE WHEN n < 2 THEN {q} WHEN {q} IS NOT NULL THEN {q} WHEN lt IS NULL THEN r{q} WHEN rt IS NULL THEN l{q} ELSE m{q} / sqrt(mw * mw + mx * mx + my * my + mz * mz) END, 6) + 0.0 AS {q}" for q in "wxyz")} FROM m
+""")
 def slerp_fill(spark, sf_dir):
     """Every third rotation of a track is filled along the arc between its neighbours."""
     from plumbline.functions import rotation
 
     q = rotation.unit(F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 4), 4)
     rows = load(spark, sf_dir, "embeddings").select("label", "vec_id", F.when(F.col("vec_id") % 3 != 1, q).alias("q"))
-    return fill.fill_rotations(rows, ["label"], "vec_id", "q")
+    made = fill.fill_rotations(rows, ["label"], "vec_id", "q")
+    return made.select("label", "vec_id", *((F.round(F.get("q", F.lit(i)), 6) + 0.0).alias(n) for i, n in enumerate("wxyz")))
