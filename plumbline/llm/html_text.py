@@ -1,11 +1,13 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree without scripts, styles, forms and the parts that their
-tags, roles or class names mark as menus, headers, footers, sidebars, notices,
-adverts or comments. For every node the link-adjusted characters per tag
+A page becomes a tree without scripts, styles, forms and what tags or roles mark as menus, headers, footers or
+sidebars. Class names mark parts too: those of menus, sidebars, notices, adverts and comments go unless an article lies in them; those
+whose words a story may be about (legal, share) go if they are links for the most part or no longer than
+what isn't marked at all; paragraphs and words in a line only if they are links for the most part. For every node the link-adjusted characters per tag
 are computed; a node's density sum adds its children's densities. The
 node of the largest sum is the main text; the least density on its path from the body
-is the threshold for other parts. What is chosen inside an article is taken with its article.
+is the threshold for other parts. What is chosen inside an article is taken with its article; of several articles
+that of the largest sum is taken.
 
 Null and empty pages have empty text; so do pages without any. Malformed pages are read
 as browsers do in the common cases: unclosed paragraphs, items and cells end at the
@@ -43,6 +45,10 @@ OUT_WORDS = set(
 )
 #: Words that say nothing of a part's kind: "site-header" is a header, "has-sidebar" is none.
 PLAIN_WORDS = set("area bar block bottom box buttons col column container global group icons inner item items left links list main message module outer page panel posts primary right row secondary section site slot the top unit user wrap wrapper".split())
+#: Of those, words that a story's own parts may be named after.
+SOFT_WORDS = set("legal copyright notice notices share sharing social promotion promotions alert register commentary discussion reply replies respond".split())
+#: First words of names that go on with any others.
+LEAD_WORDS = set("ad ads advert advertisement adsense outbrain taboola sponsor sponsored promo sidebar breadcrumb breadcrumbs comment comments disqus cookie cookies gdpr consent newsletter related popup modal paywall".split())
 #: Words that take an article out too: readers' comments and adverts are often marked as articles.
 OUT_ARTICLES = set("comment comments reply replies ad ads advert advertisement sponsored promo related recommended".split())
 #: Elements that no other class name takes out.
@@ -56,30 +62,40 @@ HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORDS = re.compile(r"[a-z]+")
 
 
-def marked(names: str, words: set[str]) -> bool:
-    """Whether one of the names consists of such words and plain ones alone."""
+OUT, LINKED, SOFT, MARKED = 4, 3, 2, 1
+
+
+def marked(names: str, words: set[str]) -> int:
+    """MARKED if one of the names begins with a leading word, or consists of such words and plain ones alone; SOFT if only by soft ones; else 0."""
+    found = 0
     for name in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names).lower().split():
         parts = WORDS.findall(name)
-        if not words.isdisjoint(parts) and all(p in words or p in PLAIN_WORDS for p in parts):
-            return True
-    return False
+        if words.isdisjoint(parts):
+            continue
+        if all(p in words or p in PLAIN_WORDS for p in parts):
+            if not words.isdisjoint(set(parts) - SOFT_WORDS):
+                return MARKED
+            found = SOFT
+        elif parts[0] in LEAD_WORDS and parts[0] in words:
+            return MARKED
+    return found
 
 
-def is_out(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element with all below it is no main text."""
+def kind_of(tag: str, attributes: str, inside_article: bool) -> int:
+    """OUT if an element with all below it is no main text; else how its class names mark it, 0 for not at all."""
     if tag in OUT_TAGS or tag == "header" and not inside_article:
-        return True
+        return OUT
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return 0
     a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", ATTRIBUTE.sub(" ", attributes)) or "hidden" in a or a.get("aria-hidden") == "true" or HIDES.search(a.get("style", "")):
-        return True
+        return OUT
     if a.get("role", "").lower() in OUT_ROLES:
-        return True
+        return OUT
     if tag == "article":
-        return marked(a.get("class", ""), OUT_ARTICLES)
+        return MARKED if marked(a.get("class", ""), OUT_ARTICLES) else 0
     if tag in KEPT:
-        return tag in ("p", "span", "a") and marked(a.get("class", ""), OUT_WORDS)
+        return LINKED if tag in ("p", "span", "a") and marked(a.get("class", ""), OUT_WORDS) else 0
     return marked(a.get("class", "") + " " + a.get("id", ""), OUT_WORDS - {"header"} if inside_article else OUT_WORDS)
 
 
@@ -89,6 +105,7 @@ class Tree:
     def __init__(self, page: str):
         self.tag, self.parent = ["html"], [-1]
         self.texts: list[tuple[int, str | None]] = []
+        self.marks: dict[int, int] = {}
         stack, out, articles = [0], 0, 0  # out: the depth at which a part that is left out began
         self.open = {"html": 1}  # how many elements of a name are open
         at = 0
@@ -119,7 +136,10 @@ class Tree:
             node = len(self.tag)
             self.tag.append(name)
             self.parent.append(stack[-1])
-            leave = not out and is_out(name, m[3], articles > 0)
+            kind = 0 if out else kind_of(name, m[3], articles > 0)
+            leave = kind == OUT
+            if kind and not leave:
+                self.marks[node] = kind
             if not out and not leave and name in BLOCK:
                 self.texts.append((node, None))
             if name in RAW:
@@ -173,6 +193,35 @@ class Tree:
         return low
 
 
+def without_marked(tree: Tree) -> None:
+    """Takes the texts of parts that their class names mark out of a tree, as far as they are no main text."""
+    if not tree.marks:
+        return
+    n = len(tree.tag)
+    chars, links, free, holds = [0] * n, [0] * n, 0, [False] * n
+    linked, under = [False] * n, [False] * n
+    for i in range(1, n):
+        linked[i] = tree.tag[i] == "a" or linked[tree.parent[i]]
+        under[i] = i in tree.marks or under[tree.parent[i]]
+    for node, text in tree.texts:
+        if text is not None:
+            k = len("".join(text.split()))
+            chars[node] += k
+            links[node] += k * linked[node]
+            free += k * (not under[node])
+    for i in range(n - 1, 0, -1):
+        over = tree.parent[i]
+        chars[over] += chars[i]
+        links[over] += links[i]
+        holds[over] |= holds[i] or tree.tag[i] in ("article", "main") and i not in tree.marks and chars[i] > 0
+    gone = [False] * n
+    for i in range(1, n):
+        kind = tree.marks.get(i)
+        go = kind == MARKED and not holds[i] or kind == LINKED and links[i] * 2 >= chars[i] or kind == SOFT and not holds[i] and (links[i] * 10 >= chars[i] * 3 or chars[i] <= free)
+        gone[i] = gone[tree.parent[i]] or go
+    tree.texts = [(node, text) for node, text in tree.texts if text is None or not gone[node]]
+
+
 def densities(tree: Tree) -> tuple[list[float], list[float], list[int]]:
     """For each node its composite density, the sum of its children's, and its characters."""
     n = len(tree.tag)
@@ -207,6 +256,7 @@ def densities(tree: Tree) -> tuple[list[float], list[float], list[int]]:
 def main_text(page: str | None) -> str:
     """The main text of one page, blocks joined by one space."""
     tree = Tree(page or "")
+    without_marked(tree)
     if not any(text for _, text in tree.texts if text and not text.isspace()):
         return ""
     density, total, chars = densities(tree)

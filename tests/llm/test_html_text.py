@@ -40,6 +40,27 @@ def test_class_names_that_only_hold_a_word_leave_nothing_out():
         assert main_text(f'<body><article>{story}</article><div class="{name}"><p>{"More words here. " * 40}</p></div></body>') == f"Title {STORY}", name
 
 
+def test_marked_parts_longer_than_the_story():
+    long = f"<p>{'Words of another kind, more of them than in the story. ' * 20}</p>"
+    for name in ("sidebar-wide", "cookie-law-info", "comment-body", "ad-leaderboard"):
+        assert main_text(f'<body><div class="post"><h1>Title</h1>{P}</div><div class="{name}">{long}</div></body>') == f"Title {STORY}", name
+        assert main_text(f'<body><div class="{name} wide"><main><h1>Title</h1>{P}</main></div></body>') == f"Title {STORY}", name
+    for name in ("ad-leaderboard", "newsletter-form-v2", "related-content"):
+        assert main_text(f'<body><article><h1>Title</h1>{P}<div class="{name}"><p>Not the story.</p></div></article></body>') == f"Title {STORY}", name
+
+
+def test_words_that_a_story_is_about():
+    assert main_text(f'<body><div class="legal"><h1>Title</h1>{P}</div></body>') == f"Title {STORY}"
+    assert main_text(f'<body><div class="legal"><h1>Title</h1>{P}</div><div class="imprint">Short.</div></body>').startswith(f"Title {STORY}")
+    assert main_text(f'<article><h1>Title</h1>{P}<p class="share">Sharing is what the study is about.</p></article>') == f"Title {STORY} Sharing is what the study is about."
+    assert main_text(f'<article><h1>Title</h1>{P}<p class="share"><a href="/x">Post it</a> <a href="/y">Mail it</a></p></article>') == f"Title {STORY}"
+    assert main_text(f'<body><article><h1>Title</h1>{P}</article><div class="legal">Small print.</div></body>') == f"Title {STORY}"
+
+
+def test_of_several_articles_the_larger_is_taken():
+    assert main_text(f"<main><article><p>Short one.</p></article><article><h1>Title</h1>{P}</article></main>") == f"Title {STORY}"
+
+
 def test_references_space_and_malformed_markup():
     page = "<article><h1>A&amp;B &lt;x&gt;</h1><p>one\n\t two<b>three<br>four<p>fi<i>ve</i> &eacute;&#x41;&nbsp;six</div><ul><li>a<li>b</ul>1 < 2 &bogus; end"
     assert main_text(page) == "A&B <x> one twothree four five éA six a b 1 < 2 &bogus; end"
