@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import add_columns, lower_ascii, named, texts_of, written
+from plumbline.llm.common import add_columns, lower_ascii, named, texts_of, unused, written
 
 #: Over UTF-8 bytes: every byte of a character beyond ASCII is a word's.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -77,25 +78,20 @@ def windows(rows: list[tuple], window: int = WINDOW) -> list[Windows]:
 
 
 def _passes(benchmark: DataFrame, most: int) -> Iterator[list[tuple]]:
-    """The items in lists of bounded text, fetched a partition at a time."""
-    held, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        n = len(row[1] or "")
-        if held and size + n > most:
-            yield held
-            held, size = [], 0
-        held.append(tuple(row))
-        size += n
-    if held:
-        yield held
+    """The items in lists of about so much text, dealt by their hash; one list is fetched at a time."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    size = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    lists = max(1, -(-size // most))
+    for k in range(lists):
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(lists)) == k).collect()]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, pass_chars: int = PASS_CHARS) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items (ids as sorted strings), contaminated.
 
-    Each pass scans the documents for a bounded part of the benchmark and adds to the
-    hit words and items of the passes before, which are written to the shared folder; no row is
-    shuffled, and the driver and each task hold one pass of the benchmark at a time.
+    Each pass scans the documents for a bounded part of the benchmark; the driver and each task hold
+    one at a time. With one pass no row is shuffled. Of several, each writes the hit words and items of the texts that have
+    any, under a hash of 128 bits of the text, and these are joined to the documents once.
     """
     rows, (n_words, n_hit, items) = scan(docs.select(id_col, text_col), benchmark, text_col, item_id_col, item_text_col, window, pass_chars)
     return rows.select(
@@ -113,41 +109,61 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id_col: str, item_text_col: str, window: int, pass_chars: int) -> tuple[DataFrame, list[str]]:
     """docs with its numbers of words and hit words and its items, and those columns' names."""
     parts = _passes(named(benchmark, item_id=item_id_col, text=item_text_col), pass_chars)
-    docs, last = _one_pass(docs, next(parts, []), window, text_col, None)
-    for part in parts:
-        docs, new = _one_pass(written(docs), part, window, text_col, last[1:])
-        docs, last = docs.drop(*last), new
-    return docs.drop(last[1]), [last[0], last[3], last[2]]
+    part, more = next(parts), next(parts, None)
+    if more is None:
+        return _one_pass(docs, part, window, text_col)
+    texts, hits = _keyed(named(docs, text=text_col), "text", "k1", "k2"), None
+    for part in chain((part, more), parts):
+        rows, (_, _, items, spans) = _one_pass(texts, part, window, "text", spans=True)
+        new = written(rows.where(F.size(spans) > 0).select("k1", "k2", F.col(spans).alias("spans"), F.col(items).alias("items")))
+        hits = new if hits is None else hits.unionByName(new)
+    k1, k2, spans, items = unused(docs, "__k1", "__k2", "__spans", "__items")
+    hits = hits.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.flatten(F.collect_set("spans")).alias(spans), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias(items))
+    held = _keyed(docs, text_col, k1, k2).join(hits, [k1, k2], "left")
+
+    def make():
+        def work(batch):
+            spans_ = batch.column(spans).to_pylist()
+            return {"n_words": [len(WORD.findall(lower_ascii(t))) for t in texts_of(batch, text_col)], "n_hit": [covered(s or []) for s in spans_], "items": [i or [] for i in batch.column(items).to_pylist()]}
+
+        return work
+
+    rows, added = add_columns(held, make, {"n_words": "long", "n_hit": "long", "items": "array<string>"})
+    return rows.drop(k1, k2, spans, items), added
+
+
+def _keyed(docs: DataFrame, text_col: str, k1: str, k2: str) -> DataFrame:
+    """docs with 128 bits that stand for the text."""
+    return docs.withColumns({k1: F.xxhash64(F.col(f"`{text_col}`")), k2: F.xxhash64(F.lit(1), F.col(f"`{text_col}`"))})
 
 
-def _one_pass(docs: DataFrame, part: list[tuple], window: int, text_col: str, found: list[str] | None) -> tuple[DataFrame, list[str]]:
-    shared = docs.sparkSession.sparkContext.broadcast(part)  # at most pass_chars characters and one item
+def _one_pass(docs: DataFrame, part: list[tuple], window: int, text_col: str, spans: bool = False) -> tuple[DataFrame, list[str]]:
+    """docs with numbers of words and hit words, items and, if asked for, spans, and those columns' names."""
+    shared = docs.sparkSession.sparkContext.broadcast(part)  # about pass_chars characters and one item
 
     def make():
         tables = windows(shared.value, window)
 
         def work(batch):
-            out = {"n_words": [], "spans": [], "items": [], "n_hit": []}
-            before = zip(*(batch.column(c).to_pylist() for c in found[:2]), strict=True) if found else [((), ())] * batch.num_rows
-            for text, (spans, items) in zip(texts_of(batch, text_col), before, strict=True):
-                words = WORD.findall(lower_ascii(text))
-                spans, items = list(spans), set(items)
+            out = {"n_words": [], "n_hit": [], "items": [], "spans": []}
+            for text in texts_of(batch, text_col):
+                words, own, items = WORD.findall(lower_ascii(text)), [], set()
                 for table in tables:
                     for start, which in table.search(words):
                         items.update(which)
-                        if spans and spans[-2] <= start <= spans[-1]:
-                            spans[-1] = max(spans[-1], start + table.length)
+                        if own and own[-2] <= start <= own[-1]:
+                            own[-1] = max(own[-1], start + table.length)
                         else:
-                            spans += (start, start + table.length)
+                            own += (start, start + table.length)
                 out["n_words"].append(len(words))
-                out["spans"].append(spans)
+                out["spans"].append(own)
                 out["items"].append(sorted(items - {None}))
-                out["n_hit"].append(covered(spans))
+                out["n_hit"].append(covered(own))
             return out
 
         return work
 
-    return add_columns(docs, make, {"n_words": "long", "spans": "array<int>", "items": "array<string>", "n_hit": "long"})
+    return add_columns(docs, make, {"n_words": "long", "n_hit": "long", "items": "array<string>"} | ({"spans": "array<int>"} if spans else {}))
 
 
 def covered(spans: list[int]) -> int:

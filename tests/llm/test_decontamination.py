@@ -41,6 +41,18 @@ def test_matches_brute_force_in_one_and_many_passes(spark):
         assert got == want
 
 
+def test_clean_documents_keep_all_columns(spark):
+    from plumbline.llm.decontamination import keep_clean
+
+    docs, items = cases()
+    d = spark.createDataFrame([(i, t, 7, "x") for i, t in docs], "doc_id long, text string, n_hit int, __k1 string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(((i if i is not None else -1), 7, "x") for i, t in docs if not brute(t, items)[1])
+    for chars in (10**6, 60):
+        got = keep_clean(d, b, pass_chars=chars)
+        assert got.columns == d.columns and sorted(((r.doc_id if r.doc_id is not None else -1), r.n_hit, r["__k1"]) for r in got.collect()) == want
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
