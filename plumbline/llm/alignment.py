@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import batched, named, shared_dir, texts_of, written
+from plumbline.llm.common import batched, batched_texts, named, shared_dir, texts_of, written
 from plumbline.llm.pieces import KEEP, SHORT, SPACE, Pieces
 from plumbline.llm.token_blocks import ChunkEncoder
 
@@ -204,7 +204,7 @@ def write_alignment(docs: DataFrame, folder: str, tokenizer: str, model: str, id
             empty = [pa.nulls(1, pa.int64())] * 6 + [pa.nulls(1, pa.string())]
             return pa.RecordBatch.from_arrays([*empty, lists[0].cast(arrow), lists[1]], names)
 
-        for batch in batched(it):
+        for batch in batched_texts(it):
             out = work.align(texts_of(batch))
             rows = pa.array(np.arange(row, row + batch.num_rows))
             row += batch.num_rows

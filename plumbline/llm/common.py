@@ -6,12 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-BATCH_ROWS = 256
+BATCH_ROWS, BATCH_BYTES = 256, 1 << 23
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +48,18 @@ def batched(it: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa
             yield batch.slice(start, rows)
 
 
+def batched_texts(it: Iterable[pa.RecordBatch], name: str = "text", rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of bounded length and of bounded bytes of text, or of one row."""
+    for batch in it:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            most = (ends[start - 1] if start else 0) + size
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, most, side="right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
     """Maps Arrow batches to columns; make() builds the worker's own state once a task."""
     names = [field.split()[0] for field in schema.split(", ")]

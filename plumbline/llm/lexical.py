@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import batched, lower_ascii, named, partitions, shared_dir, texts_of
+from plumbline.llm.common import batched, batched_texts, lower_ascii, named, partitions, shared_dir, texts_of
 
 #: Over UTF-8 bytes, of which all beyond ASCII belong to terms.
 TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -64,7 +64,7 @@ def corpus_size(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """Documents with a term, and all their terms with repeats."""
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batched(it):
+        for batch in batched_texts(it):
             n = count_terms(batch.column("text"))
             yield pa.RecordBatch.from_pydict({"docs": [int((n > 0).sum())], "terms": [int(n.sum())]})
 
@@ -121,7 +121,7 @@ def build_index(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             for rows in segment_rows(segment, ids, sizes, codes, list(vocabulary), n_docs, n_terms):
                 yield from batched([rows], 20_000)
 
-        for batch in batched(it):
+        for batch in batched_texts(it):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
                 if not (words := TERM.findall(lower_ascii(text))):
                     continue

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import batched, named, partitions, texts_of, written
+from plumbline.llm.common import batched_texts, named, partitions, texts_of, written
 
 WINDOW = 50
 #: Words in the gram that ends a prefix.
@@ -158,7 +158,7 @@ def scanned(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """own, print, doc_id, n_words, words_sha256, grams (of the stretches in order) of each document of keyed()."""
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batched(it, BATCH):
+        for batch in batched_texts(it, rows=BATCH):
             words, n = words_of(batch)
             own = Stretches(words, n, window, gram)
             cut = own.begin.tolist()
@@ -185,7 +185,7 @@ def cut_stretches(docs: DataFrame, window: int, gram: int, hot: bool) -> DataFra
     names = ["own", "print", "start", "key", *([] if hot else ["n", "words"])]
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batched(it, BATCH):
+        for batch in batched_texts(it, rows=BATCH):
             words, n = words_of(batch)
             own = Stretches(words, n, window, gram)
             places = batch.column("places")
@@ -229,7 +229,7 @@ def stripped(docs: DataFrame, digest: bool) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words, or their sha256, of documents with spans."""
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batched(it, BATCH):
+        for batch in batched_texts(it, rows=BATCH):
             gone, kept, counts = [], [], []
             for text, spans in zip(texts_of(batch), batch.column("spans").to_pylist(), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
