@@ -319,11 +319,14 @@ def _candidates(similarity: float, undecided: int):
         table = table.combine_chunks()
         words = np.frombuffer(b"".join(table.column("print").to_pylist()), np.int64).reshape(-1, WORDS).view(np.uint64)
         bucket = table.column("bucket").to_numpy()
-        order = np.lexsort((words[:, 0], bucket))
+        order = np.lexsort((words[:, 0], table.column("n").to_numpy(), bucket))
         bucket, words = bucket[order], words[order]
         node, side, n, before = (table.column(c).to_numpy()[order] for c in ("node", "side", "n", "root"))
         sketches = table.column("sketch").take(pa.array(order)).to_pylist()
-        end = np.searchsorted(bucket, bucket, side="right")
+        # a row's partners are those behind it in its bucket whose sets are not too large for the similarity
+        rank = np.cumsum(np.diff(bucket, prepend=bucket[:1]) != 0) * (int(n.max(initial=0)) + 1)
+        largest = np.minimum(np.floor(n / similarity + 1e-9).astype(np.int64), int(n.max(initial=0)))
+        end = np.searchsorted(rank + n, rank + largest, side="right")
         # rows of a component that is known are linked from the start
         by = np.lexsort((before, bucket))
         same = (before[by][1:] == before[by][:-1]) & (bucket[by][1:] == bucket[by][:-1])
