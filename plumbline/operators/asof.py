@@ -99,12 +99,13 @@ def interval_join(q: DataFrame, clips: DataFrame, at: str, start: str, end: str,
 
     Both sides are dealt by spans of time, so the join is an equality join however
     many clips there are; a clip enters each span that it touches. A width near the usual
-    length of clips keeps that to a few rows. Rows of q are taken as they are, repeated or not.
+    length of clips keeps that to a few rows. A clip depends on key and time alone, so it is found once for each
+    different pair of them and joined back; rows of q are taken as they are, repeated or not.
     """
     by = by or []
     value = F.struct(*(F.col(c) for c in clips.columns if c not in by))
     right = clips.where(F.col(end) > F.col(start)).select(*(F.col(c).alias(f"__{c}") for c in by), value.alias("clip"), F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))).alias("__span"))
-    left = q.withColumn("__row", F.monotonically_increasing_id())
+    times = q.select(*by, at).where(F.col(at).isNotNull()).distinct()
     on = [F.floor(F.col(at) / width) == F.col("__span"), F.col(at) >= F.col(f"clip.{start}"), F.col(at) < F.col(f"clip.{end}")] + [F.col(c) == F.col(f"__{c}") for c in by]
-    held = left.join(right, on, "left")
-    return held.groupBy("__row", *q.columns).agg(F.min_by("clip", f"clip.{order}").alias("clip")).drop("__row")
+    found = times.join(right, on).groupBy(*by, at).agg(F.min_by("clip", f"clip.{order}").alias("clip"))
+    return q.join(found, [*by, at], "left").select(*q.columns, "clip")

@@ -14,17 +14,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def in_windows(df: DataFrame, by: list[str], at: str, hook: Callable[[pd.DataFrame], pd.DataFrame], schema: str, length: int = 16) -> DataFrame:
-    """hook over each window of length rows of a sequence; the last is padded with its last row, and cut again."""
-    rows = df.withColumn("__w", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(at)) - 1) / length))
-
-    def run(window: pd.DataFrame) -> pd.DataFrame:
-        window = window.sort_values(at).drop(columns="__w")
-        n = len(window)
-        padded = pd.concat([window, *[window.iloc[-1:]] * (length - n)], ignore_index=True)
-        return hook(padded).iloc[:n]
+def in_windows(df: DataFrame, by: list[str], at: str, hook: Callable[[pd.DataFrame], pd.DataFrame], schema: str, length: int = 16, together: int = 64) -> DataFrame:
+    """hook over each window of length rows of a sequence; the last is padded with its last row, and cut again.
 
-    return rows.groupBy(*by, "__w").applyInPandas(run, schema)
+    A task gets so many windows of a sequence together, one after another.
+    """
+    rows = df.withColumn("__w", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(at)) - 1) / length))
+    rows = rows.withColumn("__g", F.floor(F.col("__w") / together))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        made = []
+        for _, window in group.sort_values(at).drop(columns="__g").groupby("__w", sort=True):
+            window = window.drop(columns="__w")
+            n = len(window)
+            padded = pd.concat([window, *[window.iloc[-1:]] * (length - n)], ignore_index=True)
+            made.append(hook(padded).iloc[:n])
+        return pd.concat(made, ignore_index=True)
+
+    return rows.groupBy(*by, "__g").applyInPandas(run, schema)
 
 
 def over_batches(df: DataFrame, hook: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

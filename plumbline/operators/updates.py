@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.scale import written
+
 
 def upsert(base: DataFrame, new: DataFrame, keys: list[str], value: str, only_missing: Column | None = None) -> DataFrame:
     """base with the values of new where there are any; only_missing: and where base fulfils it."""
@@ -27,10 +29,21 @@ def neighbours(df: DataFrame, key: str, offsets: list[int]) -> DataFrame:
     return wanted.join(df.select(F.col(key).alias("other")), "other", "left_semi").select(key, "other")
 
 
-def by_position(left: DataFrame, right: DataFrame, order_left: str, order_right: str) -> DataFrame:
-    """Rows of two small tables that have the same place in order."""
-    place = lambda c: F.row_number().over(Window.orderBy(c))
-    return left.withColumn("__i", place(order_left)).join(right.withColumn("__i", place(order_right)), "__i").drop("__i")
+def placed(df: DataFrame, order: str | Column, name: str = "place") -> DataFrame:
+    """df with each row's place in an order, from 1; rows are sorted by ranges, and a range begins where those before it end.
+
+    Rows that are equal in the order have places in any order. Rows are written once, as ranges are drawn from a sample.
+    """
+    rows = written(df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()))
+    # a row a range
+    before = rows.groupBy("__p").agg(F.count("*").alias("__n")).withColumn("__n", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n"))
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy(order))
+    return rows.withColumn("__r", inside).join(F.broadcast(before), "__p").withColumn(name, F.col("__r") + F.col("__n")).drop("__p", "__r", "__n")
+
+
+def by_position(left: DataFrame, right: DataFrame, order_left: str | Column, order_right: str | Column) -> DataFrame:
+    """Rows of two tables that have the same place in order."""
+    return placed(left, order_left, "__i").join(placed(right, order_right, "__i"), "__i").drop("__i")
 
 
 def nearest_track(df: DataFrame, by: list[str], track: str, depth: Column, total: Column, share: float = 0.8) -> DataFrame:

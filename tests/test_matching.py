@@ -138,3 +138,30 @@ def test_status_is_whole_or_not_read(spark, tmp_path):
         status.set_done(spark, path, ["a"], "z")
     files = spark.createDataFrame([("x", "a"), ("y", "d")], "filename string, data_type string")
     assert [r.filename for r in status.sequences_to_fetch(files, status.read_status(spark, path, ["a", "b"])).collect()] == ["y"]
+
+
+def test_places_over_ranges(spark):
+    rng = random.Random(1)
+    values = [rng.randrange(10_000) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "v int")
+    assert [r.v for r in updates.placed(df, F.desc("v")).orderBy("place").collect()] == sorted(values, reverse=True)
+    assert sorted(r.place for r in updates.placed(df, "v").collect()) == list(range(1, 3001))
+    assert updates.placed(df.limit(0), "v").count() == 0
+
+
+def test_clips_for_repeated_and_missing_times(spark):
+    from plumbline.operators import asof
+
+    q = spark.createDataFrame([("a", 5, 1), ("a", 5, 1), ("a", None, 2), ("b", 5, 3), (None, 5, 4)], "k string, t long, x int")
+    clips = spark.createDataFrame([("a", 0, 10, 2), ("a", 3, 6, 1), ("a", 5, 5, 0), ("b", 6, 9, 0)], "k string, s long, e long, o int")
+    got = sorted(((r.k, r.t, r.x, r.clip and r.clip.o) for r in asof.interval_join(q, clips, "t", "s", "e", "o", 4, ["k"]).collect()), key=str)
+    assert got == sorted([("a", 5, 1, 1), ("a", 5, 1, 1), ("a", None, 2, None), ("b", 5, 3, None), (None, 5, 4, None)], key=str)
+
+
+def test_hooks_see_padded_windows_in_order(spark):
+    from plumbline.operators import hooks
+
+    seen = spark.createDataFrame([(k, t) for k, n in (("a", 37), ("b", 3)) for t in range(n)], "k string, t long")
+    made = hooks.in_windows(seen, ["k"], "t", lambda w: w.assign(first=w["t"].iloc[0], n=len(w))[["k", "t", "first", "n"]], "k string, t long, first long, n long", length=8, together=2)
+    got = sorted(map(tuple, made.collect()))
+    assert got == sorted((k, t, t // 8 * 8, 8) for k, n in (("a", 37), ("b", 3)) for t in range(n))
