@@ -72,10 +72,5 @@ def remapped(points: Column, order: list[int]) -> Column:
     return F.array(*(F.get(points, i) for i in order))
 
 
-def world_box_ray(p: Column, focal: Column, cx: Column, cy: Column) -> Column:
-    """Seen point (x, y) as the slopes x / z and y / z of its ray."""
-    return F.array((F.get(p, 0) - cx) / focal, (F.get(p, 1) - cy) / focal)
-
-
 def lower_keys(m: Column) -> Column:
     return F.transform_keys(m, lambda k, _: F.lower(k))
