@@ -58,7 +58,7 @@ class Automaton:
     and steps are kept as they arise, up to a bound, then begun anew.
     """
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float], edits: int = 1, keep: int = 400_000):
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], edits: int = 1, keep: int = 200_000):
         self.edits, self.keep = edits, keep
         self.child: list[dict[str, int]] = [{}]
         self.term: dict[int, float] = {}
@@ -161,7 +161,7 @@ def words_of(text: str) -> list[str]:
 class Scorer:
     """Features of texts; known words are kept with what the automaton says of them."""
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float], keep: int = 300_000):
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], keep: int = 150_000):
         self.automaton = Automaton(terms, stems)
         self.known: dict[str, tuple[int, float] | None] = {}
         self.keep = keep
