@@ -106,8 +106,9 @@ def test_hooks_pad_and_cut(spark):
     assert (hooks.decode_rle(hooks.encode_rle(mask), 5, 7) == mask).all()
 
 
-def test_wrap():
-    assert records._wrap("aa bb cc dddddddd e", 5) == ["aa bb", "cc", "dddddddd", "e"]
+def test_wrap(spark):
+    text = spark.createDataFrame([("aa bb cc dddddddd e",)], "t string")
+    assert text.select(records.wrap(F.col("t"), 5)).first()[0] == ["aa bb", "cc", "dddddddd", "e"]
 
 
 def test_box_files(spark, tmp_path):
