@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of least id stays."""
+    """Of each group of near-duplicates the document of least id stays: SimHash links of query 9, and similar shingle sets."""
     return simhash.deduplicate(docs)
 
 

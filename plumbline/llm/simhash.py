@@ -194,13 +194,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named_prints, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8, **options) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8, k: int = 2, **options) -> DataFrame:
     """One document of each component stays: the one of least id, all its columns kept.
 
-    Components are those of similar_documents, or of near_duplicates where similarity is
-    None. Rows that share an id stay or go together; a null id stays.
+    Links are those of near_duplicates and, unless similarity is None, those of similar_documents
+    too. Rows that share an id stay or go together; a null id stays.
     """
-    found = near_duplicates(docs, id_col, text_col, **options) if similarity is None else similar_documents(docs, id_col, text_col, similarity=similarity, **options)
+    found = near_duplicates(docs, id_col, text_col, k=k, **options) if similarity is None else similar_documents(docs, id_col, text_col, similarity=similarity, k=k, **options)
     gone = found.groupBy("doc_id").agg(F.min("component_id").alias("c")).where("doc_id <> c").select(F.col("doc_id").alias(id_col))
     return docs.join(gone, id_col, "left_anti")
 
@@ -241,9 +241,11 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray, whole: np.ndarray | bool = F
     return (within & ~new).sum(axis=1) / union, union
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, k: int | None = None, print_shingle: int = 3) -> DataFrame:
     """doc_id, component_id of each row, linking texts whose shingle sets have at least the Jaccard similarity.
 
+    With k, texts whose fingerprints (over print_shingle words) differ in at most k bits are linked first, by the trie
+    self-join as in near_duplicates; what they join is not compared again.
     Texts that share one of their smallest shingle hashes are dealt together (of pairs at 0.8, fewer than
     7 in 100,000 share none). Set sizes, prints and sketches only rule pairs out; a link is
     made where the whole sets, joined by node, have the similarity. Rows without words are one component.
@@ -253,9 +255,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def make():
         def work(batch):
-            out = {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "node": [], "n": [], "print": [], "sketch": [], "keys": []}
+            out = {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "fingerprint": [], "node": [], "n": [], "print": [], "sketch": [], "keys": []}
             for text in texts_of(batch):
                 different = np.unique(shingle_hashes(text, shingle))
+                out["fingerprint"].append(None if k is None else fingerprint(text, print_shingle))
                 out["node"].append(_node(different))
                 out["n"].append(len(different))
                 out["print"].append(similarity_print(different).tobytes())
@@ -265,9 +268,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         return work
 
-    rows = written(map_texts(texts, make, "doc_id long, h long, node long, n long, print binary, sketch binary, keys array<long>"))
+    rows = written(map_texts(texts, make, "doc_id long, h long, fingerprint long, node long, n long, print binary, sketch binary, keys array<long>"))
     prints = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("h", "n", "print", "sketch", "keys"))))
-    roots = components(_similar_links(texts, prints, shingle, similarity)).withColumnRenamed("root", "to")
+    links = None if k is None else written(_fingerprint_links(rows, k))
+    roots = components(_similar_links(texts, prints, shingle, similarity, links)).withColumnRenamed("root", "to")
     placed = prints.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("to", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select("doc_id", "node").join(placed.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
@@ -278,10 +282,17 @@ def _node(different: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(different.tobytes(), seed=7)], np.uint64).view(np.int64)[0])
 
 
-def _similar_links(texts: DataFrame, prints: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (u, v) that connect all nodes which share a key and have the similarity, each held against the whole sets."""
-    dealt = written(_tiles(prints))
-    links, rounds = None, 0
+def _fingerprint_links(rows: DataFrame, k: int) -> DataFrame:
+    """Links (u, v) from each node to the least one whose fingerprint is reached over links of at most k bits."""
+    held = rows.select("fingerprint", "node").distinct()
+    roots = components(near_links(held.select("fingerprint").distinct(), k))
+    placed = held.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("node", F.coalesce("root", "fingerprint").alias("root"))
+    return placed.join(placed.groupBy("root").agg(F.min("node").alias("v")), "root").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+
+
+def _similar_links(texts: DataFrame, prints: DataFrame, shingle: int, similarity: float, links: DataFrame | None = None) -> DataFrame:
+    """Links (u, v) that connect all nodes which share a key and have the similarity, each held against the whole sets, and those given."""
+    dealt, rounds = written(_tiles(prints)), 0
     while True:
         # what hangs together already needs no more links
         known = dealt.withColumn("root", F.col("node")) if links is None else dealt.join(components(links).withColumnRenamed("root", "to"), "node", "left").withColumn("root", F.coalesce("to", "node")).drop("to")

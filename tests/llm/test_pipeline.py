@@ -29,3 +29,17 @@ def test_each_stage_works_on_what_the_one_before_kept(spark, sf_dir):
 def test_run_is_its_stages(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.columns == ["doc_id", "n_tokens", "ids", "decoded"] and 0 < got.count() < 200
+
+
+def test_copies_by_fingerprint_go_too_and_join_groups(spark, sf_dir):
+    line, same = " ".join(f"l{i}" for i in range(9)), [f"s{i}" for i in range(900)]
+    texts = [" ".join([line] * 300 + [f"{name}{i}" for i in range(200)]) for name in "abc"]  # one fingerprint, shingle sets apart
+    texts += [" ".join(same), " ".join(f"x{i}" if i % 150 == 75 else w for i, w in enumerate(same)), "by itself it stays"]  # similar sets, prints over two bits apart
+    texts += [" ".join([line] * 2 + [f"c{i}" for i in range(200)])]  # a chain: only its set is like that of the third, whose print is the first's
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = [simhash.fingerprint(t) % (1 << 64) for t in texts]
+    assert max((prints[0] ^ p).bit_count() for p in prints[1:3]) <= 2 < min((prints[3] ^ prints[4]).bit_count(), (prints[0] ^ prints[6]).bit_count())
+    kept = {r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, sf_dir).collect()}
+    assert kept == {0, 3, 5}
+    by_print = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert all(by_print[i] == i for i in kept)
