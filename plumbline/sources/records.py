@@ -4,7 +4,8 @@
     spark.read.format("hand_chunks").load(folder)
     spark.read.format("trajectory_records").load(folder)
 
-Each file is a partition of its own, read by one task whole, as it is one document. Files are listed in natural order.
+A file is read whole by one task, as it is one document. Few files are a partition each; of many, those that follow each
+other go together, by size, so that tasks grow with the bytes and not with the files. Files are listed in natural order.
 A file that can't be read fails the query with its name, or is left out with option("corrupt", "skip").
 Paths may be any that pyarrow's file systems open. Rows are written as one file each, under a name of its own that is
 changed to the final one when the file is complete, so a task that is run again leaves the same file.
@@ -23,6 +24,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 JOINTS = 15
+#: Up to so many files are a partition each; more are dealt to as many partitions at least, of about PARTITION bytes,
+#: where opening a file counts as OPEN bytes.
+ALONE, PARTITION, OPEN = 32, 1 << 26, 1 << 18
 
 
 def natural(name: str) -> list:
@@ -36,38 +40,52 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def listed(path: str, suffix: str) -> list[str]:
+    return [f.path for f in _found(path, suffix)]
+
+
+def _found(path: str, suffix: str) -> list[fs.FileInfo]:
     system, base = opened(path)
     if system.get_file_info(base).type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
     found = system.get_file_info(fs.FileSelector(base, recursive=True))
-    return sorted((f.path for f in found if f.type == fs.FileType.File and f.path.endswith(suffix)), key=natural)
+    return sorted((f for f in found if f.type == fs.FileType.File and f.path.endswith(suffix)), key=lambda f: natural(f.path))
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class _Reader(DataSourceReader):
-    """A partition a file; rows() makes the rows of one from its bytes."""
+    """Partitions of whole files; rows() makes the rows of one file from its bytes."""
 
     suffix = ""
 
     def __init__(self, options: dict):
         self.path, self.skip = options["path"], options.get("corrupt", "fail").lower() == "skip"
 
-    def partitions(self) -> list[_File]:
-        return [_File(p) for p in listed(self.path, self.suffix)]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        try:
-            with opened(self.path)[0].open_input_stream(partition.path) as file:
-                rows = self.rows(partition.path, file.read())
-        except Exception as wrong:
-            if self.skip:
-                return
-            raise ValueError(f"{partition.path} can't be read: {wrong}") from wrong
-        yield from rows
+    def partitions(self) -> list[_Files]:
+        found = _found(self.path, self.suffix)
+        if len(found) <= ALONE:
+            return [_Files([f.path]) for f in found]
+        cost = np.array([f.size + OPEN for f in found])
+        n = max(ALONE, -(-int(cost.sum()) // PARTITION))
+        # a file goes where its middle lies
+        place = ((np.cumsum(cost) - cost / 2) * n / cost.sum()).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(place)) + 1
+        return [_Files([f.path for f in found[a:b]]) for a, b in zip([0, *cuts], [*cuts, len(found)], strict=True)]
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        system, _ = opened(self.path)
+        for path in partition.paths:
+            try:
+                with system.open_input_stream(path) as file:
+                    rows = self.rows(path, file.read())
+            except Exception as wrong:
+                if self.skip:
+                    continue
+                raise ValueError(f"{path} can't be read: {wrong}") from wrong
+            yield from rows
 
 
 class _Writer(DataSourceWriter):
@@ -84,11 +102,14 @@ class _Writer(DataSourceWriter):
         from pyspark import TaskContext
 
         system, base = opened(self.path)
-        attempt = TaskContext.get().taskAttemptId()
+        attempt, made = TaskContext.get().taskAttemptId(), set()
         for row in iterator:
             name, content = self.content(row)
             place = f"{base.rstrip('/')}/{name}"
-            system.create_dir(place.rpartition("/")[0], recursive=True)
+            parent = place.rpartition("/")[0]
+            if parent not in made:
+                system.create_dir(parent, recursive=True)
+                made.add(parent)
             with system.open_output_stream(f"{place}.{attempt}.part") as out:
                 out.write(content)
             system.move(f"{place}.{attempt}.part", place)

@@ -84,3 +84,26 @@ def test_written_again_gives_the_same_files(spark, tmp_path):
     df.where("name = 'b'").write.format("trajectory_records").mode("overwrite").save(f"{tmp_path}/t")
     back = spark.read.format("trajectory_records").load(f"{tmp_path}/t")
     assert back.agg(F.count("*"), F.sum("scale")).first() == (3, 3.0)
+
+
+def test_many_files_share_partitions(spark, tmp_path):
+    records.register(spark)
+    for i in range(300):
+        np.savez(tmp_path / f"{i}.npz", traj=np.full((1 + i % 3, 7), float(i)), scale=1.0)
+    df = spark.read.format("trajectory_records").load(str(tmp_path))
+    assert records.ALONE // 2 < df.rdd.getNumPartitions() <= records.ALONE
+    assert sorted((r.name, r.row, r.pose[0]) for r in df.collect()) == sorted((str(i), k, float(i)) for i in range(300) for k in range(1 + i % 3))
+    (tmp_path / "150.npz").write_bytes(b"PK no archive")
+    with pytest.raises(Exception, match="150.npz can't be read"):
+        df.collect()
+    left = spark.read.format("trajectory_records").option("corrupt", "skip").load(str(tmp_path))
+    assert sorted({int(r.name) for r in left.collect()}) == [i for i in range(300) if i != 150]
+
+
+def test_large_files_get_partitions_by_their_bytes(tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "PARTITION", 3 * records.OPEN)
+    for i in range(200):
+        (tmp_path / f"{i}.npz").write_bytes(bytes(8 * records.OPEN if i == 100 else 10))
+    parts = [p.paths for p in records.TrajectoryReader({"path": str(tmp_path)}).partitions()]
+    assert [p for paths in parts for p in paths] == records.listed(str(tmp_path), ".npz")
+    assert max(map(len, parts)) <= 4 and next(len(paths) for paths in parts if f"{tmp_path}/100.npz" in paths) <= 3
