@@ -29,15 +29,15 @@ import math
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import batched, lower_ascii, named, texts_of, written
+from plumbline.llm.common import batched_texts, named, written
 from plumbline.llm.vectors import fit_cells
 
 #: Tokens whose counts all tasks hold (16 bytes each), and neighbours that classes are made by.
@@ -55,11 +55,14 @@ ROUNDS, BATCH, RATE = 3, 16_384, 0.2
 TASK_TOKENS = 4_000_000
 #: Scores are cut off here, so that exponentials stay finite.
 HIGHEST, LOWEST = np.float32(80), np.float32(-1e9)
-MEMO = 400_000
+#: Different tokens of spans whose counts a task holds before it sums them.
+HELD = 3_200_000
+#: Tokens of a row of weights whose errors are summed for all rows together.
+RUN = 16
 #: What stands before a text, three times (no word holds a space), and its end (no word is empty).
 PAD, END = b" ", b""
-#: Tokens of a span, but for a longer text, which is a span of its own.
-SPAN = 1 << 15
+#: Bytes and texts of a span, but for a longer text, which is a span of its own.
+SPAN, SPAN_ROWS = 200_000, 1 << 13
 #: The end's group, its class and those of tokens that are in none.
 ENDING = GROUPS
 CLASS_OF_END, LOOSE = ENDING * WIDE, WIDE - 1
@@ -82,47 +85,57 @@ def shape_of(word: bytes) -> int:
     return (crc(text[:3]) & 0xFFFF) | (crc(text[1:4]) & 0xFFFF) << 16 | (crc(text[-4:-1]) & 0xFFFF) << 32 | (crc(text[-3:]) & 0xFFFF) << 48
 
 
-class Reader:
-    """Numbers of words, in a worker; what is kept of words is bounded."""
-
-    def __init__(self):
-        self.forget()
-
-    def forget(self) -> None:
-        self.memo: dict[bytes, int] = {PAD: 0, END: 1}
-        self.facts = np.zeros((1 << 16, 2), np.uint64)
-        self.facts[:2] = [(token_hash(w), shape_of(w)) for w in (PAD, END)]
-
-    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, shape) of the different words, and which each word is."""
-        if len(self.memo) > MEMO:
-            self.forget()
-        memo = self.memo
-        at = np.fromiter(map(memo.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            new = list({words[i] for i in missing.tolist()})
-            start = len(memo)
-            while start + len(new) > len(self.facts):
-                self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
-            self.facts[start : start + len(new)] = [(token_hash(w), shape_of(w)) for w in new]
-            memo.update(zip(new, range(start, start + len(new)), strict=True))
-            at[missing] = [memo[words[i]] for i in missing.tolist()]
-        mark = np.zeros(len(memo), bool)
-        mark[at] = True
-        which = np.flatnonzero(mark)
-        place = np.cumsum(mark) - 1
-        return self.facts[which], place[at]
-
-
-_readers: list[Reader] = []
+def _triples() -> tuple[np.ndarray, ...]:
+    """The crc32 of three letters, cut to 16 bits, is the exclusive or of one entry of each table."""
+    letters = [bytes([0] * i + [c] + [0] * (2 - i)) for i in range(3) for c in range(256)]
+    tables = np.array([zlib.crc32(x) & 0xFFFF for x in letters], np.uint64).reshape(3, 256)
+    tables[1:] ^= tables[0, 0]
+    return tuple(tables)
+
+
+TRIPLES = _triples()
+
+
+def shapes_of(words: pa.Array) -> np.ndarray:
+    """shape_of of each of the words, none of them empty."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.intp)
+    starts, ends = ends[:-1], ends[1:]
+    # words of one letter and very long ones are told apart below
+    b = np.append(np.frombuffer(words.buffers()[2] or b"", np.uint8), np.zeros(2, np.uint8))
+    head, tail = ord("^"), ord("$")
+    n = ends - starts
+    first, second, last, before = b[starts], b[starts + 1], b[ends - 1], b[ends - 2]
+    third, ahead = np.where(n > 2, b[starts + 2], tail), np.where(n > 2, b[ends - 3], head)
+    out = np.zeros(len(n), np.uint64)
+    for i, (x, y, z) in enumerate(((head, first, second), (first, second, third), (ahead, before, last), (before, last, tail))):
+        out |= (TRIPLES[0][x] ^ TRIPLES[1][y] ^ TRIPLES[2][z]) << np.uint64(16 * i)
+    for i in np.flatnonzero((n < 2) | (n > 40)).tolist():
+        out[i] = shape_of(b[starts[i] : ends[i]].tobytes())
+    return out
 
 
-def reader_of_worker() -> Reader:
-    """A reused Python worker keeps its words from task to task."""
-    if not _readers:
-        _readers.append(Reader())
-    return _readers[0]
+def span_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each text; (hash, shape) of the different ones by hash; the texts as numbers of them, each with three times PAD before and END after it."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    flat = words.flatten()
+    # white space at a text's ends leaves empty words
+    real = pc.binary_length(flat).to_numpy() > 0
+    sizes = np.diff(np.append(0, np.cumsum(real))[np.append(0, np.cumsum(pc.list_value_length(words).to_numpy()))])
+    coded = flat.filter(pa.array(real)).dictionary_encode()
+    names = coded.dictionary.cast(pa.binary())
+    facts = np.empty((len(names) + 2, 2), np.uint64)
+    facts[:2] = [(token_hash(w), shape_of(w)) for w in (PAD, END)]
+    facts[2:, 0] = np.fromiter(map(xxhash.xxh64_intdigest, names.to_numpy(zero_copy_only=False).tolist()), np.uint64, len(names))
+    facts[2:, 1] = shapes_of(names)
+    # in order of hashes, so that all that looks them up goes through its tables once
+    order = np.argsort(facts[:, 0])
+    number = np.empty(len(order), np.intp)
+    number[order] = np.arange(len(order))
+    starts = np.cumsum(sizes + 4) - (sizes + 4)
+    at = np.full(sizes.sum() + 4 * len(sizes), number[0])
+    at[starts + 3 + sizes] = number[1]
+    at[np.arange(sizes.sum()) + np.repeat(4 * np.arange(len(sizes)) + 3, sizes)] = number[2:][coded.indices.to_numpy()]
+    return sizes + 1, facts[order], at
 
 
 def read_spans(rows: DataFrame) -> DataFrame:
@@ -132,31 +145,12 @@ def read_spans(rows: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         # tasks begin with different rounds, so that each round has spans where tasks have few
-        reader, turn = reader_of_worker(), TaskContext.get().partitionId()
-        flat, ids, learnt, sizes = [], [], [], []
-
-        def span() -> pa.RecordBatch:
-            facts, at = reader.read(flat)
+        for turn, batch in enumerate(batched_texts(it, rows=SPAN_ROWS, size=SPAN), TaskContext.get().partitionId()):
+            sizes, facts, at = span_of(batch.column("text"))
             at = at.astype("<u2" if len(facts) <= 1 << 16 else "<u4")
-            return pa.RecordBatch.from_pydict(
-                {"turn": pa.array([turn % ROUNDS], pa.int32()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "learnt": pa.array([learnt], pa.list_(pa.bool_())), "sizes": pa.array([sizes], pa.list_(pa.int32())), "hashes": [facts[:, 0].tobytes()], "shapes": [facts[:, 1].tobytes()], "flat": [at.tobytes()]}
-            )
-
-        for batch in batched(it):
-            for doc_id, known, text in zip(batch.column("doc_id").to_pylist(), batch.column("learnt").to_pylist(), texts_of(batch), strict=True):
-                words = lower_ascii(text).split()
-                flat += (PAD, PAD, PAD)
-                flat += words
-                flat.append(END)
-                ids.append(doc_id)
-                learnt.append(known)
-                sizes.append(len(words) + 1)
-                if len(flat) >= SPAN:
-                    yield span()
-                    turn += 1
-                    flat, ids, learnt, sizes = [], [], [], []
-        if ids:
-            yield span()
+            one = {"doc_ids": batch.column("doc_id").cast(pa.int64()), "learnt": batch.column("learnt"), "sizes": pa.array(sizes, pa.int32())}
+            lists = {name: pa.ListArray.from_arrays([0, batch.num_rows], x) for name, x in one.items()}
+            yield pa.RecordBatch.from_pydict({"turn": pa.array([turn % ROUNDS], pa.int32()), **lists, "hashes": [facts[:, 0].tobytes()], "shapes": [facts[:, 1].tobytes()], "flat": [at.tobytes()]})
 
     return written(rows.select("doc_id", "learnt", "text").mapInArrow(run, SPANS), codec="zstd")
 
@@ -204,7 +198,7 @@ def count_tokens(spans: DataFrame) -> DataFrame:
             has = np.flatnonzero(c)
             held.append((span.hashes[has], span.shapes[has], c[has]))
             size += len(has)
-            if size > 8 * MEMO:
+            if size > HELD:
                 yield sums()
                 held, size = [], 0
         if held:
@@ -336,6 +330,12 @@ class Softmax:
         z -= np.log(np.exp(z) @ ONES)
         return z
 
+    def logs_of(self, rows: np.ndarray, goals: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """Those of one output for each token."""
+        z = self.scores(rows, bias)
+        own = z[np.arange(len(goals)), goals]
+        return own - np.log(np.exp(z, out=z) @ ONES)[:, 0]
+
     def scores(self, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
         z = self.w.take(rows[0], axis=0)
         z += bias
@@ -345,7 +345,6 @@ class Softmax:
 
     def learn(self) -> None:
         self.seen, self.slope = np.zeros(len(self.w), np.int64), np.full((len(self.w), 1), 1e-2, np.float32)
-        self.mark, self.place = np.zeros(len(self.w), bool), np.zeros(len(self.w), np.intp)
 
     def step(self, rows: np.ndarray, goals: np.ndarray, bias: np.ndarray) -> None:
         """A mini-batch: all its gradients are of the weights before it."""
@@ -356,23 +355,49 @@ class Softmax:
         error[np.arange(len(goals)), goals] -= 1
         error /= np.float32(math.sqrt(len(goals)))
         # only rows that the batch has are worked on, however many there are
-        each = np.empty(rows.shape)
-        self.mark[rows] = True
-        ids = np.flatnonzero(self.mark)
-        self.mark[ids] = False
-        self.place[ids] = np.arange(len(ids))
-        flat = self.place[rows].reshape(-1)
-        gradient = np.zeros((WIDE, len(ids)), np.float32)
-        used = np.flatnonzero(bias.max(axis=0) > LOWEST)  # a tree's root has fewer outputs
-        for k in used.tolist():
-            each[:] = error[:, k]
-            gradient[k] = np.bincount(flat, each.reshape(-1), len(ids))
-        slope = self.slope[ids] + np.einsum("kr,kr->r", gradient, gradient)[:, None] / np.float32(WIDE)
+        ids, gradient = row_sums(rows, error)
+        slope = self.slope.take(ids, axis=0)
+        slope += np.einsum("rk,rk->r", gradient, gradient)[:, None] / np.float32(WIDE)
         self.slope[ids] = slope
-        self.w[ids] -= gradient.T * (np.float32(RATE) / np.sqrt(slope))
+        gradient *= np.float32(RATE) / np.sqrt(slope)
+        put(self.w, ids, self.w.take(ids, axis=0) - gradient)
         self.seen[ids] += 1
 
 
+def put(into: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+    """into[ids] = rows, each row moved as a whole."""
+    whole = np.dtype((np.void, into.itemsize * into.shape[1]))
+    into.view(whole)[ids, 0] = rows.view(whole)[:, 0]
+
+
+def row_sums(rows: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of weights of a batch, and for each the sum of the errors of the tokens that have it."""
+    shift = max(1, (rows.shape[1] - 1).bit_length())
+    kind = np.uint32 if int(rows.max()).bit_length() + shift <= 32 else np.uint64
+    keys = rows.astype(kind) << kind(shift)
+    keys |= np.arange(rows.shape[1], dtype=kind)
+    keys = keys.reshape(-1)
+    keys.sort()
+    token, row = (keys & kind((1 << shift) - 1)).astype(np.intp), keys >> kind(shift)
+    starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    n = np.append(starts[1:], len(row)) - starts
+    # most tokens first, so that the rows that have a j-th token are the first ones
+    capped = np.minimum(n, RUN)
+    order = np.argsort((RUN - capped).astype(np.uint8), kind="stable")
+    has = len(n) - np.cumsum(np.bincount(capped, minlength=RUN + 1))
+    starts, n = starts[order], n[order]
+    sums = error.take(token[starts], axis=0)
+    for j, k in enumerate(has[1:RUN].tolist(), 1):
+        sums[:k] += error.take(token[starts[:k] + j], axis=0)
+    # what few rows have beyond is summed row by row
+    long = np.flatnonzero(n[: has[RUN - 1]] > RUN)
+    if len(long):
+        beyond = n[long] - RUN
+        at = np.cumsum(beyond) - beyond
+        sums[long] += np.add.reduceat(error.take(token[np.repeat(starts[long] + RUN - at, beyond) + np.arange(beyond.sum())], axis=0), at, axis=0)
+    return row[starts].astype(np.intp), sums
+
+
 @dataclass
 class Model:
     """Logarithms of shares of groups, classes, parts and tokens, and the weights of the four softmaxes."""
@@ -592,7 +617,7 @@ def _scorer(shared, n: np.ndarray, v: np.ndarray):
             for here, *parts in model.batches(context, span.at):
                 into = near[done : done + len(here)]
                 for layer, (rows, goals, bias, which) in zip(layers, parts, strict=True):
-                    into[which] += layer.logs(rows, bias)[np.arange(len(goals)), goals]
+                    into[which] += layer.logs_of(rows, goals, bias)
                 done += len(here)
             token = context.flat[span.at]
             lost = np.flatnonzero(c[token] < 0)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from plumbline.llm import maxent
 from plumbline.llm.queries import op5_maxent
@@ -127,3 +128,44 @@ def test_step_on_touched_rows_equals_the_dense_one():
         seen[np.unique(rows)] += 1
         own.step(rows, goals, bias)
     assert np.allclose(own.w, w, atol=1e-4) and np.allclose(own.slope, slope, rtol=1e-3) and (own.seen == seen).all()
+
+
+def test_spans_are_read_as_by_plain_splitting_and_in_order_of_hashes():
+    rng = random.Random(1)
+    letters = ["a", "B", "É", "İ", "\x1c", "\x85", "\u3000", "\xa0", "😀", "^", "$", "\x00", *" \t\n\x0b\x0c\r  "]
+    texts = [None, "", "  ", " a ", "x" * 39, "x" * 40, "y" * 41, "z" * 100 + "é", *("".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(300))]
+    for part in (texts, [None], [""], [" "]):
+        sizes, facts, at = maxent.span_of(pa.array(["before", *part, "after"]).slice(1, len(part)))
+        words = [[*(t or "").encode().lower().split(), maxent.END] for t in part]
+        flat = [w for ws in words for w in [maxent.PAD] * 3 + ws]
+        assert sizes.tolist() == [len(ws) for ws in words]
+        assert facts[at].tolist() == [[maxent.token_hash(w), maxent.shape_of(w)] for w in flat]
+        assert (facts[1:, 0] > facts[:-1, 0]).all()
+
+
+def test_sums_of_rows_with_few_and_with_many_tokens():
+    rng = np.random.default_rng(7)
+    for n, top in ((1, 5), (40, 1), (5000, 300), (16384, 1 << 18), (70_000, 1 << 18)):
+        rows = np.concatenate([rng.integers(0, top, (5, n)), np.minimum(rng.geometric(0.2, (2, n)), top - 1)])
+        error = rng.normal(size=(n, maxent.WIDE)).astype(np.float32)
+        want = np.zeros((top, maxent.WIDE))
+        for r in rows:
+            np.add.at(want, r, error)
+        ids, sums = maxent.row_sums(rows, error)
+        assert sorted(ids.tolist()) == np.unique(rows).tolist()
+        assert np.allclose(sums, want[ids], rtol=1e-4, atol=1e-2)
+
+
+def test_one_output_as_of_all():
+    rng = np.random.default_rng(2)
+    layer = maxent.Softmax(rng.normal(size=(256, 16)).astype("f4"))
+    rows, goals, bias = rng.integers(0, 256, (3, 50)), rng.integers(0, 16, 50), np.zeros((1, 16), "f4")
+    assert np.allclose(layer.logs_of(rows, goals, bias), layer.logs(rows, bias)[np.arange(50), goals], atol=1e-5)
+
+
+def test_short_ids_and_several_spans_in_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "SPAN", 50)
+    rows = [(i, "a b " * (i % 7)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").coalesce(1)
+    spans = maxent.read_spans(docs.select("doc_id", maxent.F.lit(True).alias("learnt"), "text")).collect()
+    assert len(spans) > 5 and sorted((i, n) for s in spans for i, n in zip(s.doc_ids, s.sizes, strict=True)) == [(i, 2 * (i % 7) + 1) for i, _ in rows]
